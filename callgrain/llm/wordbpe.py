@@ -41,6 +41,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self._library = path, None
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None:
@@ -73,15 +74,23 @@ class WordBpe:
     def _split(text: str) -> list[str]:
         return text.split() if not _ODD.search(text) else [c for c in _SPACE.split(text) if c]
 
-    @staticmethod
-    def pieces(chunk: str) -> list[str]:
+    def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk: normalised, then split."""
         if chunk.isascii():
             return _ASCII.findall(chunk.lower())
+        if max(chunk) > "\u024f":  # beyond Latin letters two libraries' Unicode tables may differ
+            return self._library_pieces(chunk)
         chunk = unicodedata.normalize("NFC", chunk)
-        # a capital sigma is lower-cased by itself, not by its place in the word
-        low = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
-        return _ANY.findall(low)
+        return _ANY.findall(chunk.lower())
+
+    def _library_pieces(self, chunk: str) -> list[str]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._byte = {c: b for b, c in enumerate(byte_chars())}
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))
+        return [bytes(map(self._byte.__getitem__, p)).decode() for p, _ in found]
 
 
 class PairTable:
@@ -108,7 +117,9 @@ class PairTable:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; 1 << 40 where it never merges."""
-        keys = (left << 20) | right
+        return self.find((left << 20) | right)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
         held = self.keys[at]
         out = np.where(held == keys, self.rank[at], 1 << 40)
