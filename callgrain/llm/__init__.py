@@ -6,9 +6,9 @@ operators; each operator lives in a module of its own.
 
 from __future__ import annotations
 
-from callgrain.llm import lexicon_bpe, mixing, rank_sync
+from callgrain.llm import hyperminhash, lexicon_bpe, mixing, rank_sync
 
-MODULES = [rank_sync, lexicon_bpe, mixing]
+MODULES = [rank_sync, lexicon_bpe, mixing, hyperminhash]
 
 
 def queries() -> dict:
