@@ -6,9 +6,9 @@ operators; each operator lives in a module of its own.
 
 from __future__ import annotations
 
-from callgrain.llm import hyperminhash, lexicon_bpe, mixing, rank_sync, suffix_dedup
+from callgrain.llm import hyperminhash, lexicon_bpe, mixing, rank_sync, suffix_dedup, toxicity
 
-MODULES = [suffix_dedup, rank_sync, lexicon_bpe, mixing, hyperminhash]
+MODULES = [suffix_dedup, rank_sync, toxicity, lexicon_bpe, mixing, hyperminhash]
 
 
 def queries() -> dict:
