@@ -6,9 +6,9 @@ operators; each operator lives in a module of its own.
 
 from __future__ import annotations
 
-from callgrain.llm import hyperminhash, lexicon_bpe, mixing, rank_sync, suffix_dedup, toxicity
+from callgrain.llm import cover_search, hyperminhash, lexicon_bpe, mixing, quality_gbt, rank_sync, suffix_dedup, toxicity, warc
 
-MODULES = [suffix_dedup, rank_sync, toxicity, lexicon_bpe, mixing, hyperminhash]
+MODULES = [suffix_dedup, rank_sync, cover_search, toxicity, quality_gbt, lexicon_bpe, mixing, hyperminhash, warc]
 
 
 def queries() -> dict:
