@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of stages that nothing refers to any more.
+
+    Its cleaner waits for a garbage collection of the driver, which a driver with
+    little to do may never run while the executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stage(df: DataFrame) -> None:
     """Remove the table behind a :func:`staged` frame once nothing reads it any more."""
     spark = df.sparkSession

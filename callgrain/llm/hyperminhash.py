@@ -1,21 +1,25 @@
 """MinHash near-duplicates with HyperMinHash registers.
 
-Each text's set of distinct five-word shingles becomes 256 registers: a shingle's
-64-bit hash picks a register, and the register keeps of its least hash the number
-of leading zeros (6 bits) and the next 10 bits.  Texts with equal sets are one
-*class*; classes are compared where a band of 4 registers is equal.
+Each text's set of distinct five-word shingles becomes 256 registers.  A register keeps of
+the least hash that falls into it the number of leading zeros (6 bits) and the next 10 bits.
+A large set is dealt once into 256 registers; a smaller one several times, by other hashes,
+into 64, 16 or 4 registers each, so that registers are rarely empty and a band of 4 is as
+telling for a short text as for a long one.  These are *levels*; a set near the border of two
+levels is sketched at both, so that sets that may be similar share a level.  Texts with equal
+sets are one *class*; classes are compared where a band of 4 registers of a level is equal.
 
 1. Star round: in each band bucket every class is paired with the least one.
-2. Pairs pass a size bound, a hard bound on the intersection and the
-   collision-corrected Jaccard estimate with a margin of 6.5 standard errors; what
-   passes is verified on full shingle sets.  Verified links give components.
-3. Buckets that still hold several components are compared across components, in
-   blocks of bounded size, and those pairs go through step 2 as well.
+2. Pairs pass a size bound and the collision-corrected Jaccard estimate with a margin of
+   6.5 standard errors; what passes is verified on full shingle sets.  Verified links
+   give components.
+3. In buckets that still hold several components, a class of the smaller component is
+   noted with the larger one if registers allow a link between them.  It is then
+   compared, on full sets, with the larger component's members, which are dealt in
+   blocks; one verified link for each block is enough.
 
 So any two classes that share a bucket are linked, or known to be connected, or
-compared; no pair inside a component is ever emitted.  With 64 bands, two sets at a
-similarity of exactly 0.75 share no bucket with a probability of 3e-11; sets of at
-most 22 shingles are bucketed by single registers, too.
+compared; no pairs of a bucket or of a component are ever listed.  With 64 bands, two sets at a
+similarity of exactly 0.75 share no bucket with a probability of 3e-11.
 
 Edge cases: texts without words have an empty set, are linked with nothing and kept;
 equal texts are linked; a null doc_id takes no part, its component is null and it is
@@ -31,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import sized_broadcast, staged, table
+from callgrain.llm.common import release, sized_broadcast, staged, table
 from callgrain.llm.components import components
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
 REGISTERS, ROWS = 256, 4
-SMALL, SMALL_PARTNER = 16, 22
+#: Least set size and registers of a dealing (a power of two) of each level.
+LEVELS = ((0, 2), (32, 4), (128, 6), (512, 8))
 MANTISSA = 10
 EMPTY = 0xFFFF
 MARGIN = 6.5
@@ -83,44 +88,57 @@ class Shingler:
         return np.unique(mix64(total))
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def level_of(n: int) -> int:
+    return max(bits for least, bits in LEVELS if n >= least)
+
+
+def levels(n: int, similarity: int = SIMILARITY) -> list[int]:
+    """Levels of a set of ``n`` that a similar set may have: one or two."""
+    return sorted({level_of(-(-n * similarity // 100)), level_of(n * 100 // similarity)})
+
+
+def registers(shingles: np.ndarray, level: int) -> np.ndarray:
     """256 registers of 16 bits: 6 bits of leading zeros, 10 bits after the first one."""
     out = np.full(REGISTERS, EMPTY, np.uint16)
-    bucket = (shingles >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    rest = shingles[first] << np.uint64(8)  # sorted hashes: the first of a bucket is its least
+    if not len(shingles):
+        return out
+    times = REGISTERS >> level
+    if times > 1:
+        h = np.sort(mix64(shingles[None, :] + mix64(np.arange(1, times + 1, dtype=np.uint64))[:, None]), axis=1)
+    else:
+        h = shingles[None, :]
+    bucket = ((h >> np.uint64(64 - level)).astype(np.int64) + (np.arange(times) << level)[:, None]).ravel()
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    rest = h.ravel()[first] << np.uint64(level)  # sorted hashes: the first of a bucket is its least
     zeros = np.minimum(64 - np.frexp(rest.astype(np.float64))[1], 62).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     out[bucket[first]] = (zeros << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     return out
 
 
-def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def chance(na: np.ndarray, nb: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Probability that registers of different least hashes are equal, by set sizes."""
-    edge = 0.5 ** np.arange(57)
+    edge = np.minimum(0.5 ** np.arange(57), 1 - 1e-12)
 
     def cells(n):
-        m = np.maximum(np.asarray(n, float)[:, None] / REGISTERS, 1e-9)
-        return -np.diff(1 - (1 - np.minimum(edge, 1 - 1e-12)) ** m, axis=1)
+        m = np.maximum(n / 2.0**level, 1e-9)[:, None]
+        return -np.diff(1 - (1 - edge) ** m, axis=1)
 
     return (cells(na) * cells(nb)).sum(1) / 2**MANTISSA
 
 
-def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
-    """Whether pairs of register rows may reach the similarity; ``na, nb``: set sizes."""
+def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, level: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Whether pairs of register rows of a level may reach the similarity; ``na, nb``: set sizes."""
     t = similarity / 100
-    fa, fb = a != EMPTY, b != EMPTY
-    equal = ((a == b) & fa).sum(1)
-    either = (fa | fb).sum(1)
-    # a common shingle is least in both registers or hidden in one of the two sets
-    most = np.minimum(equal + (na - fa.sum(1)) + (nb - fb.sum(1)), np.minimum(na, nb))
-    hard = 100 * most >= similarity * (na + nb - most)
-    p = chance(na, nb)
-    estimate = (equal / np.maximum(either, 1) - p) / (1 - p)
-    return hard & ((either < 64) | (estimate + MARGIN * np.sqrt(t * (1 - t) / np.maximum(either, 1)) >= t))
-
-
-def _sketch(width: int):
+    either = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(1), 1)
+    equal = ((a == b) & (a != EMPTY)).sum(1)
+    p = chance(na, nb, level)
+    estimate = (equal / either - p) / (1 - p)
+    sizes = 100 * np.minimum(na, nb) >= similarity * np.maximum(na, nb)
+    return sizes & (estimate + MARGIN * np.sqrt(t * (1 - t) / either) >= t)
+
+
+def _sketch(width: int, similarity: int):
     def run(batches):
         shingle = Shingler(width)
         for batch in batches:
@@ -131,29 +149,27 @@ def _sketch(width: int):
                 n.append(len(s))
                 lo.append(int.from_bytes(d[:8], "little", signed=True))
                 hi.append(int.from_bytes(d[8:], "little", signed=True))
-                regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "s1", "s2", "regs"])
+                regs.append([{"level": x, "regs": registers(s, x).tobytes()} for x in levels(len(s), similarity)] if len(s) else [])
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("regs", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(regs, kind)], ["doc_id", "n", "s1", "s2", "regs"])
 
     return run
 
 
-def band_keys(regs, n):
-    """Keys of the buckets of a register row (native): bands that are not all empty, and single registers of small sets."""
+def band_keys(level, regs):
+    """Keys of the buckets of a register row (native): its bands that are not all empty."""
     band = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.struct(i.alias("i"), F.substring(regs, i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("v")))
     band = F.filter(band, lambda x: x["v"] != F.lit(b"\xff" * (2 * ROWS)))
-    one = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.struct((i + 1000).alias("i"), F.substring(regs, i * 2 + 1, F.lit(2)).alias("v")))
-    one = F.filter(one, lambda x: x["v"] != F.lit(b"\xff\xff"))
-    keys = F.when(n <= SMALL, one).when(n <= SMALL_PARTNER, F.concat(one, band)).otherwise(band)
-    return F.transform(keys, lambda x: F.xxhash64(x["i"], x["v"]))
+    return F.transform(band, lambda x: F.xxhash64(level, x["i"], x["v"]))
 
 
 def _estimate(similarity: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                na, nb, level = (batch.column(c).to_numpy() for c in ("na", "nb", "level"))
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                keep = pa.array(possible(a, b, na, nb, similarity))
+                keep = pa.array(possible(a, b, na, nb, level, similarity))
                 yield batch.select(["a", "b"]).filter(keep)
 
     return run
@@ -198,11 +214,7 @@ def _verify(similarity: int):
                     at, leader = (left, salt), np.frombuffer(raw, np.uint64)
                 elif (left, salt) == at:
                     s = np.frombuffer(raw, np.uint64)
-                    small, large = (s, leader) if len(s) <= len(leader) else (leader, s)
-                    if 100 * len(small) < similarity * len(large):
-                        continue
-                    pos = np.searchsorted(large, small)
-                    common = int((large[np.minimum(pos, len(large) - 1)] == small).sum())
+                    common = common_count(s, leader)
                     if 100 * common >= similarity * (len(s) + len(leader) - common):
                         a.append(left)
                         b.append(doc)
@@ -215,80 +227,102 @@ class _Linker:
     def __init__(self, docs: DataFrame, width: int, similarity: int):
         self.width, self.similarity = width, similarity
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-        self.rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketch")
+        self.rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width, similarity), "doc_id long, n long, s1 long, s2 long, regs array<struct<level: int, regs: binary>>"), "sketch")
         full = self.rows.filter("n > 0 AND doc_id IS NOT NULL")
-        classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"), F.count("*").alias("copies"))
-        self.classes = staged(classes.select("s1", "s2", F.col("c.doc_id").alias("rep"), F.col("c.n").alias("n"), F.col("c.regs").alias("regs")), "classes")
+        classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
+        classes = staged(classes.select("s1", "s2", "c.*"), "classes")
+        self.classes = classes.select("s1", "s2", F.col("doc_id").alias("rep"), "n")
+        #: One row for each class and level.
+        self.sketches = classes.select(F.col("doc_id").alias("rep"), "n", F.explode("regs").alias("r")).select("rep", "n", "r.*")
 
     def buckets(self) -> DataFrame:
-        """``key, rep, n``: buckets of at least two classes."""
-        rows = self.classes.select("rep", "n", F.explode(band_keys(F.col("regs"), F.col("n"))).alias("key"))
+        """``key, rep, level, size, lead``: buckets of at least two classes."""
+        rows = self.sketches.select("rep", "level", F.explode(band_keys(F.col("level"), F.col("regs"))).alias("key"))
         many = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1")
         return rows.join(many, "key")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` that sizes and registers allow."""
-        of = self.classes.select("rep", "n", "regs")
-        p = pairs.join(of.withColumnsRenamed({"rep": "a", "n": "na", "regs": "ra"}), "a").join(of.withColumnsRenamed({"rep": "b", "n": "nb", "regs": "rb"}), "b")
-        low = 100 * F.least("na", "nb") >= self.similarity * F.greatest("na", "nb")
-        return p.filter(low).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(self.similarity), "a long, b long")
+        """Of the pairs ``a, b, level`` those that sizes and registers allow."""
+        side = lambda x: self.sketches.select(F.col("rep").alias(x), "level", F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+        p = pairs.join(side("a"), ["a", "level"]).join(side("b"), ["b", "level"])
+        return p.select("a", "b", "level", "na", "nb", "ra", "rb").mapInArrow(_estimate(self.similarity), "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of the staged pairs ``a, b`` those whose full sets are similar; the leader of a pair is ``a``."""
         per = pairs.groupBy("a").agg(F.count("*").alias("_n")).select("a", F.ceil(F.col("_n") / DEAL).cast("int").alias("salts"))
         lead = per.select(F.col("a").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("doc", F.col("doc").alias("left"), "salt", F.lit(0).alias("role"))
         follow = pairs.join(per, "a").select(F.col("b").alias("doc"), F.col("a").alias("left"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-        jobs = lead.union(follow).groupBy("doc").agg(F.collect_list(F.struct("left", "salt", "role")).alias("jobs"))
-        jobs = staged(jobs, "jobs")
-        text = self.docs.join(sized_broadcast(jobs, BROADCAST_IDS // 4), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "jobs")
-        sets = text.mapInArrow(_emit_sets(self.width), "left long, salt int, role int, doc long, shingles binary")
-        dealt = sets.repartition("left", "salt").sortWithinPartitions("left", "salt", "role")
-        return dealt.mapInArrow(_verify(self.similarity), "a long, b long")
-
-    def across(self, labels: DataFrame) -> DataFrame:
-        """Pairs of classes that share a bucket but no component, as far as registers allow it."""
-        rows = self.buckets().join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("label"))
-        rows = staged(rows, "buckets")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("lead")).filter("lo < hi AND lead IS NOT NULL").select("key", "lead")
+        return self._compared(lead.union(follow), _verify(self.similarity))
+
+    def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """``x, label``: classes and the larger components that registers allow them to be linked with."""
+        rows = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "level", "size", "lead", F.coalesce("component", "rep").alias("label"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         # two members: the star round has compared them
         rows = rows.filter("size > 2").join(mixed, "key")
         nb = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("second"), "rep", "n", "label", "lead")
-        rows = rows.join(self.classes.select(F.col("rep").alias("r"), "regs"), F.col("rep") == F.col("r")).drop("r")
+        rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("second"), "rep", "level", "label", "lead")
+        members = labels.groupBy("component").agg(F.count("*").alias("members"))
+        rows = rows.join(members.withColumnRenamed("component", "_c"), F.col("label") == F.col("_c"), "left").withColumn("members", F.coalesce("members", F.lit(1)))
+        rows = rows.join(self.sketches, ["rep", "level"])
         dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "second", "rep")
-        return dealt.select("key", "bi", "bj", "second", "rep", "n", "label", "lead", "regs").mapInArrow(_across(self.similarity), "a long, b long").distinct()
+        return dealt.select("key", "bi", "bj", "second", "rep", "n", "label", "lead", "members", "level", "regs").mapInArrow(_across(self.similarity), "x long, label long").distinct()
+
+    def joined(self, noted: DataFrame, labels: DataFrame) -> DataFrame:
+        """Verified links ``a, b`` between the noted classes and components."""
+        goal = noted.select("label").distinct().withColumnRenamed("label", "_g")
+        own = labels.select(F.col("node").alias("doc"), F.col("component").alias("label"))
+        # a component of one class has no row in labels
+        own = own.union(goal.join(labels, F.col("_g") == F.col("node"), "left_anti").select(F.col("_g").alias("doc"), F.col("_g").alias("label")))
+        blocks = own.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).withColumnRenamed("label", "_l")
+        hosts = own.join(goal, F.col("label") == F.col("_g"), "left_semi").join(blocks, F.col("label") == F.col("_l"))
+        hosts = hosts.select("doc", F.col("label").alias("left"), F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int").alias("salt"), F.lit(0).alias("role"))
+        guests = noted.join(blocks, F.col("label") == F.col("_l")).select(F.col("x").alias("doc"), F.col("label").alias("left"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"), F.lit(1).alias("role"))
+        return self._compared(hosts.union(guests), _verify_blocks(self.similarity))
+
+    def _compared(self, jobs: DataFrame, verify) -> DataFrame:
+        """Deal the sets of ``doc`` by ``left, salt``, role 0 first, and run ``verify`` on them."""
+        jobs = staged(jobs.groupBy("doc").agg(F.collect_list(F.struct("left", "salt", "role")).alias("jobs")), "jobs")
+        text = self.docs.join(sized_broadcast(jobs, BROADCAST_IDS // 4), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "jobs")
+        sets = text.mapInArrow(_emit_sets(self.width), "left long, salt int, role int, doc long, shingles binary")
+        return sets.repartition("left", "salt").sortWithinPartitions("left", "salt", "role").mapInArrow(verify, "a long, b long")
 
 
 def _across(similarity: int):
-    """Groups (key, bi, bj) of at most two blocks arrive in a row; emits pairs of different labels that may be similar."""
+    """Groups (key, bi, bj) of at most two blocks arrive in a row."""
 
     def flush(rows):
         if len(rows) < 2:
             return [], []
         second = np.array([r[0] for r in rows])
-        rep, n, label = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        rep, n, label, members = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 5))
         lead = rows[0][4]
-        regs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        out_a, out_b = [], []
+        if (label == label[0]).all():
+            return [], []
+        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        level = np.full(len(rows), rows[0][6])
+        two = second.any()
+        noted = set()
         for i in range(len(rows) - 1):
-            if second.any() and second[i]:
+            if two and second[i]:
                 break
-            j = np.flatnonzero(second) if second.any() else np.arange(i + 1, len(rows))
+            j = np.flatnonzero(second) if two else np.arange(i + 1, len(rows))
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             j = j[(label[j] != label[i]) & (100 * small >= similarity * large) & (rep[j] != lead) & (rep[i] != lead)]
             if len(j):
-                ok = j[possible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], similarity)]
-                out_a += np.minimum(rep[i], rep[ok]).tolist()
-                out_b += np.maximum(rep[i], rep[ok]).tolist()
-        return out_a, out_b
+                j = j[possible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], level[j], similarity)]
+            for k in j.tolist():
+                x, y = (i, k) if (members[i], label[i]) < (members[k], label[k]) else (k, i)
+                noted.add((int(rep[x]), int(label[y])))
+        return [x for x, _ in noted], [y for _, y in noted]
 
     def run(batches):
         at, rows = None, []
         for batch in batches:
             a, b = [], []
-            cols = [batch.column(i).to_pylist() for i in range(9)]
+            cols = [batch.column(i).to_pylist() for i in range(11)]
             for key, bi, bj, *row in zip(*cols, strict=True):
                 if (key, bi, bj) != at:
                     x, y = flush(rows)
@@ -296,9 +330,47 @@ def _across(similarity: int):
                     b += y
                     at, rows = (key, bi, bj), []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "label"])
         a, b = flush(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "label"])
+
+    return run
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    pos = np.searchsorted(large, small)
+    return int((large[np.minimum(pos, len(large) - 1)] == small).sum())
+
+
+def _verify_blocks(similarity: int):
+    """Streams rows sorted by ``left, salt, role``; holds the sets of one block of a component."""
+
+    def run(batches):
+        at, docs, sets, sizes = None, [], [], None
+        for batch in batches:
+            a, b = [], []
+            for left, salt, role, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (left, salt) != at:
+                    at, docs, sets, sizes = (left, salt), [], [], None
+                s = np.frombuffer(raw, np.uint64)
+                if role == 0:
+                    docs.append(doc)
+                    sets.append(s)
+                    continue
+                if not sets:
+                    continue
+                if sizes is None:
+                    sizes = np.array([len(x) for x in sets])
+                near = np.flatnonzero(100 * np.minimum(sizes, len(s)) >= similarity * np.maximum(sizes, len(s)))
+                for k in near.tolist():
+                    common = common_count(s, sets[k])
+                    if 100 * common >= similarity * (len(s) + len(sets[k]) - common):
+                        a.append(docs[k])
+                        b.append(doc)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -306,11 +378,19 @@ def _across(similarity: int):
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     k = _Linker(docs, width, similarity)
-    star = k.buckets().filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(k.verified(staged(k.estimated(star), "star")), "verified")
-    labels = components(links)
-    more = k.verified(staged(k.estimated(k.across(labels)), "across"))
-    labels = components(links.union(more))
+    spark = docs.sparkSession
+    buckets = staged(k.buckets(), "buckets")
+    release(spark)
+    star = buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "level").distinct()
+    star = staged(k.estimated(star), "star")
+    links = staged(k.verified(star), "verified")
+    release(spark)
+    labels = staged(components(links), "labels")
+    noted = staged(k.across(buckets, labels), "across")
+    release(spark)
+    more = staged(k.joined(noted, labels), "joined")
+    release(spark)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     own = k.classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
     rows = k.rows.select("doc_id", "n", "s1", "s2").join(own, ["s1", "s2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
@@ -318,6 +398,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     return rows.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
+def without_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` of which one stands for each component, all columns kept."""
+    found = near_duplicates(docs, width, similarity)
+    gone = staged(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(sized_broadcast(gone, BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
