@@ -30,10 +30,11 @@ from callgrain.llm.common import staged, table
 SCALE = 256
 TOP = 5
 EVERY = 50
-BLOCK = 8192
-GROUP = 2048
-LEAF = 32
-FAN = 32
+BLOCK = 16_384
+GROUP = 4096
+#: Rows of a leaf: large enough that scoring one is a matrix product, small enough to prune.
+LEAF = 192
+FAN = 24
 
 
 class CoverTree:
@@ -102,6 +103,7 @@ def dual_search(qx: np.ndarray, qid: np.ndarray, px: np.ndarray, pid: np.ndarray
 
     def leaf(q: int, nodes: np.ndarray) -> None:
         rows = qt.rows[q]
+        mine_q, mine_id = qx[rows], qid[rows]
         heap = [(-b, n) for b, n in zip(bounds(q, nodes).tolist(), nodes.tolist(), strict=True)]
         heapq.heapify(heap)
         while heap:
@@ -116,10 +118,15 @@ def dual_search(qx: np.ndarray, qid: np.ndarray, px: np.ndarray, pid: np.ndarray
                         heapq.heappush(heap, (-kb, kid))
                 continue
             mine = pt.rows[n]
-            scores = qx[rows] @ px[mine].T
-            scores_ok = (scores >= best.worst[rows][:, None]) & (qid[rows][:, None] != pid[mine][None, :])
-            for i in np.flatnonzero(scores_ok.any(1)).tolist():
-                ok = scores_ok[i]
+            other = mine_id[:, None] != pid[mine][None, :]
+            scores = mine_q @ px[mine].T
+            floor = best.worst[rows]
+            if len(mine) > k:  # of a leaf only its k best and what ties with them can count
+                ranked = np.where(other, scores.astype(np.float64), -np.inf)
+                floor = np.maximum(floor, np.partition(ranked, len(mine) - k, axis=1)[:, len(mine) - k])
+            good = (scores >= floor[:, None]) & other
+            for i in np.flatnonzero(good.any(1)).tolist():
+                ok = good[i]
                 best.add(int(rows[i]), scores[i, ok], pid[mine[ok]])
 
     def under(q: int) -> np.ndarray:
