@@ -28,6 +28,13 @@ def roll_up(scores: DataFrame, weights: dict[str, float] | None = None) -> DataF
 
 
 def latency(df: DataFrame, column: str, *by: str, sample: bool = False) -> DataFrame:
-    """``mean, stddev, p95`` of a column; population deviation unless ``sample``."""
+    """``mean, stddev, p50, p95`` of a column; population deviation unless ``sample``."""
     dev = F.stddev_samp if sample else F.stddev_pop
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), dev(column).alias("stddev"), F.percentile(column, F.lit(0.95)).alias("p95"))
+    p = lambda x: F.percentile(column, F.lit(x))
+    return df.groupBy(*by).agg(F.avg(column).alias("mean"), dev(column).alias("stddev"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+
+
+def throughput(df: DataFrame, units: str, seconds: str, *by: str) -> DataFrame:
+    """``units, seconds, per_second`` of requests; null where no time was spent."""
+    sums = df.groupBy(*by).agg(F.sum(units).alias("units"), F.sum(seconds).alias("seconds"))
+    return sums.withColumn("per_second", F.try_divide("units", "seconds"))
