@@ -15,18 +15,25 @@ COUNTS = ("total", "normalize_failures", "quarantined", "kept", "train", "dev",
 
 def classify(raw: DataFrame) -> DataFrame:
     """Rows with ``status``: ``normalize_failure``, ``quarantined`` or ``kept``; other errors and malformed schemas fail the job."""
-    rows = strict_only(normalize(raw)).withColumn("verdicts", no_malformed(verdicts(F.col("gold"), F.col("tools")), F.col("id")))
+    rows = strict_only(normalize(raw)).withColumn("verdicts", verdicts(F.col("gold"), F.col("tools")))
+    rows = rows.withColumn("verdicts", no_malformed(F.col("verdicts"), F.col("id")))
     status = F.when(F.col("error").isNotNull(), "normalize_failure").when(all_valid(F.col("verdicts")), "kept").otherwise("quarantined")
     return rows.withColumn("status", status)
 
 
-def build(raw: DataFrame, seed: int = 0, mode: str = "exact") -> DataFrame:
-    """``classify`` with ``split`` of the kept rows (null for others) and their ``example`` text."""
+def build(raw: DataFrame, seed: int = 0, mode: str = "exact", staging: str | None = None) -> DataFrame:
+    """``classify`` with ``split`` of the kept rows (null for others) and their ``example`` text.
+
+    The exact split reads its rows twice; with ``staging``, a folder that all executors
+    share, they are written there first, so that normalising and verifying run once.
+    """
     rows = classify(raw)
-    kept = rows.filter("status = 'kept'")
-    kept = (exact_split if mode == "exact" else hash_split)(kept, "id", seed).withColumn("example", example(F.col("query"), F.col("tools"), F.col("gold")))
-    rest = rows.filter("status <> 'kept'").withColumn("split", F.lit(None).cast("string")).withColumn("example", F.lit(None).cast("string"))
-    return kept.unionByName(rest)
+    if staging:
+        rows.write.mode("overwrite").parquet(staging)
+        rows = raw.sparkSession.read.schema(rows.schema).parquet(staging)
+    kept = F.col("status") == "kept"
+    rows = (exact_split if mode == "exact" else hash_split)(rows, "id", seed, kept)
+    return rows.withColumn("example", F.when(kept, example(F.col("query"), F.col("tools"), F.col("gold"))))
 
 
 def build_report(built: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def score_rows(rows: DataFrame) -> DataFrame:
     Parsing and verification run once a row each; everything else stays in the JVM.
     """
     parsed = rows.withColumn("p", parse_calls(F.col("completion")))
-    checked = parsed.withColumn("v", no_malformed(verdicts(F.col("p.calls"), F.col("tools")), F.col("i")))
+    verified = parsed.withColumn("v", verdicts(F.col("p.calls"), F.col("tools")))
+    checked = verified.withColumn("v", no_malformed(F.col("v"), F.col("i")))
     return checked.select("i", *flags(F.col("p"), F.col("gold"), F.col("v")))
 
 

@@ -18,27 +18,30 @@ def bucket(key: Column, seed: int, n: int = 1000) -> Column:
     return F.conv(F.substring(split_key(key, seed), 1, 8), 16, 10).cast("long") % n
 
 
-def hash_split(df: DataFrame, key: str = "id", seed: int = 0) -> DataFrame:
-    """``df`` with ``split``; no shuffle, sizes hold in expectation."""
+def hash_split(df: DataFrame, key: str = "id", seed: int = 0, where: Column | None = None) -> DataFrame:
+    """``df`` with ``split`` (null where ``where`` does not hold); no shuffle, sizes hold in expectation."""
     b = bucket(F.col(key), seed)
-    return df.withColumn("split", F.when(b < 100, "test").when(b < 200, "dev").otherwise("train"))
+    named = F.when(b < 100, "test").when(b < 200, "dev").otherwise("train")
+    return df.withColumn("split", named if where is None else F.when(where, named))
 
 
-def exact_split(df: DataFrame, key: str = "id", seed: int = 0) -> DataFrame:
-    """``df`` with ``split``; ceil(10 %) test, then ceil(11.1 %) of the rest dev, in order of the hash key.
+def exact_split(df: DataFrame, key: str = "id", seed: int = 0, where: Column | None = None) -> DataFrame:
+    """``df`` with ``split`` (null where ``where`` does not hold); ceil(10 %) test, then ceil(11.1 %) of the rest dev, in order of the hash key.
 
     The order is counted by slices of the key space: a window inside a slice gives a row's
     place there, a window over the 4096 slice counts gives what lies before the slice.
+    ``df`` is read twice, for the counts and for the rows.
     """
-    keyed = df.withColumn("_k", split_key(F.col(key), seed)).withColumn("_s", F.substring("_k", 1, 3))
-    slices = keyed.groupBy("_s").agg(F.count("*").alias("_in"))
+    counted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    keyed = df.withColumn("_w", counted).withColumn("_k", split_key(F.col(key), seed)).withColumn("_s", F.substring("_k", 1, 3))
+    slices = keyed.filter("_w").groupBy("_s").agg(F.count("*").alias("_in"))
     slices = slices.withColumn("_off", F.sum("_in").over(Window.orderBy("_s")) - F.col("_in")).withColumn("_n", F.sum("_in").over(Window.partitionBy())).drop("_in").withColumnRenamed("_s", "_slice")
-    place = F.row_number().over(Window.partitionBy("_s").orderBy("_k", key)) + F.col("_off")
+    place = F.row_number().over(Window.partitionBy("_s", "_w").orderBy("_k", key)) + F.col("_off")
     test = F.ceil(F.col("_n") * TEST)
     dev = F.ceil((F.col("_n") - test) * DEV)
-    rows = keyed.join(slices, F.col("_s") == F.col("_slice")).withColumn("_p", place)  # at most 4096 slices
+    rows = keyed.join(slices, F.col("_s") == F.col("_slice"), "left").withColumn("_p", place)  # at most 4096 slices
     named = F.when(F.col("_p") <= test, "test").when(F.col("_p") <= test + dev, "dev").otherwise("train")
-    return rows.withColumn("split", named).select(*df.columns, "split")
+    return rows.withColumn("split", F.when(F.col("_w"), named)).select(*df.columns, "split")
 
 
 def leakage(split: DataFrame, key: str = "id") -> DataFrame:

@@ -1,5 +1,7 @@
 """DataFrame operators on small frames: edge cases, errors, partition invariance."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from callgrain import schemas
 from callgrain.functions.jsonkit import call_of, encode
 from callgrain.operators import benchmarks, prefs, profile
 from callgrain.operators.build import build, build_report
+from callgrain.operators.normalize import normalize
 from callgrain.operators.parse import gold_row, parse_calls
 from callgrain.operators.render import example, prompt_completion
 from callgrain.operators.score import join_dump, metric_means, score_completions, score_rows
@@ -103,6 +106,12 @@ def raw(spark, *rows):
 TOOLS = '[{"name": "f", "description": "d", "parameters": {"x": {"type": "int", "description": "é"}}}]'
 
 
+def test_staged_build_is_the_same(spark, tmp_path):
+    rows = raw(spark, *[(TOOLS, "[]")] * 40)
+    key = lambda df: sorted((r.id, r.split, r.example) for r in df.collect())
+    assert key(build(rows)) == key(build(rows, staging=str(tmp_path / "s")))
+
+
 def test_build_accounts_for_every_row(spark):
     rows = raw(spark, (TOOLS, '[{"name": "f", "arguments": {"x": 1}}]'), (TOOLS, "[]"), (TOOLS, '[{"name": "f", "arguments": {}}]'), (TOOLS.replace("int", "Dict[a]"), "[]"))
     r = build_report(build(rows)).first()
@@ -148,9 +157,17 @@ def test_advantage_without_spread(spark):
     assert {x.sample_id: x.advantage for x in prefs.group_advantage(r).collect()} == {1: None, 2: None, 3: -1.0, 4: 1.0}
 
 
-def test_udf_runs_once(spark):
-    rows = raw(spark, (TOOLS, "[]"))
-    from callgrain.operators.normalize import normalize
+def python_calls(df):
+    """Python functions in the executed plan, by name."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sorted(x for line in plan.split("\n") if "EvalPython" in line for x in re.findall(r"\b(_[a-z]+)\(", line.split("], [")[0]))
 
-    plan = normalize(rows).filter("error IS NULL")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") + plan.count("BatchEvalPython") == 1
+
+def test_each_udf_runs_once(spark):
+    rows = raw(spark, (TOOLS, "[]"))
+    assert python_calls(normalize(rows).filter("error IS NULL")) == ["_normalised"]
+    assert python_calls(build(rows, mode="hash")) == ["_normalised", "_verdicts"]
+    kind = schemas.struct(i=schemas.LONG, completion=schemas.TEXT, tools=ArrayType(TOOL), gold=CALLS)
+    scored_rows = score_rows(spark.createDataFrame([(0, PARIS, [WEATHER], [])], kind))
+    assert python_calls(metric_means(scored_rows)) == ["_parsed", "_verdicts"]
+    assert python_calls(scored_rows.filter("strict")) == ["_parsed", "_verdicts"]
