@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of at most ``rows`` rows, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
@@ -50,7 +57,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(cleanup, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -63,13 +72,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Remove the table behind a :func:`staged` frame once nothing reads it any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    for path in [p for p in _written if any(p.split("://")[-1].lstrip("/") in f for f in files)]:
+def mark() -> int:
+    """A point in the order of staged tables, for :func:`sweep`."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the tables staged since a mark, but for those of ``keep``, and what shuffles they needed.
+
+    For operators whose result is itself staged: nothing lazy may still read the others.
+    """
+    kept = {df._staged_path for df in keep}
+    for path in [p for p in _written[since:] if p not in kept]:
         _delete(spark, path)
         _written.remove(path)
+    release(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

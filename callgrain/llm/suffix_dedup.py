@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import sized_broadcast, staged, table
+from callgrain.llm.common import mark, sized_broadcast, slices, staged, sweep, table
 from callgrain.llm.two_stage import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -94,29 +94,29 @@ def text_key(text):
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
-OCCURRENCE = "anchor long, digest long, h1 long, h2 long, lo int, n int, again boolean"
+OCCURRENCE = "anchor long, digest long, h1 long, h2 long, row long, lo int, n int, again boolean"
 
 
 def _occurrences(length: int, anchor: int):
     def run(batches):
         find = Anchors(length, anchor)
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for h1, h2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for batch in slices(batches):
+            out = [[] for _ in range(8)]
+            for h1, h2, row, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
                 for value, lo, n, again in find.segments(raw):
                     digest = xxhash.xxh3_64_intdigest(raw[lo : lo + n + length - 1]) - (1 << 63)
-                    for column, x in zip(out, (value, digest, h1, h2, lo, n, again), strict=True):
+                    for column, x in zip(out, (value, digest, h1, h2, row, lo, n, again), strict=True):
                         column.append(x)
                 if len(out[0]) > 20_000:
                     yield _batch(out)
-                    out = [[] for _ in range(7)]
+                    out = [[] for _ in range(8)]
             yield _batch(out)
 
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.bool_()]
 
     def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "digest", "h1", "h2", "lo", "n", "again"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "digest", "h1", "h2", "row", "lo", "n", "again"])
 
     return run
 
@@ -126,7 +126,7 @@ SEGMENT = "anchor long, hot boolean, h1 long, h2 long, lo int, n int, bytes bina
 
 def _cut(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in range(7)]
             for h1, h2, text, jobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
@@ -186,7 +186,7 @@ def _sort_blocks(length: int):
 
     def run(batches):
         at, rows, size = None, [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for anchor, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if anchor != at and size > BLOCK:
                     yield flush(rows)
@@ -201,7 +201,7 @@ def _sort_blocks(length: int):
 
 def _window_digests(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for h1, h2, lo, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 view = memoryview(raw)
                 for a in range(0, n, 10_000):
@@ -214,20 +214,20 @@ def _window_digests(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``h1, h2, spans``: for each text with repeats (by its key) the byte spans that repeats cover; spans may touch or overlap."""
-    texts = docs.select(*text_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
+    texts = docs.select(*text_key(F.col("text")), F.xxhash64("doc_id").alias("row"), "text").filter(F.octet_length("text") >= length)
     found = staged(texts.mapInArrow(_occurrences(length, anchor), OCCURRENCE), "segments")
     # by content; a hot anchor spreads over its contents, and equal contents are combined before the shuffle
-    contents = found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("h1", "h2", "lo", "n")).alias("one"), F.max("again").alias("again"))
+    contents = found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("h1", "h2", "row", "lo", "n")).alias("one"), F.max("again").alias("again"))
     contents = staged(contents.select("anchor", "digest", "copies", "one.*", "again"), "contents")
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("_k"), F.sum(F.col("n").cast("long") + length).alias("_bytes"), F.max("again").alias("_again")).filter("_k > 1 OR _again")
     # a. equal segments repeat in full
     equal = found.join(contents.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("h1", "h2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e"))
     # b. different segments of one anchor
     wanted = contents.join(anchors.withColumnRenamed("anchor", "_a"), F.col("anchor") == F.col("_a"))
-    wanted = wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", (F.col("_bytes") > HOT).alias("hot"), "lo", "n")).alias("jobs"))
+    wanted = wanted.groupBy("h1", "h2").agg(F.min("row").alias("_row"), F.collect_list(F.struct("anchor", (F.col("_bytes") > HOT).alias("hot"), "lo", "n")).alias("jobs"))
     wanted = sized_broadcast(staged(wanted, "wanted"), BROADCAST_TEXTS)
-    # copies of a text would be cut alike: the sorter takes a segment once
-    cut = texts.join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "jobs").mapInArrow(_cut(length), SEGMENT)
+    # of the copies of a text one row is cut; rows that repeat its doc_id as well are dropped after
+    cut = texts.join(wanted, ["h1", "h2"]).filter("row = _row").select("h1", "h2", "text", "jobs").mapInArrow(_cut(length), SEGMENT)
     cut = staged(cut.dropDuplicates(["h1", "h2", "lo"]), "cut")
     dealt = cut.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "h1", "h2", "lo", "n", "bytes")
     sorted_ = dealt.mapInArrow(_sort_blocks(length), SPAN)
@@ -260,7 +260,10 @@ def split_at(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    spans = sized_broadcast(staged(repeated_spans(docs, length, anchor), "spans"), BROADCAST_TEXTS)
+    at = mark()
+    spans = staged(repeated_spans(docs, length, anchor), "spans")
+    sweep(docs.sparkSession, at, spans)
+    spans = sized_broadcast(spans, BROADCAST_TEXTS)
     h1, h2 = text_key(F.col("text"))
     keyed = docs.withColumns({"_sa_h1": h1, "_sa_h2": h2})
     spans = spans.withColumnsRenamed({"h1": "_sa_k1", "h2": "_sa_k2", "spans": "_sa_spans"})
@@ -268,7 +271,7 @@ def _with_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _digest(batches):
-    for batch in batches:
+    for batch in slices(batches):
         n, gone, runs, sha = [], [], [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = (text or "").encode()
