@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import staged
+from callgrain.llm.common import mark, staged, sweep
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``a, b`` long links."""
+    spark, seen = links.sparkSession, None
     edges = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
-    seen = None
     while True:
         # large star: what lies above a node is tied to the least of its neighbourhood
         both = edges.union(edges.select("b", "a"))
@@ -27,7 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = low.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = low.join(least, low["a"] == least["n"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        at = mark() - 1  # the step before this one is not read again
         edges = staged(small.filter("a <> b").distinct(), "links")
+        sweep(spark, at, edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

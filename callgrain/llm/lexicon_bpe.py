@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import table
-from callgrain.llm.rank_sync import MEMO, blocks, merge_ragged, tokenizer_path
+from callgrain.llm.common import slices, staged, table
+from callgrain.llm.rank_sync import MEMO, merge_chunks, tokenizer_path
 from callgrain.llm.wordbpe import PairTable, WordBpe, load
 
 WORDS = 65_536
@@ -139,18 +139,16 @@ class Lexicon:
 
 def merged_ids(bpe: WordBpe, chunks: list[str]) -> list[list[int]]:
     """Ids of each chunk by exact merging."""
-    split = [bpe.pieces(c) if c not in bpe.special else [] for c in chunks]
-    flat = sorted({p for ps in split for p in ps}, key=len)
-    got: dict[str, list[int]] = {}
-    at = 0
-    for block in blocks([p.encode() for p in flat]):
-        ids, sizes = merge_ragged(bpe, block)
-        ends = np.cumsum(sizes).tolist()
-        ids = ids.tolist()
-        for a, b in zip([0, *ends], ends, strict=False):
-            got[flat[at]] = ids[a:b]
-            at += 1
-    return [[bpe.special[c]] if c in bpe.special else [i for p in ps for i in got[p]] for c, ps in zip(chunks, split, strict=True)]
+    ids, ends = merge_chunks(bpe, [c for c in chunks if c not in bpe.special])
+    ids, cuts = ids.tolist(), iter(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False))
+    out = []
+    for c in chunks:
+        if c in bpe.special:
+            out.append([bpe.special[c]])
+        else:
+            a, b = next(cuts)
+            out.append(ids[a:b])
+    return out
 
 
 class Encoder:
@@ -159,14 +157,18 @@ class Encoder:
     def __init__(self, path: str, packed: bytes):
         self.bpe, self.lexicon = load(path), Lexicon(packed)
         self.memo: dict[str, tuple[str, str]] = {}
+        most = max(self.bpe.tokens) + 1
+        self.decimal = [str(i) for i in range(most)]
+        self.token = [self.bpe.tokens.get(i, "") for i in range(most)]
 
     def learn(self, chunks: list[str]) -> None:
         numbers = self.lexicon.find([c.encode() for c in chunks]).tolist() if chunks else []
         rest = [c for c, n in zip(chunks, numbers, strict=True) if n < 0]
-        exact = dict(zip(rest, merged_ids(self.bpe, rest), strict=True))
+        exact = iter(merged_ids(self.bpe, rest))
+        decimal, token, memo = self.decimal.__getitem__, self.token.__getitem__, self.memo
         for c, n in zip(chunks, numbers, strict=True):
-            ids = exact[c] if n < 0 else self.lexicon.ids_of(n)
-            self.memo[c] = " ".join(map(str, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
+            ids = next(exact) if n < 0 else self.lexicon.ids_of(n)
+            memo[c] = " ".join(map(decimal, ids)), " ".join(map(token, ids))
 
     def batch(self, texts: list[str | None]):
         """``(decimal ids, decoded text)`` of each text."""
@@ -192,7 +194,7 @@ def _count(path: str):
             kept = [(w, n) for w, n in seen.items() if n >= least and len(w.encode()) <= LONGEST and w not in bpe.special]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(bpe.chunks(text))
@@ -205,10 +207,20 @@ def _count(path: str):
 
 
 def lexicon(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
-    """The packed transducer of the corpus' most frequent chunks."""
-    counted = docs.select("text").mapInArrow(_count(path), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    found = sorted((r.word for r in top.select("word").collect()), key=str.encode)  # at most WORDS rows
+    """The packed transducer of the corpus' most frequent chunks, ``words`` at most.
+
+    Chunks are counted by eighths of powers of two; the least step that keeps within
+    ``words`` is the cut, so the driver gets no more than that, from however many tasks.
+    """
+    counted = docs.select("text").mapInArrow(_count(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = staged(counted.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "chunks")
+    least, total = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # at most 8 * 63 rows
+        total += r["count"]
+        if total > words:
+            break
+        least = r.step
+    found = [] if least is None else sorted((r.word for r in counted.filter(F.col("step") >= least).select("word").collect()), key=str.encode)
     return pack(build([w.encode() for w in found], merged_ids(load(path), found)))
 
 
@@ -219,7 +231,7 @@ def encode(docs: DataFrame, path: str | None = None, words: int = WORDS) -> Data
 
     def run(batches):
         enc = Encoder(path, packed.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [list(map(int, ids.split())) for ids, _ in enc.batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -232,7 +244,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         tokens = load(path).tokens
-        for batch in batches:
+        for batch in slices(batches):
             rows = [" ".join(map(tokens.__getitem__, ids or [])) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], ["doc_id", "text"])
 
@@ -246,7 +258,7 @@ def digests(docs: DataFrame, path: str | None = None, words: int = WORDS) -> Dat
 
     def run(batches):
         enc = Encoder(path, packed.value)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for ids, text in enc.batch(batch.column(1).to_pylist()):
                 n.append(ids.count(" ") + 1 if ids else 0)

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import staged, table
+from callgrain.llm.common import slices, staged, table
 
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 60, 3, 0.2, 64, 20, 1.0
-MEMO = 300_000
+MEMO = 150_000
 WIDTH = 5
 
 #: The symbols and the white space of the base statistics.
@@ -86,7 +86,7 @@ class Counter:
 
 def _count(batches):
     count = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         rows = [count(t) for t in batch.column(1).to_pylist()]
         columns = zip(*rows, strict=True) if rows else [[]] * len(COUNTS)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS])

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrain.llm.common import table
+from callgrain.llm.common import slices, table
 from callgrain.llm.wordbpe import WordBpe, load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -101,15 +101,22 @@ def blocks(pieces: list[bytes], most: int = SYMBOLS) -> Iterator[list[bytes]]:
         yield block
 
 
+def merge_chunks(bpe: WordBpe, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks, one after the other, and where each chunk's ids end; no special tokens among them."""
+    split = [bpe.pieces(c) for c in chunks]
+    ids, sizes = [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+    for block in blocks([p.encode() for ps in split for p in ps]):
+        got, n = merge_ragged(bpe, block)
+        ids.append(got)
+        sizes.append(n)
+    ends = np.cumsum(np.concatenate(sizes))
+    return np.concatenate(ids), ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+
+
 def count_chunks(bpe: WordBpe, chunks: list[str]) -> list[int]:
     """Tokens of each chunk (special tokens: 1)."""
-    split = [[bpe.special] if c in bpe.special else bpe.pieces(c) for c in chunks]
-    flat = sorted({p for ps in split for p in ps if isinstance(p, str)}, key=len)
-    counts: dict = {}
-    encoded = [p.encode() for p in flat]
-    got = [n for b in blocks(encoded) for n in merge_ragged(bpe, b)[1].tolist()]
-    counts = dict(zip(flat, got, strict=True))
-    return [sum(counts[p] if isinstance(p, str) else 1 for p in ps) for ps in split]
+    counts = iter(np.diff(merge_chunks(bpe, [c for c in chunks if c not in bpe.special])[1], prepend=0).tolist())
+    return [1 if c in bpe.special else next(counts) for c in chunks]
 
 
 def count_batches(path: str, limit: int):
@@ -117,7 +124,7 @@ def count_batches(path: str, limit: int):
 
     def run(batches):
         bpe, memo = load(path), {}
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             if len(memo) > MEMO:
                 memo.clear()
