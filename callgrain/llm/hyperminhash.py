@@ -8,14 +8,15 @@ telling for a short text as for a long one.  These are *levels*; a set near the
 levels is sketched at both, so that sets that may be similar share a level.  Texts with equal
 sets are one *class*; classes are compared where a band of 4 registers of a level is equal.
 
-1. Star round: in each band bucket every class is paired with the least one.
+1. Star round: in each band bucket every class is paired with the one that meets most others.
 2. Pairs pass a size bound and the collision-corrected Jaccard estimate with a margin of
    6.5 standard errors; what passes is verified on full shingle sets.  Verified links
    give components.
-3. In buckets that still hold several components, a class of the smaller component is
-   noted with the larger one if registers allow a link between them.  It is then
-   compared, on full sets, with the larger component's members, which are dealt in
-   blocks; one verified link for each block is enough.
+3. In buckets that still hold several components, each is one row.  Components of one
+   class are compared on registers; a larger component is noted with one that it meets in
+   three buckets.  The classes of the smaller component are then compared, on registers
+   and full sets, with those of the larger one, which are dealt in blocks; one verified
+   link for each block is enough.
 
 So any two classes that share a bucket are linked, or known to be connected, or
 compared; no pairs of a bucket or of a component are ever listed.  With 64 bands, two sets at a
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import release, sized_broadcast, staged, table
+from callgrain.llm.common import mark, sized_broadcast, slices, staged, sweep, table
 from callgrain.llm.components import components
 
 WIDTH = 5
@@ -46,10 +47,12 @@ LEVELS = ((0, 2), (32, 4), (128, 6), (512, 8))
 MANTISSA = 10
 EMPTY = 0xFFFF
 MARGIN = 6.5
+#: Buckets in which larger components must meet; similar sets miss this with a probability of 1e-8.
+MEET = 3
 BLOCK = 512
 #: Rows of a leader that one verification task compares at most.
 DEAL = 1000
-MEMO = 300_000
+MEMO = 150_000
 #: A list of candidate ids up to this long (8 bytes each) is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -141,7 +144,7 @@ def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, level
 def _sketch(width: int, similarity: int):
     def run(batches):
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             n, lo, hi, regs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
@@ -157,15 +160,15 @@ def _sketch(width: int, similarity: int):
 
 
 def band_keys(level, regs):
-    """Keys of the buckets of a register row (native): its bands that are not all empty."""
+    """``key, band`` of the buckets of a register row (native): its bands that are not all empty."""
     band = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.struct(i.alias("i"), F.substring(regs, i * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("v")))
     band = F.filter(band, lambda x: x["v"] != F.lit(b"\xff" * (2 * ROWS)))
-    return F.transform(band, lambda x: F.xxhash64(level, x["i"], x["v"]))
+    return F.transform(band, lambda x: F.struct(F.xxhash64(level, x["i"], x["v"]).alias("key"), x["i"].alias("band")))
 
 
 def _estimate(similarity: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 na, nb, level = (batch.column(c).to_numpy() for c in ("na", "nb", "level"))
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
@@ -180,7 +183,7 @@ def _emit_sets(width: int):
 
     def run(batches):
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             left, salt, role, doc, sets = [], [], [], [], []
             for doc_id, text, jobs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 s = shingle(text).tobytes()
@@ -207,7 +210,7 @@ def _verify(similarity: int):
 
     def run(batches):
         at, leader = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             for left, salt, role, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if role == 0:
@@ -230,16 +233,23 @@ class _Linker:
         self.rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width, similarity), "doc_id long, n long, s1 long, s2 long, regs array<struct<level: int, regs: binary>>"), "sketch")
         full = self.rows.filter("n > 0 AND doc_id IS NOT NULL")
         classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
-        classes = staged(classes.select("s1", "s2", "c.*"), "classes")
+        self.table = classes = staged(classes.select("s1", "s2", "c.*"), "classes")
         self.classes = classes.select("s1", "s2", F.col("doc_id").alias("rep"), "n")
         #: One row for each class and level.
         self.sketches = classes.select(F.col("doc_id").alias("rep"), "n", F.explode("regs").alias("r")).select("rep", "n", "r.*")
 
     def buckets(self) -> DataFrame:
-        """``key, rep, level, size, lead``: buckets of at least two classes."""
-        rows = self.sketches.select("rep", "level", F.explode(band_keys(F.col("level"), F.col("regs"))).alias("key"))
-        many = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1")
-        return rows.join(many, "key")
+        """``key, band, rep, level, size, lead``: buckets of at least two classes.
+
+        The lead is the class that meets most others over all its buckets: the text that
+        a group of edited copies comes from, if it is there.
+        """
+        rows = self.sketches.select("rep", "level", F.explode(band_keys(F.col("level"), F.col("regs"))).alias("b")).select("rep", "level", "b.*")
+        many = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        rows = staged(rows.join(many, "key"), "sized")
+        met = rows.groupBy("rep").agg(F.sum("size").alias("met"))
+        lead = rows.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("l")).select("key", (-F.col("l.rep")).alias("lead"))
+        return rows.join(lead, "key")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs ``a, b, level`` those that sizes and registers allow."""
@@ -255,31 +265,41 @@ class _Linker:
         return self._compared(lead.union(follow), _verify(self.similarity))
 
     def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """``x, label``: classes and the larger components that registers allow them to be linked with."""
-        rows = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "level", "size", "lead", F.coalesce("component", "rep").alias("label"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        # two members: the star round has compared them
-        rows = rows.filter("size > 2").join(mixed, "key")
+        """``a, b``: components that may be linked, the smaller one first.
+
+        A bucket holds one row for each component in it, with the set sizes of its classes
+        there.  Components of one class are compared on registers; others are noted if they
+        meet in ``MEET`` buckets of the lowest level that similar classes of theirs share.
+        """
+        rows = buckets.filter("size > 2")  # two members: the star round has compared them
+        rows = rows.join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "level", "lead", F.coalesce("component", "rep").alias("label"))
+        rows = rows.join(self.classes.select(F.col("rep").alias("_r"), F.col("n").alias("_n")), F.col("rep") == F.col("_r"))
+        rows = rows.groupBy("key", "band", "level", "lead", "label").agg(F.min("rep").alias("rep"), F.min("_n").alias("n"), F.max("_n").alias("most"))
+        mixed = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        members = labels.groupBy("component").agg(F.count("*").alias("members"))
+        rows = rows.join(mixed, "key").join(members, F.col("label") == F.col("component"), "left").withColumn("members", F.coalesce("members", F.lit(1))).drop("component")
         nb = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("label"), F.col("nb")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("second"), "rep", "level", "label", "lead")
-        members = labels.groupBy("component").agg(F.count("*").alias("members"))
-        rows = rows.join(members.withColumnRenamed("component", "_c"), F.col("label") == F.col("_c"), "left").withColumn("members", F.coalesce("members", F.lit(1)))
-        rows = rows.join(self.sketches, ["rep", "level"])
-        dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "second", "rep")
-        return dealt.select("key", "bi", "bj", "second", "rep", "n", "label", "lead", "members", "level", "regs").mapInArrow(_across(self.similarity), "x long, label long").distinct()
+        rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("second"), "rep", "level", "band", "label", "lead", "members", "n", "most")
+        single = rows.filter("members = 1").join(self.sketches.drop("n"), ["rep", "level"])
+        more = rows.filter("members > 1").withColumn("regs", F.lit(None).cast("binary"))
+        dealt = single.unionByName(more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "second", "label")
+        met = dealt.select("key", "bi", "bj", "second", "rep", "n", "label", "lead", "members", "level", "regs", "band", "most").mapInArrow(_across(self.similarity), "a long, b long, close int")
+        return met.groupBy("a", "b").agg(F.max("close").alias("close"), F.count("*").alias("met")).filter(f"close = 1 OR met >= {MEET}").select("a", "b")
 
     def joined(self, noted: DataFrame, labels: DataFrame) -> DataFrame:
-        """Verified links ``a, b`` between the noted classes and components."""
-        goal = noted.select("label").distinct().withColumnRenamed("label", "_g")
+        """Verified links ``a, b`` between classes of the noted components."""
         own = labels.select(F.col("node").alias("doc"), F.col("component").alias("label"))
         # a component of one class has no row in labels
-        own = own.union(goal.join(labels, F.col("_g") == F.col("node"), "left_anti").select(F.col("_g").alias("doc"), F.col("_g").alias("label")))
-        blocks = own.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).withColumnRenamed("label", "_l")
-        hosts = own.join(goal, F.col("label") == F.col("_g"), "left_semi").join(blocks, F.col("label") == F.col("_l"))
+        named = noted.select(F.col("a").alias("_g")).union(noted.select("b")).distinct()
+        own = own.union(named.join(labels, F.col("_g") == F.col("node"), "left_anti").select(F.col("_g").alias("doc"), F.col("_g").alias("label")))
+        goal = noted.select(F.col("b").alias("_l")).distinct()
+        blocks = own.join(goal, F.col("label") == F.col("_l")).groupBy("_l").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+        hosts = own.join(blocks, F.col("label") == F.col("_l"))
         hosts = hosts.select("doc", F.col("label").alias("left"), F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int").alias("salt"), F.lit(0).alias("role"))
-        guests = noted.join(blocks, F.col("label") == F.col("_l")).select(F.col("x").alias("doc"), F.col("label").alias("left"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"), F.lit(1).alias("role"))
+        guests = noted.join(blocks, F.col("b") == F.col("_l")).join(own, F.col("a") == F.col("label"))
+        guests = guests.select("doc", F.col("b").alias("left"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"), F.lit(1).alias("role"))
         return self._compared(hosts.union(guests), _verify_blocks(self.similarity))
 
     def _compared(self, jobs: DataFrame, verify) -> DataFrame:
@@ -295,44 +315,63 @@ def _across(similarity: int):
 
     def flush(rows):
         if len(rows) < 2:
-            return [], []
+            return [], [], []
         second = np.array([r[0] for r in rows])
         rep, n, label, members = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 5))
         lead = rows[0][4]
-        if (label == label[0]).all():
-            return [], []
-        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        blank = b"\xff" * (2 * REGISTERS)
+        regs = np.frombuffer(b"".join(r[7] or blank for r in rows), np.uint16).reshape(-1, REGISTERS)
+        words, empty = regs.view(np.uint64), np.uint64(2**64 - 1)
         level = np.full(len(rows), rows[0][6])
         two = second.any()
-        noted = set()
+        single = members == 1
+        most = np.array([r[9] for r in rows], np.int64)
+        lowest, highest = (np.array([levels(x, similarity)[0] for x in y.tolist()]) for y in (n, most))
+        a, b, close = [], [], []
+
+        def note(i: int, k: int, near: int) -> None:
+            x, y = (i, k) if (members[i], label[i]) < (members[k], label[k]) else (k, i)
+            a.append(int(label[x]))
+            b.append(int(label[y]))
+            close.append(near)
+
         for i in range(len(rows) - 1):
             if two and second[i]:
                 break
             j = np.flatnonzero(second) if two else np.arange(i + 1, len(rows))
+            # classes of either may be similar, and this is the lowest level that they share
+            near = (similarity * n[j] <= 100 * most[i]) & (similarity * n[i] <= 100 * most[j])
+            near &= (np.maximum(lowest[i], lowest[j]) <= level[i]) & (np.maximum(highest[i], highest[j]) >= level[i])
+            for k in j[near & ~(single[j] & single[i])].tolist():
+                note(i, k, 0)
+            if not single[i] or rep[i] == lead:
+                continue
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(label[j] != label[i]) & (100 * small >= similarity * large) & (rep[j] != lead) & (rep[i] != lead)]
+            # a pair with two common levels is looked at on the lower one
+            j = j[single[j] & (100 * small >= similarity * large) & (rep[j] != lead) & (np.maximum(lowest[j], lowest[i]) == level[i])]
             if len(j):
                 j = j[possible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], level[j], similarity)]
+                # only in the first band that the two share; that its bucket is left out means they were compared
+                shared = (words[i] == words[j]) & (words[i] != empty)
+                j = j[shared.argmax(1) == rows[0][8]]
             for k in j.tolist():
-                x, y = (i, k) if (members[i], label[i]) < (members[k], label[k]) else (k, i)
-                noted.add((int(rep[x]), int(label[y])))
-        return [x for x, _ in noted], [y for _, y in noted]
+                note(i, k, 1)
+        return a, b, close
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flush(rows), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "close"])
 
     def run(batches):
         at, rows = None, []
-        for batch in batches:
-            a, b = [], []
-            cols = [batch.column(i).to_pylist() for i in range(11)]
+        for batch in slices(batches):
+            cols = [batch.column(i).to_pylist() for i in range(13)]
             for key, bi, bj, *row in zip(*cols, strict=True):
                 if (key, bi, bj) != at:
-                    x, y = flush(rows)
-                    a += x
-                    b += y
+                    if len(rows) > 1:
+                        yield batch_of(rows)
                     at, rows = (key, bi, bj), []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "label"])
-        a, b = flush(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "label"])
+        yield batch_of(rows)
 
     return run
 
@@ -349,11 +388,13 @@ def _verify_blocks(similarity: int):
 
     def run(batches):
         at, docs, sets, sizes = None, [], [], None
-        for batch in batches:
+        at_level: dict = {}
+        for batch in slices(batches):
             a, b = [], []
             for left, salt, role, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (left, salt) != at:
                     at, docs, sets, sizes = (left, salt), [], [], None
+                    at_level = {}
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     docs.append(doc)
@@ -363,8 +404,15 @@ def _verify_blocks(similarity: int):
                     continue
                 if sizes is None:
                     sizes = np.array([len(x) for x in sets])
-                near = np.flatnonzero(100 * np.minimum(sizes, len(s)) >= similarity * np.maximum(sizes, len(s)))
-                for k in near.tolist():
+                like = np.zeros(len(sets), bool)
+                for level in levels(len(s), similarity):
+                    if level not in at_level:
+                        mine = np.array([i for i, x in enumerate(sets) if level in levels(len(x), similarity)], np.int64)
+                        at_level[level] = mine, np.stack([registers(sets[i], level) for i in mine]) if len(mine) else None
+                    mine, regs = at_level[level]
+                    if len(mine):
+                        like[mine] |= possible(np.broadcast_to(registers(s, level), regs.shape), regs, np.full(len(mine), len(s)), sizes[mine], np.full(len(mine), level), similarity)
+                for k in np.flatnonzero(like).tolist():
                     common = common_count(s, sets[k])
                     if 100 * common >= similarity * (len(s) + len(sets[k]) - common):
                         a.append(docs[k])
@@ -378,19 +426,18 @@ def _verify_blocks(similarity: int):
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     k = _Linker(docs, width, similarity)
-    spark = docs.sparkSession
+    spark, at = docs.sparkSession, mark()
     buckets = staged(k.buckets(), "buckets")
-    release(spark)
+    sweep(spark, at, buckets)
     star = buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "level").distinct()
-    star = staged(k.estimated(star), "star")
-    links = staged(k.verified(star), "verified")
-    release(spark)
+    links = staged(k.verified(staged(k.estimated(star), "star")), "verified")
     labels = staged(components(links), "labels")
+    sweep(spark, at, buckets, labels)
     noted = staged(k.across(buckets, labels), "across")
-    release(spark)
     more = staged(k.joined(noted, labels), "joined")
-    release(spark)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    labels = staged(components(links), "labels")
+    sweep(spark, at, labels)
     own = k.classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
     rows = k.rows.select("doc_id", "n", "s1", "s2").join(own, ["s1", "s2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
@@ -400,8 +447,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 def without_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which one stands for each component, all columns kept."""
+    at = mark()
     found = near_duplicates(docs, width, similarity)
     gone = staged(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    sweep(docs.sparkSession, at, gone)
     return docs.join(sized_broadcast(gone, BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
