@@ -366,9 +366,8 @@ WITH {SQL_SAMPLES}, o AS (SELECT *, CASE WHEN hallucinated THEN 'UNKNOWN_TOOL' W
 g AS (SELECT user_id, min(i) AS chosen FROM o WHERE strict GROUP BY user_id)
 SELECT user_id AS prompt_id, chosen, i AS rejected, outcome AS reason FROM o JOIN g USING (user_id) WHERE NOT strict AND outcome <> 'VALID'""")
 def preference_pairs(spark, sf_dir):
-    s = _samples(spark, sf_dir).join(corpora.completions(spark, sf_dir).select("i", F.contains("completion", F.lit("{")).alias("_c")), "i")
     p = corpora.completions(spark, sf_dir).select("i", F.size(parse_calls(F.col("completion"))["calls"]).alias("n_calls"))
-    s = s.drop("_c").join(p, "i")
+    s = _samples(spark, sf_dir).join(p, "i")
     outcome = F.when(F.col("hallucinated"), "UNKNOWN_TOOL").when((F.col("n_calls") > 0) & ~F.col("schema_valid"), "SCHEMA_VIOLATION").otherwise("VALID")
     return prefs.preference_pairs(s.select(F.col("user_id").alias("prompt_id"), F.col("i").alias("sample_id"), "strict", outcome.alias("outcome")))
 
