@@ -5,7 +5,10 @@ hold one of ``MARKS``.  The words of the header are weighed by TF-IDF, with docu
 frequencies of the templates, and compared with every template by sparse cosine: a join on
 words with the templates' few hundred weights.  The best template from ``SIMILARITY`` on is
 the file's own licence.  A *licence file* is one whose name says so, or whose header makes
-up ``FILE_SHARE`` per cent of its words.
+up ``FILE_SHARE`` per cent of its words, or which is a whole licence text (``WHOLE``).
+
+Texts with a licence-like line are also compared as a whole, on all their terms, with the
+full licence texts in ``licenses/``.  In licence files the better of both cosines counts.
 
 Files without a licence of their own inherit that of the nearest ancestor directory, their
 own included, that holds a licence file.  Directories are joined with their ancestors by
@@ -19,6 +22,8 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ from callgrain.llm.common import WORD, staged, table
 
 SIMILARITY = 0.45
 FILE_SHARE = 40
+#: Cosine of whole texts from which a file of any name is a licence file.
+WHOLE = 0.8
 
 #: Parts of words that make a line licence-like (lower case).
 MARKS = "licen copyright permission warrant redistribut spdx"
@@ -46,6 +53,9 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense.",
 }
 
+#: Full licence texts by licence (Debian's common licences, MIT, BSD-2-Clause, Unlicense; without the holders' lines).
+FULL = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 #: A word of a header or template: lower-case letters, digits and inner dots or dashes.
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
@@ -66,32 +76,42 @@ def template_weights(spark: SparkSession, templates: dict[str, str] | None = Non
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """``path, header, n_words`` of files with a licence-like line; others are dropped by one pattern before any line is split."""
+    """``path, text, header, n_words`` of files with a licence-like line; others are dropped by one pattern before any line is split."""
     marks = "(?i)" + "|".join(MARKS.split())
     found = files.filter(F.col("text").rlike(marks))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(marks))
-    return found.select("path", F.array_join(lines, "\n").alias("header"), F.regexp_count("text", F.lit(WORD)).alias("n_words"))
+    return found.select("path", "text", F.array_join(lines, "\n").alias("header"), F.regexp_count("text", F.lit(WORD)).alias("n_words"))
 
 
-def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """``path, license, cosine, is_file`` of files whose header is like a template."""
-    weights = template_weights(files.sparkSession, templates)
-    head = headers(files).groupBy("path", "header", "n_words").agg(F.count("*").alias("_copies"))
-    words = head.select("path", "header", "n_words", F.explode(terms(F.col("header"))).alias("term")).groupBy("path", "header", "n_words", "term").agg(F.count("*").alias("tf"))
+def cosines(texts: DataFrame, key: str, text: str, templates: dict[str, str]) -> DataFrame:
+    """``key, license, cosine`` of the best template of each distinct text; none without a common word."""
+    weights = template_weights(texts.sparkSession, templates)
+    words = texts.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     # the templates are a fixed table; a word that no template has weighs as much as the rarest
-    unseen = F.log(F.lit(1.0 + len(templates or TEMPLATES))) + 1.0
+    unseen = F.log(F.lit(1.0 + len(templates))) + 1.0
     idf = weights.select("term", "idf").distinct()
     words = words.join(F.broadcast(idf), "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", unseen)).drop("idf")
-    length = words.groupBy("path", "header", "n_words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum("tf").alias("_terms"))
-    dots = words.join(F.broadcast(weights), "term").groupBy("path", "header", "n_words", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    keys = dots["path"].eqNullSafe(length["path"]) & (dots["header"] == length["header"]) & (dots["n_words"] == length["n_words"])
-    both = dots.join(length, keys).select(dots["path"], dots["header"], dots["n_words"], "license", F.round(F.col("dot") / F.col("length"), 6).alias("cosine"))
-    best = both.groupBy("path", "header", "n_words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    length = words.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = words.join(F.broadcast(weights), "term").groupBy(key, "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    both = dots.join(length, key).select(key, "license", F.round(F.col("dot") / F.col("length"), 6).alias("cosine"))
+    return both.groupBy(key).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select(key, F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
+
+
+def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY, full: dict[str, str] | None = None) -> DataFrame:
+    """``path, license, cosine, is_file`` of files whose header is like a template, or that as a whole are like a full licence text."""
+    found = headers(files).withColumns({"_header": F.sha2("header", 256), "_text": F.sha2("text", 256)})
+    found = staged(found, "headers")
+    by_header = cosines(found.dropDuplicates(["_header"]), "_header", "header", templates or TEMPLATES)
+    by_text = cosines(found.dropDuplicates(["_text"]), "_text", "text", full or FULL).select("_text", F.col("license").alias("_l"), F.col("cosine").alias("_c"))
     share = 100 * F.regexp_count("header", F.lit(WORD)) >= FILE_SHARE * F.col("n_words")
     named = F.lower(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)).rlike(rf"^(?:{'|'.join(FILES.split())})(?:\.[^.]*)?$")
-    best = best.filter(-F.col("best.c") >= similarity).select("path", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"), (share | named).alias("is_file"))
+    both = found.select("path", "_header", "_text", (share | named).alias("_file")).join(by_header, "_header", "left").join(by_text, "_text", "left")
+    is_file = F.col("_file") | F.coalesce(F.col("_c") >= WHOLE, F.lit(False))
+    header = F.when(F.col("cosine") >= similarity, F.struct((-F.col("cosine")).alias("c"), "license"))
+    whole = F.when(is_file & (F.col("_c") >= similarity), F.struct((-F.col("_c")).alias("c"), F.col("_l").alias("license")))
+    best = both.select("path", is_file.alias("is_file"), F.least(header, whole).alias("b")).filter("b IS NOT NULL")
     # files that share a path: the best of them
-    return best.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max("is_file").alias("is_file")).select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), "is_file")
+    return best.groupBy("path").agg(F.min("b").alias("b"), F.max("is_file").alias("is_file")).select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), "is_file")
 
 
 def directory(path: Column) -> Column:

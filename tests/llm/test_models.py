@@ -166,6 +166,20 @@ def test_licenses(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_full_license_texts(spark):
+    full = license_scan.FULL
+    code = "\n".join(f"def f{i}(x{i}): return x{i} + {i}" for i in range(400))
+    holder = "Copyright (c) 2020 Some Body and others\n\n"
+    rows = [(f"{k}/LICENSE", holder + v) for k, v in full.items()] + [(f"{k}/x.c", "int x;") for k in full]
+    rows += [(f"text/{k}/a", v.replace("\n", " \r\n   ")) for k, v in full.items()] + [("code/a.py", full["MIT"] + code), ("code/b.py", code)]
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "MIT", *full):
+        assert (got[f"{k}/LICENSE"].license, got[f"{k}/LICENSE"].origin) == (k, "own") and got[f"{k}/LICENSE"].cosine > 0.9
+        assert (got[f"{k}/x.c"].license, got[f"{k}/x.c"].origin, got[f"{k}/x.c"].license_dir) == (k, "inherited", k)
+        assert got[f"text/{k}/a"].license == k  # no name says so
+    assert got["code/b.py"].license is None  # a source file with a licence in it gives none to its neighbours
+
+
 class Texts(HTMLParser):
     """Plain-text reference: drops elements without text, breaks lines at blocks."""
 
