@@ -1,21 +1,30 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney bigram models.
 
-Each class (toxic, ordinary) is a history whose continuations are words, and a
-word counts by the number of different contexts (word before, word after) it has in
-the class, as Kneser-Ney counts do: a passage copied a thousand times counts once.
-With absolute discount ``D`` a class model is
+Each class (toxic, ordinary) has a model of the words of its texts, in three orders.
 
-    P(w | c) = max(n_c(w) - D, 0) / N_c  +  D T_c / N_c * S(w)
+* Order 2, raw counts: ``n_c(v w)`` texts of the class hold word ``w`` after ``v``; a text
+  counts a pair once, so that lines repeated inside it are one piece of evidence.
+* Order 1, continuation counts: ``k_c(w)`` different words stand before ``w`` in the class.
+* Order 0, shared by both classes: ``S(w)``, the number of classes that have ``w``.
 
-where ``S`` is the backoff shared by both classes, the number of classes that have
-``w``; words with few contexts are one shared word.  The log ratio of both classes is
-drawn towards 0 by one standard error.  A text's score compares the two
-log-likelihoods per word; a cut and a slope learnt on other labelled rows turn the
-difference into a probability.
+With absolute discount ``D``, ``[x] = max(x - D, 0)`` and sums over what stands for the dot,
+
+    P_c(w)     = [k_c(w)] / k_c(.)  +  D types_c / k_c(.) * S(w)
+    P_c(w | v) = (1 - l(v)) [n_c(v w)] / [n_c(v .)]  +  l(v) P(w | v) P_c(w) / P(w)
+
+where ``P(w | v)`` is the Kneser-Ney model of both classes together, ``l(v)`` its backoff
+weight and ``P(w)`` the mean of both ``P_c(w)``.  A word's evidence is the log ratio of both
+``P_c(w)``, drawn towards 0 by ``WORD_ERRORS`` standard errors; a pair's evidence is what the
+log ratio of both ``P_c(w | v)`` adds to that of ``w``, drawn by ``PAIR_ERRORS``.  No word or
+pair is pooled or left out for being rare.  A text's score is its evidence per word; a cut
+and a slope learnt on other labelled rows turn it into a probability.
+
+The model stays a table.  Its ``HEAD`` most frequent entries are broadcast; all others are
+joined with the texts' words and pairs, of which a fixed bitmap lets those pass that may be
+in the table.  The split changes nothing in the scores.
 
 Rows with ``crc32(doc_id) % 5 == 0`` teach nothing.  Folds 1 to 3 are counted, all
 rows of them; fold 4 calibrates, at most ``CALIBRATION`` rows in hash order.
-Different contexts are counted by 23-bit hashes with the linear-counting correction.
 
 Edge cases: a null or empty text has a difference of 0; a doc_id with several labels
 is toxic if one says so; null labels and ids of labels are left out; a null doc_id
@@ -30,22 +39,27 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import sized_broadcast, slices, staged, table
+from callgrain.llm.common import release, sized_broadcast, slices, staged, table
 
 DISCOUNT = 0.75
-#: Contexts that a word needs to be a word of its own.
-LEAST = 10
-#: Words in the model at most; beyond it LEAST is doubled until they fit.
-WORDS = 4_000_000
+#: Standard errors by which the evidence of words, and of pairs beyond their words, is drawn to 0.
+WORD_ERRORS, PAIR_ERRORS = 2.0, 3.0
+#: Entries of the model that are broadcast (12 bytes each); the others are joined.
+HEAD = 1_000_000
+#: Bits of the bitmap of the joined entries (16 MB), as a power of two; 2^15 are one row.
+BITMAP, BITMAP_ROW = 27, 15
 CALIBRATION = 50_000
 BROADCAST_LABELS = 2_000_000
+#: Digests of toxic texts (16 bytes each) up to this many are broadcast.
+BROADCAST_TEXTS = 1_000_000
 MEMO = 150_000
 
 _STRIP = ".,;:!?()[]\"'|*#$%&<>"
-_CONTEXT = np.uint64((1 << 23) - 1)
+#: Stand before the first and after the last word.
+_START, _END = 0, 1
 
 
 class Words:
@@ -64,23 +78,34 @@ class Words:
         return np.fromiter(map(memo.__getitem__, chunks), np.uint64, len(chunks))
 
 
-def contexts(words: np.ndarray, toxic: int) -> np.ndarray:
-    """One key a place: 40 bits of the word, 23 of its neighbours, 1 of the class."""
-    before = np.concatenate([np.zeros(1, np.uint64), words[:-1]])
-    after = np.concatenate([words[1:], np.ones(1, np.uint64)])
-    h = before * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xC2B2AE3D27D4EB4F)
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's predecessor, and the words, both ends marked."""
+    return np.concatenate([np.array([_START], np.uint64), words]), np.concatenate([words, np.array([_END], np.uint64)])
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs; the top bit tells them from words."""
+    h = v * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return words << np.uint64(24) | (h >> np.uint64(41) & _CONTEXT) << np.uint64(1) | np.uint64(toxic)
+    return h ^ (h >> np.uint64(32)) | np.uint64(1 << 63)
 
 
-def _keys(batches):
+def _pairs(batches):
+    """Rows ``vw, w, n0, n1``: 40 bits of v and the upper 24 of w, the lower 16 of w, texts of either class."""
     words = Words()
     for batch in slices(batches):
-        out = [contexts(words(t), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
-        if out:
-            for at in range(0, len(out), 200):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out[at : at + 200])).view(np.int64))], ["key"])
+        found = ([], [])
+        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(h := words(t)):
+                v, w = pairs(h)
+                _, at = np.unique(pair_keys(v, w), return_index=True)
+                found[y].append(np.stack([v[at] << np.uint64(24) | w[at] >> np.uint64(16), w[at] & np.uint64(0xFFFF)]))
+        for y, part in enumerate(found):
+            if part:
+                vw, w = np.concatenate(part, axis=1)
+                n = [pa.array(np.full(len(w), y == k, np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(vw.view(np.int64)), pa.array(w.astype(np.int32)), *n], ["vw", "w", "n0", "n1"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -90,68 +115,155 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(sized_broadcast(known, BROADCAST_LABELS), "doc_id")
 
 
-def class_counts(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """``word, n0, n1``: contexts of each word in either class; words under ``least`` are summed as word -1."""
-    keys = rows.select("text", "toxic").mapInArrow(_keys, "key long").distinct()
-    word, toxic = F.shiftrightunsigned("key", 24), F.col("key").bitwiseAND(1)
-    n = keys.select(word.alias("word"), toxic.alias("toxic")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("k0"), F.sum("toxic").alias("k1"))
-    m = float(1 << 23)
-    true = lambda k: -m * F.log1p(-F.least(F.col(k) / m, F.lit(1 - 1e-7)))
-    n = n.select("word", true("k0").alias("n0"), true("k1").alias("n1"))
-    own = F.when(F.round(F.col("n0") + F.col("n1")) >= least, F.col("word")).otherwise(F.lit(-1).cast("long"))
-    return n.groupBy(own.alias("word")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """``v, w, n0, n1``: texts of either class that hold w after v."""
+    n = rows.select("text", "toxic").mapInArrow(_pairs, "vw long, w int, n0 long, n1 long").groupBy("vw", "w").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
+    w = F.shiftleft(F.col("vw").bitwiseAND((1 << 24) - 1), 16).bitwiseOR(F.col("w").cast("long"))
+    return n.select(F.shiftrightunsigned("vw", 24).alias("v"), w.alias("w"), "n0", "n1")
 
 
-def ratios(n0: np.ndarray, n1: np.ndarray, d: float = DISCOUNT) -> np.ndarray:
-    """Log ratio of the two class models for each word."""
-    shared = ((n0 > 0).astype(float) + (n1 > 0)) / ((n0 > 0).sum() + (n1 > 0).sum())
-    p = [np.maximum(n - d, 0) / n.sum() + np.minimum(n, d).sum() / n.sum() * shared for n in (n0, n1)]
-    ratio = np.log(p[1] / p[0])
-    return np.copysign(np.maximum(0, np.abs(ratio) - np.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))), ratio)
-
-
-def model(rows: DataFrame, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Sorted word hashes, their log ratios and that of rare words; None without both classes."""
-    counts = staged(class_counts(rows, least), "toxic-counts")
-    while counts.count() > WORDS:
-        least *= 2
-        own = F.when(F.col("n0") + F.col("n1") >= least, F.col("word")).otherwise(F.lit(-1).cast("long"))
-        counts = staged(counts.groupBy(own.alias("word")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts")
-    got = counts.toArrow().sort_by("word")  # at most WORDS rows of 24 bytes
-    word, n0, n1 = (got.column(c).to_numpy() for c in ("word", "n0", "n1"))
-    if not len(word) or not n0.sum() or not n1.sum():
+def _less(n: Column, d: float) -> Column:
+    return F.greatest(n - F.lit(d), F.lit(0.0))
+
+
+def _drawn(ratio: Column, errors: float, a: Column, b: Column) -> Column:
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - errors * F.sqrt(1 / (a + 1.0) + 1 / (b + 1.0)))
+
+
+def word_models(counts: DataFrame, d: float = DISCOUNT) -> DataFrame | None:
+    """``w, k0, k1, p0, p1, p``: continuation counts, the class models of order 1 and their mean; None without both classes."""
+    k = staged(counts.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")), "toxic-words")
+    all_ = k.agg(F.sum("k0"), F.sum("k1"), F.count_if(F.col("k0") > 0), F.count_if(F.col("k1") > 0)).first()
+    if not all_[0] or not all_[1]:
         return None
-    r = ratios(n0, n1)
-    rare = float(r[0]) if word[0] == -1 else 0.0
-    keep = word >= 0
-    return word[keep], r[keep].astype(np.float32), rare
+    shared = ((F.col("k0") > 0).cast("double") + (F.col("k1") > 0).cast("double")) / float(all_[2] + all_[3])
+    p = [_less(F.col(c), d) / float(n) + d * types / n * shared for c, n, types in (("k0", all_[0], all_[2]), ("k1", all_[1], all_[3]))]
+    k = k.select("w", "k0", "k1", p[0].alias("p0"), p[1].alias("p1"))
+    share = all_[1] / (all_[0] + all_[1])
+    return k.withColumn("p", (1 - share) * F.col("p0") + share * F.col("p1"))
+
+
+def evidence(counts: DataFrame, d: float = DISCOUNT) -> DataFrame | None:
+    """``key, value, n``: what words and pairs add to a text's score, where it is not 0, and how often they were seen."""
+    words = word_models(counts, d)
+    if words is None:
+        return None
+    own = words.filter(F.col("w") != _END).select(F.col("w").alias("key"), _drawn(F.ln(F.col("p1") / F.col("p0")), WORD_ERRORS, F.col("k0"), F.col("k1")).alias("value"), (F.col("k0") + F.col("k1")).alias("n"))
+    n = F.col("n0") + F.col("n1")
+    histories = staged(counts.groupBy("v").agg(F.sum(n).alias("nv"), F.sum(F.least(n.cast("double"), F.lit(d))).alias("dv"), F.sum(_less(F.col("n0"), d)).alias("x0"), F.sum(_less(F.col("n1"), d)).alias("x1")), "toxic-histories")
+    rows = counts.join(words.select("w", "p0", "p1", "p"), "w").join(histories, "v")
+    back = F.col("dv") / F.col("nv")
+    both = _less(n, d) / F.col("nv") + back * F.col("p")
+
+    def of(c: int) -> Column:
+        below = both * F.col(f"p{c}") / F.col("p")
+        return F.when(F.col(f"x{c}") > 0, (1 - back) * _less(F.col(f"n{c}"), d) / F.col(f"x{c}") + back * below).otherwise(below)
+
+    beyond = F.ln(of(1) / of(0)) - F.ln(F.col("p1") / F.col("p0"))
+    value = _drawn(beyond, PAIR_ERRORS, F.col("n0"), F.col("n1"))
+    found = rows.select("v", "w", value.alias("value"), n.cast("long").alias("n")).filter("value <> 0")
+    return own.filter("value <> 0").unionByName(found.mapInArrow(_keyed, "key long, value double, n long"))
+
+
+def _keyed(batches):
+    for batch in batches:
+        v, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(v, w).view(np.int64)), batch.column(2), batch.column(3)], ["key", "value", "n"])
+
+
+def _digest() -> tuple[Column, Column]:
+    """128 bits of a text."""
+    return F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    """Bits of keys in the bitmap; :func:`_bit` is the same on columns."""
+    return ((key ^ key >> np.uint64(31)) & np.uint64((1 << BITMAP) - 1)).astype(np.int64)
+
+
+def _bit(key: Column) -> Column:
+    return key.bitwiseXOR(F.shiftrightunsigned(key, 31)).bitwiseAND((1 << BITMAP) - 1)
+
+
+class Model:
+    """The evidence as a broadcast head, and the table of the others with its bitmap (None if the head holds all)."""
+
+    def __init__(self, spark: SparkSession, table: DataFrame, head: int = HEAD):
+        rows = table.count()
+        first = table
+        self.tail, bitmap = None, None
+        if rows > head:
+            ranked = table.orderBy(F.desc("n"), "key").limit(head)
+            first = staged(ranked, "toxic-head")
+            self.tail = staged(table.join(first.select("key"), "key", "left_anti").select("key", "value"), "toxic-tail")
+            bit = _bit(F.col("key"))
+            parts = self.tail.select(F.shiftright(bit, BITMAP_ROW).alias("row"), bit.bitwiseAND((1 << BITMAP_ROW) - 1).alias("bit")).distinct().groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+            bitmap = np.zeros((1 << BITMAP - BITMAP_ROW, 1 << BITMAP_ROW - 3), np.uint8)
+            for r in parts.toLocalIterator():  # at most 4,096 rows of 4 KB
+                bitmap[r.row] = np.frombuffer(r.bits, np.uint8)
+            bitmap = bitmap.ravel()
+        got = first.select("key", "value").toArrow()  # at most HEAD rows of 16 bytes
+        key, value = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
+        o = np.argsort(key)
+        self.shared = spark.sparkContext.broadcast((key[o], value[o].astype(np.float32), bitmap))
+
+    def differences(self, docs: DataFrame, *columns: str) -> DataFrame:
+        """``columns, difference`` of rows with a text."""
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+        if self.tail is None:
+            return docs.select(*columns, "text").mapInArrow(_score(self.shared), f"{kinds}, difference double, words long").drop("words")
+        docs = docs.withColumns(dict(zip(("d1", "d2"), _digest(), strict=True)))
+        head = docs.select(*columns, "d1", "d2", "text").mapInArrow(_score(self.shared), f"{kinds}, d1 long, d2 long, difference double, words long")
+        hits = docs.select("d1", "d2", "text").mapInArrow(_hits(self.shared), "d1 long, d2 long, key long, times int").dropDuplicates(["d1", "d2", "key"])
+        more = hits.join(self.tail, "key").groupBy("d1", "d2").agg(F.sum(F.col("times") * F.col("value").cast("float")).alias("_more"))
+        both = head.join(more, ["d1", "d2"], "left")
+        return both.select(*columns, (F.col("difference") + F.coalesce("_more", F.lit(0.0)) / F.greatest("words", F.lit(1))).alias("difference"))
 
 
 class Scorer:
-    """Differences per word of texts; remembers at most ``MEMO`` chunks."""
+    """Evidence of texts by the head of a model; remembers word hashes up to a bound."""
 
-    def __init__(self, word: np.ndarray, ratio: np.ndarray, rare: float):
-        self.word, self.ratio, self.rare = word, ratio, rare
-        self.memo: dict[str, float] = {}
+    def __init__(self, key: np.ndarray, value: np.ndarray, bitmap: np.ndarray | None):
+        self.key, self.value, self.bitmap, self.words = key, value, bitmap, Words()
 
-    def __call__(self, text: str | None) -> float:
-        chunks, memo = text.split() if text else [], self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set(chunks).difference(memo))
-        if new:
-            h = np.fromiter((xxhash.xxh3_64_intdigest((c.strip(_STRIP) or c).lower().encode()) >> 24 for c in new), np.int64, len(new))
-            at = np.minimum(np.searchsorted(self.word, h), max(0, len(self.word) - 1))
-            got = np.where(self.word[at] == h, self.ratio[at], self.rare) if len(self.word) else np.full(len(h), self.rare)
-            memo.update(zip(new, got.tolist(), strict=True))
-        return math.fsum(map(memo.__getitem__, chunks)) / len(chunks) if chunks else 0.0
+    def look(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Keys of the text's words and pairs, where they stand in the head, whether they do; and the number of words."""
+        h = self.words(text)
+        keys = np.concatenate([h, pair_keys(*pairs(h))]) if len(h) else h
+        at = np.minimum(np.searchsorted(self.key, keys), max(0, len(self.key) - 1))
+        return keys, at, self.key[at] == keys if len(self.key) else np.zeros(len(keys), bool), len(h)
+
+    def __call__(self, text: str | None) -> tuple[float, int]:
+        _, at, there, n = self.look(text)
+        return (math.fsum(self.value[at[there]].tolist()) / n if n else 0.0), n
+
+    def others(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that may be in the table beside the head, and how often the text has them."""
+        keys, _, there, _ = self.look(text)
+        keys = keys[~there]
+        bit = _place(keys)
+        return np.unique(keys[self.bitmap[bit >> 3] >> (bit & 7) & 1 == 1], return_counts=True)
 
 
 def _score(shared):
     def run(batches):
         score = Scorer(*shared.value)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "difference"])
+            got = [score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())], [*batch.schema.names[:-1], "difference", "words"])
+
+    return run
+
+
+def _hits(shared):
+    def run(batches):
+        score = Scorer(*shared.value)
+        for batch in slices(batches):
+            got = [score.others(t) for t in batch.column(2).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(got)), [len(k) for k, _ in got]))
+            if len(rows):
+                keys, times = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys.view(np.int64)), pa.array(times.astype(np.int32))], ["d1", "d2", "key", "times"])
 
     return run
 
@@ -160,11 +272,19 @@ def _clean(shared, cut: float, column: int):
     def run(batches):
         score = Scorer(*shared.value)
         for batch in slices(batches):
-            yield batch.filter(pa.array([score(t) < cut for t in batch.column(column).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score(t)[0] < cut for t in batch.column(column).to_pylist()], pa.bool_()))
 
     return run
 
 
+def ratios(n0: np.ndarray, n1: np.ndarray, d: float = DISCOUNT) -> np.ndarray:
+    """Evidence of words by their counts, as :func:`evidence` has it (for tests)."""
+    shared = ((n0 > 0).astype(float) + (n1 > 0)) / ((n0 > 0).sum() + (n1 > 0).sum())
+    p = [np.maximum(n - d, 0) / n.sum() + np.minimum(n, d).sum() / n.sum() * shared for n in (n0, n1)]
+    ratio = np.log(p[1] / p[0])
+    return np.copysign(np.maximum(0, np.abs(ratio) - WORD_ERRORS * np.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))), ratio)
+
+
 def calibrate(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Cut with the fewest errors (the middle of the best gap), and the slope of most likelihood."""
     o = np.argsort(s, kind="stable")
@@ -180,44 +300,50 @@ def calibrate(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return cut, float(slopes[np.argmin(np.logaddexp(0, -z).sum(1))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, least: int = LEAST):
-    """``(broadcast model, cut, slope)``; None without rows of both classes."""
+def fit(docs: DataFrame, labels: DataFrame, head: int = HEAD):
+    """``(model, cut, slope)``; None without rows of both classes."""
+    spark = docs.sparkSession
     rows = labelled(docs, labels)
-    found = model(rows.filter("fold < 4"), least)
+    counts = staged(pair_counts(rows.filter("fold < 4")), "toxic-pairs")
+    release(spark)
+    found = evidence(counts)
     if found is None:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(found)  # at most WORDS words of 12 bytes
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = rows.select("doc_id", "toxic", "fold").distinct()
+    found = Model(spark, staged(found, "toxic-model"), head)
+    release(spark)
     s = y = np.empty(0)
     for fold in ("fold = 4", "fold > 0"):  # a tiny table may have nothing in the fourth
-        scored = rows.filter(fold).select("doc_id", "text").mapInArrow(_score(shared), f"doc_id {kind}, difference double")
-        got = scored.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "difference").limit(CALIBRATION).select("difference", "toxic").toArrow()
+        scored = found.differences(rows.filter(fold), "doc_id", "toxic")
+        got = scored.orderBy(F.xxhash64("doc_id"), "difference").limit(CALIBRATION).select("difference", "toxic").toArrow()
         s, y = got.column("difference").to_numpy(), got.column("toxic").to_numpy()
         if 0 < y.sum() < len(y):
-            return shared, *calibrate(s, y)
-    return shared, 0.1, 50.0
+            return found, *calibrate(s, y)
+    return found, 0.1, 50.0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out")
-    fitted = fit(docs, labels, least)
+    fitted = fit(docs, labels, head)
     if fitted is None:
         return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared, cut, slope = fitted
-    scored = docs.select("doc_id", "text").mapInArrow(_score(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, difference double")
+    found, cut, slope = fitted
     score = 1 / (1 + F.exp(-slope * (F.col("difference") - cut)))
-    return scored.select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return found.differences(docs.select("doc_id", "text"), "doc_id").select("doc_id", held, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that :func:`toxicity` does not predict toxic, all columns kept; no shuffle of texts."""
-    fitted = fit(docs, labels, least)
+def without_toxic(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
+    """The rows of ``docs`` that :func:`toxicity` does not predict toxic, all columns kept; no shuffle of texts while the toxic ones are few."""
+    fitted = fit(docs, labels, head)
     if fitted is None:
         return docs
-    shared, cut, _ = fitted
-    return docs.mapInArrow(_clean(shared, cut, docs.columns.index("text")), docs.schema)
+    found, cut, _ = fitted
+    if found.tail is None:
+        return docs.mapInArrow(_clean(found.shared, cut, docs.columns.index("text")), docs.schema)
+    d1, d2 = _digest()
+    bad = found.differences(docs.select("text").withColumns({"_d1": d1, "_d2": d2}), "_d1", "_d2").filter(F.col("difference") >= cut).select("_d1", "_d2").distinct()
+    bad = sized_broadcast(staged(bad, "toxic-texts"), BROADCAST_TEXTS)
+    return docs.join(bad, (d1 == bad["_d1"]) & (d2 == bad["_d2"]), "left_anti")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

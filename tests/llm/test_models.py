@@ -55,6 +55,49 @@ def test_kneser_ney_sums_to_one():
     assert r[1] > 0 >= r[2]
 
 
+def labelled_texts(spark, toxic, clean, n=300):
+    """Texts of random words: ``toxic(i)`` in each third one, ``clean(i)`` in the others; and their labels."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(30)]
+        t.insert(rng.randrange(31), toxic(i) if i % 3 == 0 else clean(i))
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return docs, spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+
+
+def held_out_errors(docs, labels, **more):
+    got = toxicity.toxicity(docs, labels, **more).filter("held_out").collect()
+    return sum(r.predicted != (r.doc_id % 3 == 0) for r in got) / len(got)
+
+
+def test_toxicity_rare_words(spark):
+    # each slur is held by 6 or 7 toxic texts: fewer than 10 contexts
+    docs, labels = labelled_texts(spark, lambda i: f"slur{i // 3 % 15}", lambda i: f"kind{i % 30}")
+    assert held_out_errors(docs, labels) < 0.1
+    # a stock phrase: its inner word has one context in however many texts
+    docs, labels = labelled_texts(spark, lambda i: "w1 foul w2", lambda i: "w1 w3 w2")
+    assert held_out_errors(docs, labels) < 0.1
+
+
+def test_toxicity_expressions(spark):
+    # the same words in both classes: their order tells
+    docs, labels = labelled_texts(spark, lambda i: "x1 x2 x3 x4", lambda i: "x4 x3 x2 x1")
+    assert held_out_errors(docs, labels) < 0.05
+
+
+def test_toxicity_model_of_any_size(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    whole = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for head in (0, 20):  # all, or all but 20, entries are joined
+        split = toxicity.toxicity(docs, labels, head=head).collect()
+        assert len(split) == len(whole) and all(abs(r.score - whole[r.doc_id].score) < 1e-6 and r.predicted == whole[r.doc_id].predicted for r in split)
+        kept = toxicity.without_toxic(clashing(docs), labels, head=head)
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(k for k, r in whole.items() if not r.predicted)
+
+
 def test_calibrate():
     s, y = np.array([0.0, 0.1, 0.2, 0.9, 1.0]), np.array([0, 0, 0, 1, 1])
     cut, slope = toxicity.calibrate(s, y)
