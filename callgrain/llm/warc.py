@@ -13,7 +13,7 @@ collapsed, empty lines go.
 
 Edge cases: a null page is an empty payload and gives an empty text; a null URI leaves its
 header out; rows that repeat give repeated records with equal ids; markup that never closes
-ends at the end of the page; an empty table gives no rows; further columns are ignored.
+ends at the end of the page, but a head before its first text or element of a body; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +38,16 @@ DROPPED = "script style template noscript head"
 BLOCKS = "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul"
 
 _BLOCKS = frozenset(BLOCKS.split())
-_GONE = "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\Z)" for name in DROPPED.split())
+#: After an element's name; longer names are other elements.
+_NAMED = r"(?=[\s/>])"
+#: A head without an end tag ends before the first text or element that no head holds.
+_IN_HEAD = "|".join([r"\s+", r"<!--.*?-->", *(rf"<{name}{_NAMED}[^>]*>.*?</{name}\s*>" for name in "title script style template noscript".split()), rf"<(?:meta|link|base){_NAMED}[^>]*>"])
+_HEAD = rf"<head{_NAMED}[^>]*>(?:.*?</head\s*>|(?:{_IN_HEAD})*)"
+_GONE = "|".join(_HEAD if name == "head" else rf"<{name}{_NAMED}[^>]*>.*?(?:</{name}\s*>|\Z)" for name in DROPPED.split())
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|{_GONE}|</?([a-zA-Z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
+_TITLE = re.compile(rf"<title{_NAMED}[^>]*>(.*?)</title", re.S | re.I)
+_LANG = re.compile(rf"<html{_NAMED}[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(rf"<a{_NAMED}[^>]*\bhref\s*=", re.I)
 
 
 def _tag(m: re.Match) -> str:

@@ -223,6 +223,15 @@ def test_full_license_texts(spark):
     assert got["code/b.py"].license is None  # a source file with a licence in it gives none to its neighbours
 
 
+def test_open_heads_and_custom_elements():
+    assert warc.plain_text("<html><head><title>t</title><body><p>All text</p>") == "All text"
+    assert warc.plain_text("<head><meta charset=x><script>'<p>no'</script><!-- <p>no --><p>All</p> text") == "All\ntext"
+    assert warc.plain_text("<head> words without markup") == "words without markup"
+    assert warc.plain_text("<head><div>no</div></head><p>All text") == "All text"
+    assert warc.plain_text("<p>a<head-line>b</head-line> c<script-x>d</script-x> e<template-y>f") == "ab cd ef"
+    assert warc.plain_text("<p>a<script src=x>no</script>b<style/>no</style>") == "ab"
+
+
 class Texts(HTMLParser):
     """Plain-text reference: drops elements without text, breaks lines at blocks."""
 
