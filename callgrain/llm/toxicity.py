@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import release, sized_broadcast, slices, staged, table
+from callgrain.llm.common import mark, release, sized_broadcast, slices, staged, sweep, table
 
 DISCOUNT = 0.75
 #: Standard errors by which the evidence of words, and of pairs beyond their words, is drawn to 0.
@@ -130,45 +130,50 @@ def _drawn(ratio: Column, errors: float, a: Column, b: Column) -> Column:
     return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - errors * F.sqrt(1 / (a + 1.0) + 1 / (b + 1.0)))
 
 
-def word_models(counts: DataFrame, d: float = DISCOUNT) -> DataFrame | None:
-    """``w, k0, k1, p0, p1, p``: continuation counts, the class models of order 1 and their mean; None without both classes."""
-    k = staged(counts.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")), "toxic-words")
+def evidence(counts: DataFrame, since: int, d: float = DISCOUNT) -> DataFrame | None:
+    """``key, value, n``: what words and pairs add to a text's score, where it is not 0, and how often they were seen; None without both classes.
+
+    Tables staged since the mark are removed once they are used, ``counts`` among them.
+    """
+    n = F.col("n0") + F.col("n1")
+    k = staged(counts.groupBy("w").agg(F.count_if(F.col("n0") > 0).cast("int").alias("k0"), F.count_if(F.col("n1") > 0).cast("int").alias("k1")), "toxic-words")
     all_ = k.agg(F.sum("k0"), F.sum("k1"), F.count_if(F.col("k0") > 0), F.count_if(F.col("k1") > 0)).first()
     if not all_[0] or not all_[1]:
         return None
     shared = ((F.col("k0") > 0).cast("double") + (F.col("k1") > 0).cast("double")) / float(all_[2] + all_[3])
-    p = [_less(F.col(c), d) / float(n) + d * types / n * shared for c, n, types in (("k0", all_[0], all_[2]), ("k1", all_[1], all_[3]))]
-    k = k.select("w", "k0", "k1", p[0].alias("p0"), p[1].alias("p1"))
-    share = all_[1] / (all_[0] + all_[1])
-    return k.withColumn("p", (1 - share) * F.col("p0") + share * F.col("p1"))
-
-
-def evidence(counts: DataFrame, d: float = DISCOUNT) -> DataFrame | None:
-    """``key, value, n``: what words and pairs add to a text's score, where it is not 0, and how often they were seen."""
-    words = word_models(counts, d)
-    if words is None:
-        return None
-    own = words.filter(F.col("w") != _END).select(F.col("w").alias("key"), _drawn(F.ln(F.col("p1") / F.col("p0")), WORD_ERRORS, F.col("k0"), F.col("k1")).alias("value"), (F.col("k0") + F.col("k1")).alias("n"))
-    n = F.col("n0") + F.col("n1")
+    model = [(total, types) for total, types in ((all_[0], all_[2]), (all_[1], all_[3]))]
+    p0, p1 = (_less(F.col(c), d) / float(total) + d * types / total * shared for c, (total, types) in zip(("k0", "k1"), model, strict=True))
+    own = k.filter(F.col("w") != _END).select(F.col("w").alias("key"), _drawn(F.ln(p1 / p0), WORD_ERRORS, F.col("k0"), F.col("k1")).alias("value"), (F.col("k0").cast("long") + F.col("k1")).alias("n"))
     histories = staged(counts.groupBy("v").agg(F.sum(n).alias("nv"), F.sum(F.least(n.cast("double"), F.lit(d))).alias("dv"), F.sum(_less(F.col("n0"), d)).alias("x0"), F.sum(_less(F.col("n1"), d)).alias("x1")), "toxic-histories")
-    rows = counts.join(words.select("w", "p0", "p1", "p"), "w").join(histories, "v")
-    back = F.col("dv") / F.col("nv")
-    both = _less(n, d) / F.col("nv") + back * F.col("p")
+    release(counts.sparkSession)
+    rows = staged(counts.join(k, "w"), "toxic-joined")
+    sweep(counts.sparkSession, since, k, histories, rows)
+    rows = rows.join(histories, "v").select("v", "w", "n0", "n1", "k0", "k1", "nv", "dv", "x0", "x1")
+    return own.filter("value <> 0").unionByName(rows.mapInArrow(_beyond(model, d), "key long, value double, n long"))
 
-    def of(c: int) -> Column:
-        below = both * F.col(f"p{c}") / F.col("p")
-        return F.when(F.col(f"x{c}") > 0, (1 - back) * _less(F.col(f"n{c}"), d) / F.col(f"x{c}") + back * below).otherwise(below)
 
-    beyond = F.ln(of(1) / of(0)) - F.ln(F.col("p1") / F.col("p0"))
-    value = _drawn(beyond, PAIR_ERRORS, F.col("n0"), F.col("n1"))
-    found = rows.select("v", "w", value.alias("value"), n.cast("long").alias("n")).filter("value <> 0")
-    return own.filter("value <> 0").unionByName(found.mapInArrow(_keyed, "key long, value double, n long"))
+def _beyond(model: list[tuple[int, int]], d: float):
+    """Evidence of pairs beyond that of their last words, where it is not 0; model: continuations and types of either class."""
 
+    def run(batches):
+        for batch in batches:
+            v, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (0, 1))
+            n0, n1, k0, k1, nv, dv, x0, x1 = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(2, 10))
+            shared = ((k0 > 0).astype(float) + (k1 > 0)) / sum(types for _, types in model)
+            p = [(np.maximum(k - d, 0) + d * types * shared) / total for k, (total, types) in zip((k0, k1), model, strict=True)]
+            mean = sum(q * total for q, (total, _) in zip(p, model, strict=True)) / sum(total for total, _ in model)
+            back = dv / nv
+            both = np.maximum(n0 + n1 - d, 0) / nv + back * mean
+            after = []
+            for n, x, q in ((n0, x0, p[0]), (n1, x1, p[1])):
+                below = both * q / mean
+                after.append(np.where(x > 0, (1 - back) * np.maximum(n - d, 0) / np.where(x > 0, x, 1) + back * below, below))
+            ratio = np.log(after[1] / after[0]) - np.log(p[1] / p[0])
+            value = np.copysign(np.maximum(0, np.abs(ratio) - PAIR_ERRORS * np.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))), ratio)
+            at = value != 0
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(v[at], w[at]).view(np.int64)), pa.array(value[at]), pa.array((n0 + n1)[at].astype(np.int64))], ["key", "value", "n"])
 
-def _keyed(batches):
-    for batch in batches:
-        v, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(v, w).view(np.int64)), batch.column(2), batch.column(3)], ["key", "value", "n"])
+    return run
 
 
 def _digest() -> tuple[Column, Column]:
@@ -302,15 +307,16 @@ def calibrate(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, head: int = HEAD):
     """``(model, cut, slope)``; None without rows of both classes."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     rows = labelled(docs, labels)
     counts = staged(pair_counts(rows.filter("fold < 4")), "toxic-pairs")
     release(spark)
-    found = evidence(counts)
+    found = evidence(counts, since)
     if found is None:
         return None
-    found = Model(spark, staged(found, "toxic-model"), head)
-    release(spark)
+    found = staged(found, "toxic-model")
+    sweep(spark, since, found)
+    found = Model(spark, found, head)
     s = y = np.empty(0)
     for fold in ("fold = 4", "fold > 0"):  # a tiny table may have nothing in the fourth
         scored = found.differences(rows.filter(fold), "doc_id", "toxic")
