@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callgrain.llm.common import mark, sized_broadcast, slices, staged, sweep, table
@@ -142,11 +142,13 @@ def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, level
 
 
 def _sketch(width: int, similarity: int):
+    """The text is the last column; the others pass through."""
+
     def run(batches):
         shingle = Shingler(width)
         for batch in slices(batches):
             n, lo, hi, regs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 s = shingle(text)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
@@ -154,7 +156,7 @@ def _sketch(width: int, similarity: int):
                 hi.append(int.from_bytes(d[8:], "little", signed=True))
                 regs.append([{"level": x, "regs": registers(s, x).tobytes()} for x in levels(len(s), similarity)] if len(s) else [])
             kind = pa.list_(pa.struct([("level", pa.int32()), ("regs", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(regs, kind)], ["doc_id", "n", "s1", "s2", "regs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(regs, kind)], [*batch.schema.names[:-1], "n", "s1", "s2", "regs"])
 
     return run
 
@@ -226,11 +228,17 @@ def _verify(similarity: int):
     return run
 
 
+def text_key() -> tuple:
+    """Two native 64-bit hashes of the text that tell apart the rows of one doc_id."""
+    return F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2")
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, width: int, similarity: int):
         self.width, self.similarity = width, similarity
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-        self.rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(width, similarity), "doc_id long, n long, s1 long, s2 long, regs array<struct<level: int, regs: binary>>"), "sketch")
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
+        self.rows = staged(keyed.mapInArrow(_sketch(width, similarity), "doc_id long, t1 long, t2 long, n long, s1 long, s2 long, regs array<struct<level: int, regs: binary>>"), "sketch")
         full = self.rows.filter("n > 0 AND doc_id IS NOT NULL")
         classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("c"))
         self.table = classes = staged(classes.select("s1", "s2", "c.*"), "classes")
@@ -423,8 +431,8 @@ def _verify_blocks(similarity: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _classified(docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """``doc_id, t1, t2, n, comp`` for every row; comp is null for a null doc_id."""
     k = _Linker(docs, width, similarity)
     spark, at = docs.sparkSession, mark()
     buckets = staged(k.buckets(), "buckets")
@@ -439,19 +447,45 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     labels = staged(components(links), "labels")
     sweep(spark, at, labels)
     own = k.classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
-    rows = k.rows.select("doc_id", "n", "s1", "s2").join(own, ["s1", "s2"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    comp = F.when(alone, F.col("doc_id")).otherwise(F.col("comp"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    # sets without shingles are one value for many rows: they keep out of the join
+    full = k.rows.filter("n > 0 AND doc_id IS NOT NULL").join(own, ["s1", "s2"]).select("doc_id", "t1", "t2", "n", "comp")
+    rest = k.rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", "t1", "t2", "n", F.col("doc_id").alias("comp"))
+    return full.unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    rows = _classified(docs, width, similarity)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def without_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` of which one stands for each component, all columns kept."""
-    at = mark()
-    found = near_duplicates(docs, width, similarity)
-    gone = staged(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    sweep(docs.sparkSession, at, gone)
-    return docs.join(sized_broadcast(gone, BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` of which one stands for each component, all columns kept.
+
+    That is the row of the least doc_id; where rows share it, the one of the least text
+    hashes; of rows that repeat id and text the one of the least hash over all columns.
+    Rows without shingles stay unless they repeat id and text, rows without a doc_id all stay.
+    """
+    spark, at = docs.sparkSession, mark()
+    found = staged(_classified(docs, width, similarity).filter("doc_id IS NOT NULL"), "classified")
+    row = F.struct("doc_id", "t1", "t2")
+    # a component is its least doc_id; rows without shingles that share an id are components by text
+    alone = F.when(F.col("n") == 0, F.col("t1")).otherwise(F.lit(0))
+    rows = found.groupBy("doc_id", "t1", "t2", "comp", alone.alias("alone")).agg(F.count("*").alias("times"))
+    least = rows.groupBy("comp", "alone").agg(F.min(row).alias("m"))
+    rows = rows.join(least, ["comp", "alone"]).select("doc_id", "t1", "t2", "times", (row == F.col("m")).alias("stays"))
+    rows = staged(rows.filter("NOT stays OR times > 1").withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"}), "gone")
+    sweep(spark, at, rows)
+    t1, t2 = text_key()
+    gone = sized_broadcast(rows, BROADCAST_IDS // 4)
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
+    kept = docs.join(gone, same, "left_anti")
+    again = rows.filter("stays")
+    if again.limit(1).count():
+        order = Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.xxhash64(*docs.columns))
+        first = docs.join(sized_broadcast(again, BROADCAST_IDS // 4), same).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+        kept = kept.unionByName(first.select(*docs.columns))
+    return kept
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,25 @@
 """Mixing sources to target weights by hash-random range cuts (native).
 
-Every document gets a hash-random key.  Inside its source the keys are sorted
-by range - first into ``BUCKETS`` slices of the key space, then inside a slice -
-and a distributed prefix sum (slice totals, then a running sum inside a slice)
+Every document gets a hash-random key of its source, id and text.  Inside its source the
+keys are sorted by range - first into ``BUCKETS`` slices of the key space, then inside a
+slice - and a distributed prefix sum (slice totals, then a running sum inside a slice)
 gives the words that lie before each document.  A source with budget ``B`` and
 ``Z`` words takes ``B // Z`` whole epochs and cuts the next one exactly at
 ``B % Z`` words, so the cut document gives only its first words.
 
+Rows that repeat id, source and text have one key.  They are counted before the sort, so a
+key is one row there however often it repeats, and lie one after the other: only where the
+cut falls among them do they take different amounts, and only those are numbered (by the
+hash of their other columns).  So the order is total, and reruns agree for any layout.
+
 No task sees a whole source: a slice holds 1/4096 of it, and the window over
-slice totals has at most 4096 rows a source, however large the corpus is.
+slice totals has at most 4096 rows a source, however large the corpus is.  The windows
+that share out the words see one row a source.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a
-source of its own, last in weight order; equal keys (repeated rows) are ordered
-by doc_id, and rows equal in both share one running total, cut as one; an empty
-table gives no rows; further columns are ignored.
+source of its own, last in weight order; null and repeated ids are told apart by their
+texts, repeated rows each take their own part; an empty table gives no rows; further
+columns are ignored by ``mix`` and kept by ``materialise``.
 """
 
 from __future__ import annotations
@@ -35,6 +41,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def order_key(seed: str, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> Column:
+    """The hash-random key of a row: equal only for rows of one id, source and text."""
+    of = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  null and empty differ
+    return F.md5(F.concat_ws(":", F.lit(seed), of(F.col(doc_id).cast("string")), F.coalesce(F.md5(F.col(text)), F.lit("")), of(F.col(source))))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS) -> DataFrame:
     """One row a source: ``source, source_size, target``.
 
@@ -57,49 +69,74 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPO
     return per.select("source", "source_size", F.coalesce(level * F.col("weight"), F.col("cap")).alias("target"))
 
 
-def with_taken(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add ``source_size, target, taken`` to ``doc_id, source, size``."""
-    keyed = sizes.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))).withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
-    slices = keyed.groupBy("source", "_slice").agg(F.sum("size").alias("_in_slice"))
+def sliced(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row a key of ``source, _key, size``: with ``copies``, ``source_size, target, epochs`` and ``open``, the words that the cut leaves from its first copy on."""
+    one = rows.groupBy("_key").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    one = one.withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS)).withColumn("_all", F.col("size") * F.col("copies"))
+    slices = one.groupBy("source", "_slice").agg(F.sum("_all").alias("_in_slice"))
     slices = slices.withColumn("_offset", F.sum("_in_slice").over(Window.partitionBy("source").orderBy("_slice")) - F.col("_in_slice"))
     # targets: a row a source; slices: at most 4096 rows a source; both sides of the joins stay shuffle joins
-    slices = slices.join(targets, slices["source"].eqNullSafe(targets["source"])).select(slices["source"], "_slice", "_offset", "source_size", "target")
-    cut = keyed.join(slices.withColumnsRenamed({"source": "_source", "_slice": "_s"}), keyed["source"].eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_s")))
-    order = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id")
-    cut = cut.withColumn("_before", F.col("_offset") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    slices = slices.join(targets, slices["source"].eqNullSafe(targets["source"])).select(slices["source"].alias("_source"), F.col("_slice").alias("_s"), "_offset", "source_size", "target")
+    one = one.join(slices, one["source"].eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_s")))
+    order = Window.partitionBy("source", "_slice").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("_offset") + F.sum("_all").over(order) - F.col("_all")
     budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target)") / F.col("source_size")).otherwise(0)
-    epochs = F.floor(epochs).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    return cut.withColumn("taken", epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_before"))))
+    epochs = F.floor(F.when(F.col("source_size") > 0, F.expr("floor(target)") / F.col("source_size")).otherwise(0)).cast("long")
+    one = one.withColumns({"epochs": epochs, "_before": before}).withColumn("open", budget - F.col("epochs") * F.col("source_size") - F.col("_before"))
+    return one.select(F.col("_key").alias("_k"), F.col("size").alias("_size"), "copies", "source_size", "target", "epochs", "open")
+
+
+def with_taken(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with ``_key``, of any columns) with ``_size, source_size, target, taken`` by the staged table of :func:`sliced`.
+
+    The keys at a cut among copies are one a source at most; their rows are numbered apart
+    from the others, which all take alike.
+    """
+    among = (F.col("copies") > 1) & (F.col("_size") > 0) & (F.col("open") > 0) & (F.col("open") < F.col("copies") * F.col("_size"))
+    both = rows.join(keys, F.col("_key") == F.col("_k"))
+    nth, ready = F.lit(0), both
+    if keys.filter(among).limit(1).count():
+        numbered = both.filter(among).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*rows.columns))) - 1)
+        ready = both.filter(~among).withColumn("_nth", F.lit(0)).unionByName(numbered)
+        nth = F.col("_nth")
+    # copies that do not meet the cut lie before it (all of their words) or after it (none)
+    rest = F.when(among, F.col("open") - nth * F.col("_size")).when(F.col("copies") > 1, F.when(F.col("open") > 0, F.col("_size")).otherwise(F.lit(0))).otherwise(F.col("open"))
+    taken = F.col("epochs") * F.col("_size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), rest))
+    return ready.withColumn("taken", taken.cast("long")).drop("_k", "copies", "epochs", "open", "_nth")
+
+
+def _keys(docs: DataFrame, weights, share, most, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Staged rows ``doc_id, source, size, _key`` (the texts are read once for them), and staged keys."""
+    rows = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(seed).alias("_key")), "mix")
+    return rows, staged(sliced(rows, source_targets(rows, weights, share, most)), "mix-keys")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``."""
-    # the texts are read once; what follows works on a few bytes a document
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
-    return with_taken(sizes, source_targets(sizes, weights, share, most), seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows, keys = _keys(docs, weights, share, most, seed)
+    return with_taken(rows, keys).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def materialise(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``.
 
     A document comes once for each whole epoch; where a cut falls inside it, one
     more copy holds its first words, white space kept.  A document without words
-    has nothing to take and is left out.  Copies keep their doc_id.
+    has nothing to take and is left out.  Copies keep their doc_id.  The words of the
+    result are those that :func:`mix` takes, also where ids or rows repeat.
     """
-    # repeated rows (same id, source and size) all give what the first of them gives
-    taken = mixed.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_mix_taken")).withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source", "size": "_mix_size"})
-    rows = docs.withColumn("_mix_words", word_count(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(taken["_mix_id"]) & rows["source"].eqNullSafe(taken["_mix_source"]) & (rows["_mix_words"] == taken["_mix_size"])
-    rows = rows.join(taken, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int"))))
-    left = (F.col("_mix_taken") - (F.col("_mix_copy") - 1) * F.col("_mix_size")).cast("int")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, left), "")
-    out = {"text": F.when(left >= F.col("_mix_size"), F.col("text")).otherwise(part)}
-    rows = rows.withColumns(out)
+    _, keys = _keys(docs, weights, share, most, seed)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), order_key(seed).alias("_key"))
+    rows = with_taken(own, keys).filter("taken > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")).cast("int"))))
+    left = (F.col("taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    whole = F.col("_row.text")
+    part = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, left), "")
+    rows = rows.withColumn("_text", F.when(left >= F.col("_size"), whole).otherwise(part))
+    out = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        out["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[out.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +148,8 @@ QUERIES = {"op8_mixing": op8_mixing}
 ORACLE_SQL = {
     "op8_mixing": r"""
 WITH s AS (
-  SELECT doc_id, source, CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, md5('mix-1:' || coalesce('=' || CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') || ':' || coalesce('=' || source, '')) AS key,
+    CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS size
   FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight,
@@ -121,7 +159,7 @@ l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coales
 t AS (SELECT source, source_size, coalesce(first_value(CASE WHEN level * weight <= cap THEN level END IGNORE NULLS)
         OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * weight, cap) AS target FROM l),
 r AS (SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
-        CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix-1:' || CAST(s.doc_id AS VARCHAR)), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS before
+        CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS before
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST((CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END) * size

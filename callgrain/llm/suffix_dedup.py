@@ -290,15 +290,26 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
     return rows.select("doc_id", "text", "_sa_spans").mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with the repeats removed from ``text``; ``n_chars``, if there, follows."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, least_words: int = 0) -> DataFrame:
+    """``docs`` with the repeats removed from ``text``; ``n_chars``, if there, follows.
+
+    With ``least_words`` only removed runs of so many words (split at white space, cut
+    words at the ends counted) go; shorter runs stay as they are.
+    """
     rows = _with_spans(docs, length, anchor)
 
+    def long_enough(raw, spans):
+        return [(s, e) for s, e in merged([(x["s"], x["e"]) for x in spans]) if not least_words or len(raw[s:e].split()) >= least_words]
+
     @F.pandas_udf("string")
     def left(text, spans):
         import pandas as pd
 
-        return pd.Series([t if s is None or t is None else split_at(t.encode(), merged([(x["s"], x["e"]) for x in s])).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
+        def cut(t, raw, s):
+            gone = long_enough(raw, s)
+            return split_at(raw, gone).decode("utf-8", "ignore") if gone else t
+
+        return pd.Series([t if s is None or t is None else cut(t, t.encode(), s) for t, s in zip(text, spans, strict=True)])
 
     # rows without repeats do not pass through Python
     rows = rows.withColumn("text", F.when(F.col("_sa_spans").isNull(), F.col("text")).otherwise(left("text", "_sa_spans")))

@@ -1,7 +1,9 @@
 """Suffix dedup, token counts, encoding, near copies and mixing against brute force."""
 
+import collections
 import hashlib
 import random
+import re
 
 import pytest
 from llm.small import WORD, clashing, rows_of, table
@@ -41,8 +43,8 @@ def test_suffix_array():
         assert common_prefixes(t, np.array(want), 16).tolist() == [prefix(i, j) for i, j in zip(want, want[1:], strict=False)]
 
 
-def removed(rows, length=400):
-    """Brute force over all windows."""
+def removed(rows, length=400, least_words=0):
+    """Brute force over all windows; removed runs of fewer words stay."""
     seen, twice = set(), set()
     texts = [(i, (t or "").encode()) for i, t in rows]
     for _, b in texts:
@@ -55,6 +57,9 @@ def removed(rows, length=400):
         for k in range(len(b) - length + 1):
             if b[k : k + length] in twice:
                 gone[k : k + length] = b"\1" * length
+        for m in list(re.finditer(b"\1+", gone)) if least_words else ():
+            if len(b[m.start() : m.end()].split()) < least_words:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(b), sum(gone), runs, hashlib.sha256(left).hexdigest()))
@@ -69,15 +74,51 @@ def test_suffix_dedup(docs, monkeypatch, hot):
     assert rows_of(suffix_dedup.removals(clashing(docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
-def test_deduplicated_texts(docs):
-    got = {r.doc_id: r for r in suffix_dedup.deduplicated(clashing(docs)).collect() if r.doc_id not in (None, 20)}
-    want = {r[0]: r for r in removed([(r.doc_id, r.text) for r in docs.collect()])}
-    for i, r in got.items():
-        assert r["size"] == "clash"
-        if want[i][2] == 0:
-            assert hashlib.sha256((r.text or "").encode()).hexdigest() == want[i][4]
-        elif r.text.isascii():
-            assert len(r.text) <= want[i][1] - want[i][2] and r.n_chars == len(r.text)
+@pytest.mark.parametrize("words", [0, 50])
+def test_deduplicated_texts(docs, words):
+    """Every row, null and repeated ids too: what is left is the brute force's, without the stray bytes of a cut character."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = sorted(((i, None if t is None else dropped(t, rows, words)) for i, t in rows), key=repr)
+    got = suffix_dedup.deduplicated(clashing(docs), 200, 40, words).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == want
+    assert all(r["size"] == "clash" and r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
+def dropped(text, rows, words, length=200, seen={}):  # noqa: B006  windows are found once
+    key = hash(tuple(rows))
+    if key not in seen:
+        count = {}
+        for _, t in rows:
+            b = (t or "").encode()
+            for k in range(len(b) - length + 1):
+                count[b[k : k + length]] = count.get(b[k : k + length], 0) + 1
+        seen[key] = count
+    b, gone = text.encode(), bytearray(len(text.encode()))
+    for k in range(len(b) - length + 1):
+        if seen[key][b[k : k + length]] > 1:
+            gone[k : k + length] = b"\1" * length
+    out, at = b"", 0
+    for m in re.finditer(b"\1+", gone):
+        if len(b[m.start() : m.end()].split()) >= words:
+            out, at = out + b[at : m.start()], m.end()
+    return (out + b[at:]).decode("utf-8", "ignore")
+
+
+def test_short_passages(spark):
+    """Passages of 50 to 60 words under 400 bytes go, runs of fewer words stay, other texts are as they were."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    passages = {n: text(n) for n in (30, 45, 51, 55, 60)}
+    assert all(len(p) < 400 for p in passages.values())
+    rows = [(100 * n + k, text(80) + "\n" + p + "\n" + text(80)) for n, p in passages.items() for k in range(4)] + [(k, text(200)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in suffix_dedup.deduplicated(df, 200, 40, 50).collect():
+        n = r.doc_id // 100
+        if n >= 51:
+            assert passages[n] not in r.text and len(r.text.split()) >= 158
+        else:
+            assert r.text == dict(rows)[r.doc_id]
 
 
 def test_token_counts(docs, tokenizer):
@@ -148,7 +189,18 @@ def test_near_duplicates(spark, seed):
     want = linked([(r.doc_id, r.text) for r in docs.collect()])
     assert sum(not r[3] for r in want) > 20
     assert rows_of(hyperminhash.near_duplicates(clashing(docs)), "doc_id", "n_shingles", "component_id", "kept") == want
-    assert hyperminhash.without_copies(docs).count() == sum(r[3] for r in want)
+    copies = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    stay = {r[0] for r in want if r[3]}
+    assert hyperminhash.without_copies(docs).count() == sum(n if i is None else 1 for (i, _), n in copies.items() if i in stay)
+
+
+def test_without_copies_goes_by_row(spark):
+    """Rows that share an id are told apart by their texts, rows that repeat one count once."""
+    a, b = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (2, b, "x"), (3, "", "x"), (3, " ", "x"), (3, "", "x"), (None, a, "x"), (None, a, "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in hyperminhash.without_copies(df).collect())
+    assert got == {(1, a): 1, (2, b): 1, (3, ""): 1, (3, " "): 1, (None, a): 2, (4, None): 1}
 
 
 def test_small_blocks(spark, monkeypatch):
@@ -204,19 +256,46 @@ def test_mixing(docs):
     assert rows_of(mixing.mix(docs.repartition(1)), "doc_id", "taken") == rows_of(mixing.mix(docs.repartition(9)), "doc_id", "taken")
 
 
-def test_materialised_mix(docs):
-    d = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    m = mixing.mix(d)
-    whole = {r.doc_id: r for r in d.collect()}
-    want = {r.doc_id: r.taken for r in m.collect() if r.taken}
+def words_in(rows):
     out = {}
-    for r in mixing.materialise(d, m).collect():
-        assert whole[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text)
-        out[r.doc_id] = out.get(r.doc_id, 0) + len(WORD.findall(r.text))
-    assert out == want
+    for r in rows:
+        out[r.doc_id, r.source] = out.get((r.doc_id, r.source), 0) + len(WORD.findall(r.text or ""))
+    return {k: n for k, n in out.items() if n}
+
+
+def test_materialised_mix(docs):
+    """All rows, those with null and repeated ids too."""
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    got = mixing.materialise(clashing(docs)).collect()
+    texts = [r.text for r in docs.collect() if r.text]
+    assert all(r["size"] == "clash" and r.n_chars == len(r.text) and any(t.startswith(r.text) for t in texts) for r in got)
+    assert words_in(got) == {k: n for k, n in want.items() if n}
+
+
+def test_mixing_of_repeated_ids(spark):
+    """Ids that repeat or are null, in rows of different and of equal texts: reruns agree, and the cut may fall among copies."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join("w" * rng.randint(1, 30)), rng.choice(["a", "b", None])) for _ in range(150)]
+    rows += [(7, "one two three four five six seven", "c")] * 120 + [(8, "", "c"), (None, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for parts in (1, 9):
+        d = df.repartition(parts)
+        m = mixing.mix(d).collect()
+        assert len(m) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in m)
+        for s in ("a", "b", "c", None):
+            mine = [r for r in m if r.source == s]
+            assert sum(r.taken for r in mine) == int(mine[0].target) or mine[0].target > sum(r.taken for r in mine) - 1e-6 > mine[0].target - 1
+        out = mixing.materialise(d).collect()
+        assert sum(words_in(out).values()) == sum(r.taken for r in m)
+        seen.append((sorted(map(repr, m)), sorted(map(repr, out))))
+    assert seen[0] == seen[1]
+    assert len({r.taken for r in m if r.doc_id == 7}) > 1
 
 
 def test_empty_tables(docs):
     none = docs.filter("doc_id < 0")
-    for df in (suffix_dedup.removals(none), rank_sync.token_counts(none), lexicon_bpe.digests(none), hyperminhash.near_duplicates(none), mixing.mix(none), mixing.materialise(none, mixing.mix(none))):
+    for df in (suffix_dedup.removals(none), rank_sync.token_counts(none), lexicon_bpe.digests(none), hyperminhash.near_duplicates(none), mixing.mix(none), mixing.materialise(none), hyperminhash.without_copies(none), suffix_dedup.deduplicated(none)):
         assert df.count() == 0
