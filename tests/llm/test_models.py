@@ -167,11 +167,11 @@ def vectors(spark, seed=0, n=230, size=8):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
 
 
-@pytest.mark.parametrize("block", [16_384, 50])
-def test_top_k(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "cell"), [(8192, 4096), (50, 4096), (8192, 30), (15, 40)])
+def test_top_k(spark, monkeypatch, block, cell):
     monkeypatch.setattr(cover_search, "BLOCK", block)
+    monkeypatch.setattr(cover_search, "CELL", cell)
     monkeypatch.setattr(cover_search, "GROUP", 3)
-    monkeypatch.setattr(cover_search, "LEAF", 8)
     df = vectors(spark)
     usable = [(r.vec_id, [int(np.floor(256 * float(x))) for x in r.embedding]) for r in df.collect() if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding)]
     want = []
@@ -184,14 +184,42 @@ def test_top_k(spark, monkeypatch, block):
 
 def test_cover_tree_covers():
     x = np.random.default_rng(0).normal(size=(500, 5))
-    t = cover_search.CoverTree(x)
-
-    def rows(n):
-        return t.rows[n] if t.rows[n] is not None else np.concatenate([rows(c) for c in t.children[n]])
-
+    t = cover_search.CoverTree(x, 2)
+    rows = lambda n: cover_search.Block._under(t, n)
     assert sorted(rows(t.root).tolist()) == list(range(500))
     for n in range(len(t.center)):
-        assert np.sqrt(((x[rows(n)] - x[t.center[n]]) ** 2).sum(1)).max() <= t.radius[n] + 1e-9
+        assert np.sqrt(((x[rows(n)] - x[t.center[n]]) ** 2).sum(1)).max() <= t.r[n] + 1e-9
+        assert np.linalg.norm(x[rows(n)], axis=1).max() <= t.most[n] + 1e-9
+        for c in t.children[n]:  # a centre is within a level's distance of the one that it hangs below
+            assert np.linalg.norm(x[t.center[c]] - x[t.center[n]]) <= cover_search.BASE ** (t.level[n] + 1) + 1e-9
+    centers, spacing, parent, _, near = cover_search.farthest_first(x, 200)
+    level = np.floor(np.log(spacing[1:]) / np.log(cover_search.BASE))
+    for i in set(level.tolist()):  # levels nest as prefixes; their centres are apart, and near all rows
+        net = x[centers[: 1 + int((level >= i).sum())]]
+        d = np.linalg.norm(net[:, None] - net[None], axis=2) + np.eye(len(net)) * 1e9
+        assert d.min() >= cover_search.BASE**i - 1e-9
+        if i > level.min():
+            assert np.linalg.norm(x[:, None] - net[None], axis=2).min(1).max() <= cover_search.BASE ** (i + 1)
+    assert all(parent[j] < j for j in range(len(parent)))
+
+
+def test_bound_holds_and_prunes():
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(60, 16))
+    x = np.floor(256 * (middle[rng.integers(0, 60, 3000)] + 0.05 * rng.normal(size=(3000, 16))))
+    ids, q = np.arange(3000), np.arange(0, 3000, 50)
+    for data in (x, np.floor(256 * rng.normal(size=(3000, 16)))):
+        b = cover_search.Block(data, ids)
+        got = b.search(data[q], q, 5)
+        s = data[q] @ data.T
+        s[np.arange(len(q)), q] = -np.inf
+        assert got == [sorted(zip((-r).tolist(), ids.tolist(), strict=True))[:5] for r in s]
+        t = b.tree
+        top = cover_search.bound(data[q], 0.0, np.linalg.norm(data[q], axis=1), t.c, t.r, t.most)
+        for n in range(0, len(t.center), 7):
+            assert ((data[q] @ data[cover_search.Block._under(t, n)].T).max(1) <= top[:, n]).all()
+        if data is x:
+            assert b.scored < 0.1 * b.asked  # the share of pairs that are scored
 
 
 def test_licenses(spark):
