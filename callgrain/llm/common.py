@@ -14,10 +14,23 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch, unless the session has a value of its own (Spark's is 10,000): texts of some KB fill no more than a few MB on either side.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most bytes that a broadcast of the engine holds.
+BROADCAST_BYTES = 64 << 20
+
 _written: list = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, as texts in flight are memory that neither heap nor spilling bounds."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +65,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     the tables; it runs when the interpreter ends.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/callgrain-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
@@ -103,6 +117,10 @@ def cleanup(spark: SparkSession) -> None:
         _written.pop()
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows; else leave the shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def sized_broadcast(df: DataFrame, row_bytes=64) -> DataFrame:
+    """Hint a broadcast only if ``df`` fits ``BROADCAST_BYTES``; else leave the join to the optimiser.
+
+    row_bytes: bytes of a row, a number or a column of ``df`` where rows have lists.
+    """
+    total = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

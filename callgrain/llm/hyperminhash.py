@@ -13,14 +13,16 @@ sets are one *class*; classes are compared where a band of 4 registers of a leve
    6.5 standard errors; what passes is verified on full shingle sets.  Verified links
    give components.
 3. In buckets that still hold several components, each is one row.  Components of one
-   class are compared on registers; a larger component is noted with one that it meets in
-   three buckets.  The classes of the smaller component are then compared, on registers
-   and full sets, with those of the larger one, which are dealt in blocks; one verified
-   link for each block is enough.
+   class are compared on registers.  A larger component has the range of each register over
+   its classes: where the ranges of two components overlap in too few registers, no two of
+   their classes can pass the estimate; else the two are noted.  The classes of the smaller
+   component are then compared, on registers and full sets, with those of the larger one,
+   which are dealt in blocks; one verified link for each block is enough.
 
 So any two classes that share a bucket are linked, or known to be connected, or
-compared; no pairs of a bucket or of a component are ever listed.  With 64 bands, two sets at a
-similarity of exactly 0.75 share no bucket with a probability of 3e-11.
+compared.  Rows come out for noted components only, not for the pairs of a bucket or of a
+component.  With 64 bands, two sets at a similarity of exactly 0.75 share no bucket with a
+probability of 3e-11 (2e-9 for unions of 8 to 16 shingles).
 
 Edge cases: texts without words have an empty set, are linked with nothing and kept;
 equal texts are linked; a null doc_id takes no part, its component is null and it is
@@ -47,14 +49,12 @@ LEVELS = ((0, 2), (32, 4), (128, 6), (512, 8))
 MANTISSA = 10
 EMPTY = 0xFFFF
 MARGIN = 6.5
-#: Buckets in which larger components must meet; similar sets miss this with a probability of 1e-8.
-MEET = 3
 BLOCK = 512
 #: Rows of a leader that one verification task compares at most.
-DEAL = 1000
+DEAL = 200
 MEMO = 150_000
-#: A list of candidate ids up to this long (8 bytes each) is broadcast; a longer one is joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Components whose register ranges a task gathers before it hands them on (1 KB each).
+RANGES = 20_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -180,31 +180,37 @@ def _estimate(similarity: int):
     return run
 
 
-def _emit_sets(width: int):
-    """Rows ``left, salt, role, doc, shingles``: a leader's set once for each salt, then the sets to compare with it."""
+def _sets(width: int):
+    """Rows ``doc, shingles``: each text's sorted set."""
 
     def run(batches):
         shingle = Shingler(width)
-        for batch in slices(batches):
-            left, salt, role, doc, sets = [], [], [], [], []
-            for doc_id, text, jobs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                s = shingle(text).tobytes()
-                for j in jobs:
-                    left.append(j["left"])
-                    salt.append(j["salt"])
-                    role.append(j["role"])
-                    doc.append(doc_id)
-                    sets.append(s)
-                    if len(sets) >= 2000:
-                        yield _rows(left, salt, role, doc, sets)
-                        left, salt, role, doc, sets = [], [], [], [], []
-            yield _rows(left, salt, role, doc, sets)
+        for batch in slices(batches, 256):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "shingles"])
 
     return run
 
 
-def _rows(left, salt, role, doc, sets):
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), pa.array(doc, pa.int64()), pa.array(sets, pa.binary())], ["left", "salt", "role", "doc", "shingles"])
+def _ranges(batches):
+    """Least and greatest registers by ``label, level``; partial, or whole where the rows of a key lie together."""
+    held: dict = {}
+
+    def out():
+        keys, low, high = zip(*((k, lo, hi) for k, (lo, hi) in held.items()), strict=True) if held else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in high], pa.binary())], ["label", "level", "lo", "hi"])
+
+    for batch in slices(batches):
+        for label, level, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            lo, hi = np.frombuffer(lo, np.uint16), np.frombuffer(hi, np.uint16)
+            key = label, level
+            if key in held:
+                held[key] = np.minimum(held[key][0], lo), np.maximum(held[key][1], hi)
+            else:
+                if len(held) >= RANGES:
+                    yield out()
+                    held.clear()
+                held[key] = lo, hi
+    yield out()
 
 
 def _verify(similarity: int):
@@ -272,12 +278,19 @@ class _Linker:
         follow = pairs.join(per, "a").select(F.col("b").alias("doc"), F.col("a").alias("left"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
         return self._compared(lead.union(follow), _verify(self.similarity))
 
+    def ranges(self, labels: DataFrame) -> DataFrame:
+        """``label, level, lo, hi``: least and greatest registers of the larger components, combined before the shuffle."""
+        kind = "label long, level int, lo binary, hi binary"
+        own = self.sketches.join(labels, F.col("rep") == F.col("node")).select(F.col("component").alias("label"), "level", F.col("regs").alias("lo"), F.col("regs").alias("hi"))
+        part = own.mapInArrow(_ranges, kind).repartition("label", "level").sortWithinPartitions("label", "level")
+        return part.mapInArrow(_ranges, kind)
+
     def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """``a, b``: components that may be linked, the smaller one first.
 
         A bucket holds one row for each component in it, with the set sizes of its classes
-        there.  Components of one class are compared on registers; others are noted if they
-        meet in ``MEET`` buckets of the lowest level that similar classes of theirs share.
+        there and its registers or their ranges; two components are looked at on the lowest
+        level that similar classes of theirs share.
         """
         rows = buckets.filter("size > 2")  # two members: the star round has compared them
         rows = rows.join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "level", "lead", F.coalesce("component", "rep").alias("label"))
@@ -290,11 +303,11 @@ class _Linker:
         rows = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("label"), F.col("nb")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).alias("second"), "rep", "level", "band", "label", "lead", "members", "n", "most")
-        single = rows.filter("members = 1").join(self.sketches.drop("n"), ["rep", "level"])
-        more = rows.filter("members > 1").withColumn("regs", F.lit(None).cast("binary"))
+        single = rows.filter("members = 1").join(self.sketches.select("rep", "level", F.col("regs").alias("lo"), F.lit(None).cast("binary").alias("hi")), ["rep", "level"])
+        more = rows.filter("members > 1").join(staged(self.ranges(labels), "ranges"), ["label", "level"])
         dealt = single.unionByName(more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "second", "label")
-        met = dealt.select("key", "bi", "bj", "second", "rep", "n", "label", "lead", "members", "level", "regs", "band", "most").mapInArrow(_across(self.similarity), "a long, b long, close int")
-        return met.groupBy("a", "b").agg(F.max("close").alias("close"), F.count("*").alias("met")).filter(f"close = 1 OR met >= {MEET}").select("a", "b")
+        met = dealt.select("key", "bi", "bj", "second", "rep", "n", "label", "lead", "members", "level", "lo", "hi", "band", "most").mapInArrow(_across(self.similarity), "a long, b long")
+        return met.distinct()
 
     def joined(self, noted: DataFrame, labels: DataFrame) -> DataFrame:
         """Verified links ``a, b`` between classes of the noted components."""
@@ -311,11 +324,25 @@ class _Linker:
         return self._compared(hosts.union(guests), _verify_blocks(self.similarity))
 
     def _compared(self, jobs: DataFrame, verify) -> DataFrame:
-        """Deal the sets of ``doc`` by ``left, salt``, role 0 first, and run ``verify`` on them."""
-        jobs = staged(jobs.groupBy("doc").agg(F.collect_list(F.struct("left", "salt", "role")).alias("jobs")), "jobs")
-        text = self.docs.join(sized_broadcast(jobs, BROADCAST_IDS // 4), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "jobs")
-        sets = text.mapInArrow(_emit_sets(self.width), "left long, salt int, role int, doc long, shingles binary")
-        return sets.repartition("left", "salt").sortWithinPartitions("left", "salt", "role").mapInArrow(verify, "a long, b long")
+        """Deal the sets of ``doc`` by ``left, salt``, role 0 first, and run ``verify`` on them; each set is made once."""
+        jobs = staged(jobs.select("doc", "left", "salt", "role"), "jobs")
+        wanted = staged(jobs.select("doc").distinct(), "wanted")
+        text = self.docs.join(sized_broadcast(wanted, 16), F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text")
+        sets = staged(text.mapInArrow(_sets(self.width), "doc long, shingles binary"), "sets")
+        dealt = sets.join(sized_broadcast(jobs, 32), "doc").select("left", "salt", "role", "doc", "shingles")
+        return dealt.repartition("left", "salt").sortWithinPartitions("left", "salt", "role").mapInArrow(verify, "a long, b long")
+
+
+def overlapping(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Whether any register rows within the ranges of ``a`` and of each row of ``b`` may be :func:`possible`.
+
+    At most the registers whose ranges overlap are equal, at least those that no row leaves
+    empty count; without the correction for collisions the estimate only gets larger.
+    """
+    t = similarity / 100
+    equal = ((lo_a <= hi_b) & (lo_b <= hi_a) & (lo_a != EMPTY) & (lo_b != EMPTY)).sum(1)
+    either = np.maximum(((hi_a != EMPTY) | (hi_b != EMPTY)).sum(1), 4)  # what is asked for grows from there on, and is nothing before
+    return equal / either + MARGIN * np.sqrt(t * (1 - t) / either) >= t
 
 
 def _across(similarity: int):
@@ -323,25 +350,24 @@ def _across(similarity: int):
 
     def flush(rows):
         if len(rows) < 2:
-            return [], [], []
+            return [], []
         second = np.array([r[0] for r in rows])
         rep, n, label, members = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 5))
-        lead = rows[0][4]
-        blank = b"\xff" * (2 * REGISTERS)
-        regs = np.frombuffer(b"".join(r[7] or blank for r in rows), np.uint16).reshape(-1, REGISTERS)
+        lead, band = rows[0][4], rows[0][9]
+        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        high = np.frombuffer(b"".join(r[8] or r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
         words, empty = regs.view(np.uint64), np.uint64(2**64 - 1)
         level = np.full(len(rows), rows[0][6])
         two = second.any()
         single = members == 1
-        most = np.array([r[9] for r in rows], np.int64)
+        most = np.array([r[10] for r in rows], np.int64)
         lowest, highest = (np.array([levels(x, similarity)[0] for x in y.tolist()]) for y in (n, most))
-        a, b, close = [], [], []
+        a, b = [], []
 
-        def note(i: int, k: int, near: int) -> None:
+        def note(i: int, k: int) -> None:
             x, y = (i, k) if (members[i], label[i]) < (members[k], label[k]) else (k, i)
             a.append(int(label[x]))
             b.append(int(label[y]))
-            close.append(near)
 
         for i in range(len(rows) - 1):
             if two and second[i]:
@@ -350,8 +376,10 @@ def _across(similarity: int):
             # classes of either may be similar, and this is the lowest level that they share
             near = (similarity * n[j] <= 100 * most[i]) & (similarity * n[i] <= 100 * most[j])
             near &= (np.maximum(lowest[i], lowest[j]) <= level[i]) & (np.maximum(highest[i], highest[j]) >= level[i])
-            for k in j[near & ~(single[j] & single[i])].tolist():
-                note(i, k, 0)
+            wide = j[near & ~(single[j] & single[i])]
+            if len(wide):
+                for k in wide[overlapping(regs[i], high[i], regs[wide], high[wide], similarity)].tolist():
+                    note(i, k)
             if not single[i] or rep[i] == lead:
                 continue
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -361,18 +389,18 @@ def _across(similarity: int):
                 j = j[possible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], level[j], similarity)]
                 # only in the first band that the two share; that its bucket is left out means they were compared
                 shared = (words[i] == words[j]) & (words[i] != empty)
-                j = j[shared.argmax(1) == rows[0][8]]
+                j = j[shared.argmax(1) == band]
             for k in j.tolist():
-                note(i, k, 1)
-        return a, b, close
+                note(i, k)
+        return a, b
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flush(rows), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "close"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flush(rows)], ["a", "b"])
 
     def run(batches):
         at, rows = None, []
         for batch in slices(batches):
-            cols = [batch.column(i).to_pylist() for i in range(13)]
+            cols = [batch.column(i).to_pylist() for i in range(14)]
             for key, bi, bj, *row in zip(*cols, strict=True):
                 if (key, bi, bj) != at:
                     if len(rows) > 1:
@@ -477,13 +505,13 @@ def without_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILA
     rows = staged(rows.filter("NOT stays OR times > 1").withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"}), "gone")
     sweep(spark, at, rows)
     t1, t2 = text_key()
-    gone = sized_broadcast(rows, BROADCAST_IDS // 4)
+    gone = sized_broadcast(rows)
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
     kept = docs.join(gone, same, "left_anti")
     again = rows.filter("stays")
     if again.limit(1).count():
         order = Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.xxhash64(*docs.columns))
-        first = docs.join(sized_broadcast(again, BROADCAST_IDS // 4), same).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+        first = docs.join(sized_broadcast(again), same).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
         kept = kept.unionByName(first.select(*docs.columns))
     return kept
 

@@ -43,8 +43,6 @@ HOT = 2_000_000
 BLOCK = 1_000_000
 #: Windows of a text that are hashed at once.
 CHUNK = 1 << 18
-#: Lists up to this many texts are broadcast, longer ones joined by shuffle.
-BROADCAST_TEXTS = 400_000
 #: Ends a segment in a block; no UTF-8 text holds this byte.
 END = b"\xfe"
 
@@ -225,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     # b. different segments of one anchor
     wanted = contents.join(anchors.withColumnRenamed("anchor", "_a"), F.col("anchor") == F.col("_a"))
     wanted = wanted.groupBy("h1", "h2").agg(F.min("row").alias("_row"), F.collect_list(F.struct("anchor", (F.col("_bytes") > HOT).alias("hot"), "lo", "n")).alias("jobs"))
-    wanted = sized_broadcast(staged(wanted, "wanted"), BROADCAST_TEXTS)
+    wanted = sized_broadcast(staged(wanted, "wanted"), 64 + 24 * F.size("jobs"))
     # of the copies of a text one row is cut; rows that repeat its doc_id as well are dropped after
     cut = texts.join(wanted, ["h1", "h2"]).filter("row = _row").select("h1", "h2", "text", "jobs").mapInArrow(_cut(length), SEGMENT)
     cut = staged(cut.dropDuplicates(["h1", "h2", "lo"]), "cut")
@@ -263,7 +261,7 @@ def _with_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     at = mark()
     spans = staged(repeated_spans(docs, length, anchor), "spans")
     sweep(docs.sparkSession, at, spans)
-    spans = sized_broadcast(spans, BROADCAST_TEXTS)
+    spans = sized_broadcast(spans, 64 + 16 * F.size("spans"))
     h1, h2 = text_key(F.col("text"))
     keyed = docs.withColumns({"_sa_h1": h1, "_sa_h2": h2})
     spans = spans.withColumnsRenamed({"h1": "_sa_k1", "h2": "_sa_k2", "spans": "_sa_spans"})

@@ -52,9 +52,6 @@ HEAD = 1_000_000
 #: Bits of the bitmap of the joined entries (16 MB), as a power of two; 2^15 are one row.
 BITMAP, BITMAP_ROW = 27, 15
 CALIBRATION = 50_000
-BROADCAST_LABELS = 2_000_000
-#: Digests of toxic texts (16 bytes each) up to this many are broadcast.
-BROADCAST_TEXTS = 1_000_000
 MEMO = 150_000
 
 _STRIP = ".,;:!?()[]\"'|*#$%&<>"
@@ -112,7 +109,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic, fold`` of labelled rows outside the held-out fold."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5).filter("fold <> 0")
-    return docs.select("doc_id", "text").join(sized_broadcast(known, BROADCAST_LABELS), "doc_id")
+    return docs.select("doc_id", "text").join(sized_broadcast(known, 32), "doc_id")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -348,7 +345,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataF
         return docs.mapInArrow(_clean(found.shared, cut, docs.columns.index("text")), docs.schema)
     d1, d2 = _digest()
     bad = found.differences(docs.select("text").withColumns({"_d1": d1, "_d2": d2}), "_d1", "_d2").filter(F.col("difference") >= cut).select("_d1", "_d2").distinct()
-    bad = sized_broadcast(staged(bad, "toxic-texts"), BROADCAST_TEXTS)
+    bad = sized_broadcast(staged(bad, "toxic-texts"), 32)
     return docs.join(bad, (d1 == bad["_d1"]) & (d2 == bad["_d2"]), "left_anti")
 
 

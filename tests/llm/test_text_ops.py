@@ -228,6 +228,78 @@ def test_estimate_is_close():
         assert not hyperminhash.possible(ra, far, one, one, np.array([level]))[0]
 
 
+def test_ranges_lose_no_pair():
+    """What two rows within ranges pass, the ranges pass."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    level, seen = 8, 0
+    for _ in range(60):
+        base = rng.integers(0, 2**64, 700, dtype=np.uint64)
+        groups = []
+        for _ in range(2):
+            own = base.copy()
+            k = rng.integers(0, 400)
+            own[:k] = rng.integers(0, 2**64, k, dtype=np.uint64)
+            regs = []
+            for _ in range(rng.integers(1, 6)):
+                x = own.copy()
+                at = rng.integers(0, 700, 60)
+                x[at] = rng.integers(0, 2**64, 60, dtype=np.uint64)
+                regs.append(hyperminhash.registers(np.sort(np.unique(x)), level))
+            groups.append(np.stack(regs))
+        a, b = groups
+        any_pair = any(hyperminhash.possible(np.broadcast_to(x, b.shape), b, np.full(len(b), 700), np.full(len(b), 700), np.full(len(b), level)).any() for x in a)
+        seen += any_pair
+        assert hyperminhash.overlapping(a.min(0), a.max(0), b.min(0)[None], b.max(0)[None])[0] or not any_pair
+    assert 0 < seen
+
+
+def exact_links(rows):
+    """All links of whole texts by a prefix-filtered join on exact shingle sets."""
+    import numpy as np
+
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {hash(tuple(w))} if 0 < len(w) < 5 else {hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)}
+    df = collections.Counter(x for s in sets.values() for x in s)
+    index, links = collections.defaultdict(list), []
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        s = sets[i]
+        found = set()
+        for x in sorted(s, key=lambda x: (df[x], x))[: len(s) - int(np.ceil(0.75 * len(s))) + 1]:
+            found.update(index[x])
+            index[x].append(i)
+        for j in found:
+            both = len(s & sets[j])
+            if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                links.append((i, j))
+    return links
+
+
+def test_no_link_is_lost(spark):
+    """Every link of an exact join over 10,000 documents lies inside a component, and components are no larger than the links make them."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in rows.collect()]
+    links = exact_links(texts)
+    comp = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(rows).collect()}
+    assert len(links) > 1000
+    lost = sum(comp[a] != comp[b] for a, b in links)
+    assert lost <= 0.001 * len(links)
+    parent = {i: i for i, _ in texts}
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert lost or all(comp[i] == top(i) for i in comp)
+
+
 def test_mixing(docs):
     got = mixing.mix(clashing(docs)).collect()
     sizes = {}
