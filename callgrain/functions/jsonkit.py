@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from itertools import takewhile
 
 
 def encode(value: object) -> str:
@@ -34,16 +36,43 @@ def call_of(value: object) -> dict[str, str] | None:
     return {"name": name, "arguments": encode(arguments), "canon": canonical(arguments)}
 
 
-def leading_objects(text: str) -> list[object]:
-    """Consecutive JSON objects from the first brace on, with white space between them; ends at the first that does not decode."""
-    found: list[object] = []
-    decoder, at = json.JSONDecoder(), text.find("{")
-    while at >= 0 and text[at : at + 1] == "{":
-        try:
-            value, at = decoder.raw_decode(text, at)
-        except (ValueError, RecursionError):
+#: A string, closed or not, or a brace: all that tells where an object ends.
+_BOUND = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[{}]', re.S)
+#: White space between values.
+_BETWEEN = " \t\r\n"
+
+
+def object_spans(text: str) -> list[str]:
+    """Texts of the balanced objects from the first brace on, as long as only white space stands between them."""
+    at = text.find("{")
+    found, depth, begin = [], 0, at
+    for m in _BOUND.finditer(text, at) if at >= 0 else ():
+        if depth == 0 and text[at : m.start()].strip(_BETWEEN):
+            break
+        if m[0] == "{":
+            begin = m.start() if depth == 0 else begin
+            depth += 1
+        elif m[0] == "}":
+            depth -= 1
+            at = m.end()
+            if depth == 0:
+                found.append(text[begin:at])
+        if depth <= 0 and m[0] != "}":
             break
-        found.append(value)
-        while text[at : at + 1] in (" ", "\t", "\r", "\n"):
-            at += 1
     return found
+
+
+def leading_objects(text: str) -> list[object]:
+    """Consecutive JSON objects from the first brace on, with white space between them; ends at the first that does not decode."""
+    spans = object_spans(text)
+    try:
+        return json.loads(f"[{','.join(spans)}]")
+    except (ValueError, RecursionError):
+        return list(takewhile(lambda x: x is not None, map(_decoded, spans)))
+
+
+def _decoded(text: str) -> object:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None

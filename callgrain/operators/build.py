@@ -9,6 +9,7 @@ from callgrain.operators.normalize import normalize, strict_only
 from callgrain.operators.render import example
 from callgrain.operators.split import exact_split, hash_split
 from callgrain.operators.verify import all_valid, no_malformed, verdicts
+from callgrain.sources.scratch import folder
 
 COUNTS = ("total", "normalize_failures", "quarantined", "kept", "train", "dev", "test")
 
@@ -24,11 +25,12 @@ def classify(raw: DataFrame) -> DataFrame:
 def build(raw: DataFrame, seed: int = 0, mode: str = "exact", staging: str | None = None) -> DataFrame:
     """``classify`` with ``split`` of the kept rows (null for others) and their ``example`` text.
 
-    The exact split reads its rows twice; with ``staging``, a folder that all executors
-    share, they are written there first, so that normalising and verifying run once.
+    The exact split reads its rows twice, so they are written first, to ``staging`` or a
+    scratch folder that all executors share; normalising and verifying run once.
     """
     rows = classify(raw)
-    if staging:
+    if mode == "exact":
+        staging = staging or folder(raw.sparkSession, "build")
         rows.write.mode("overwrite").parquet(staging)
         rows = raw.sparkSession.read.schema(rows.schema).parquet(staging)
     kept = F.col("status") == "kept"

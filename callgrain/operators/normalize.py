@@ -6,14 +6,19 @@ Fallible steps return their error as a column; a policy is applied afterwards, a
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.functions.jsonkit import call_of, encode
 from callgrain.functions.type_exprs import described, object_schema
-from callgrain.schemas import NORMALISED, OBJECT, TYPE
+from callgrain.operators.parse import TOOL_LISTS
+from callgrain.schemas import CALL, NORMALISED, OBJECT, TYPE
+
+CALL_LISTS = pa.list_(pa.struct([(k, pa.string()) for k in CALL.names]))
 
 #: Errors of a row that a build counts and skips; any other ends it.
 TOLERATED = ("KeyError", "NotImplementedError")
@@ -52,26 +57,35 @@ def object_schemas(params: Column) -> Column:
     return _object.asNondeterministic()(params)
 
 
+@lru_cache(maxsize=10_000)
+def registry_of(tools: str) -> tuple[dict, ...]:
+    """The tools of a text; a repeated name keeps its first place and its last specification."""
+    registry: dict[str, dict] = {}
+    for t in json.loads(tools):
+        registry[t["name"]] = {"name": t["name"], "description": t["description"], "parameters": encode(object_schema(t["parameters"]))}
+    return tuple(registry.values())
+
+
 def normalised(tools: str, answers: str) -> dict:
-    """One row's registry and gold calls, or its error."""
+    """One row's registry and gold calls, or its error; a tools text is worked out once a worker."""
     try:
-        registry: dict[str, dict] = {}
-        for t in json.loads(tools):  # a repeated name keeps its first place and its last specification
-            registry[t["name"]] = {"name": t["name"], "description": t["description"], "parameters": encode(object_schema(t["parameters"]))}
+        registry = registry_of(tools)
         gold = []
         for c in json.loads(answers):
             call = call_of({"name": c["name"], "arguments": c["arguments"]})
             if call is None:
                 raise ValueError("a gold call needs a string name and an argument object")
             gold.append(call)
-        return {"error": None, "message": None, "tools": list(registry.values()), "gold": gold}
+        return {"error": None, "message": None, "tools": list(registry), "gold": gold}
     except Exception as e:  # noqa: BLE001  the class decides what a build does
         return {"error": type(e).__name__, "message": str(e)[:200], "tools": None, "gold": None}
 
 
-@F.udf(NORMALISED, useArrow=True)
-def _normalised(tools, answers):
-    return normalised(tools, answers)
+@F.arrow_udf(NORMALISED)
+def _normalised(tools: pa.Array, answers: pa.Array) -> pa.Array:
+    rows = [normalised(t, a) for t, a in zip(tools.to_pylist(), answers.to_pylist(), strict=True)]
+    kinds = (pa.string(), pa.string(), TOOL_LISTS, CALL_LISTS)
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in zip(NORMALISED.names, kinds, strict=True)], NORMALISED.names)
 
 
 def normalize(raw: DataFrame) -> DataFrame:
@@ -84,3 +98,8 @@ def strict_only(rows: DataFrame) -> DataFrame:
     fatal = F.col("error").isNotNull() & ~F.col("error").isin(*TOLERATED)
     error = F.when(fatal, F.raise_error(F.concat(F.lit("row "), F.col("id").cast("string"), F.lit(": "), "error", F.lit(" "), F.coalesce("message", F.lit(""))))).otherwise(F.col("error"))
     return rows.withColumn("error", error)
+
+
+def error_counts(rows: DataFrame) -> DataFrame:
+    """``error, n``: normalised rows by the class of their error, of any class; rows without one are left out."""
+    return rows.filter("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))

@@ -6,14 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def reject_reason(scores: dict[str, Column]) -> Column:
+    """Why a sample that is not strict is rejected, from its flags and ``n_calls``: the worst of what is wrong with it."""
+    s = scores
+    return (
+        F.when(s["hallucinated"], "UNKNOWN_TOOL")
+        .when(s["n_calls"] == 0, "NO_CALL")
+        .when(~s["schema_valid"], "SCHEMA_VIOLATION")
+        .when(~s["tool_name"], "WRONG_TOOL")
+        .when(~s["name_and_args"], "WRONG_ARGUMENTS")
+        .otherwise("PROTOCOL")
+    )
+
+
 def preference_pairs(samples: DataFrame) -> DataFrame:
-    """``prompt_id, chosen, rejected, reason``: each failed sample beside the prompt's first correct one.
+    """``prompt_id, chosen, rejected, reason``: each sample that is not strict beside the prompt's first strict one.
 
-    ``samples``: prompt_id, sample_id, strict, outcome (of its calls, VALID if all are).
-    One pair a failed sample, so pairs grow with the samples, not with their square.
+    ``samples``: prompt_id, sample_id, strict, reason (looked at where not strict).
+    One pair a rejected sample, so pairs grow with the samples, not with their square.
     """
     chosen = samples.filter("strict").groupBy("prompt_id").agg(F.min("sample_id").alias("chosen"))
-    failed = samples.filter("NOT strict AND outcome <> 'VALID'").select("prompt_id", F.col("sample_id").alias("rejected"), F.col("outcome").alias("reason"))
+    failed = samples.filter("NOT strict").select("prompt_id", F.col("sample_id").alias("rejected"), "reason")
     return failed.join(chosen, "prompt_id").select("prompt_id", "chosen", "rejected", "reason")
 
 

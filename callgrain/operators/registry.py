@@ -18,10 +18,10 @@ def resolve_models(args: DataFrame, known: DataFrame, fallback_tokenizer: str) -
     return rows.select("arg", F.coalesce("_n", basename(F.col("arg"))).alias("name"), F.coalesce("weights", "arg").alias("weights"), F.coalesce("tokenizer", F.lit(fallback_tokenizer)).alias("tokenizer"))
 
 
-def resolve_aliases(args: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """``arg, weights``: the alias' target, or the argument itself."""
-    m = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else F.create_map().cast("map<string,string>")
-    return args.select("arg", F.coalesce(F.try_element_at(m, F.col("arg")), F.col("arg")).alias("weights"))
+def resolve_aliases(args: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``arg, weights``: the target of the alias (``alias, weights``), or the argument itself."""
+    rows = args.join(aliases.select(F.col("alias").alias("_a"), "weights"), F.col("arg") == F.col("_a"), "left")
+    return rows.select("arg", F.coalesce("weights", "arg").alias("weights"))
 
 
 def missing(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -37,15 +37,15 @@ def flags(parsed: Column, gold: Column, v: Column) -> list[Column]:
     ]
 
 
-def score_rows(rows: DataFrame) -> DataFrame:
-    """``i`` and the flags for rows of ``i, completion, tools, gold``.
+def score_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """``i`` and the flags for rows of ``i, completion, tools, gold``, the columns to keep and ``n_calls``, the calls read.
 
     Parsing and verification run once a row each; everything else stays in the JVM.
     """
     parsed = rows.withColumn("p", parse_calls(F.col("completion")))
     verified = parsed.withColumn("v", verdicts(F.col("p.calls"), F.col("tools")))
     checked = verified.withColumn("v", no_malformed(F.col("v"), F.col("i")))
-    return checked.select("i", *flags(F.col("p"), F.col("gold"), F.col("v")))
+    return checked.select("i", *keep, *flags(F.col("p"), F.col("gold"), F.col("v")), F.size("p.calls").cast("long").alias("n_calls"))
 
 
 def metric_means(scores: DataFrame) -> DataFrame:
@@ -89,4 +89,4 @@ def join_dump(dump: DataFrame, gold: DataFrame, strict: bool = True) -> DataFram
 def score_completions(gold: DataFrame, dump: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Flags a row, and their means."""
     scores = score_rows(join_dump(dump, gold, strict))
-    return scores, metric_means(scores)
+    return scores.drop("n_calls"), metric_means(scores)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from callgrain.functions.json_schema import SchemaError, check_schema, violation
-from callgrain.schemas import MALFORMED_SPEC, SCHEMA_VIOLATION, UNKNOWN_TOOL, VALID, VERDICT, VERDICTS
+from callgrain.schemas import CALLS, MALFORMED_SPEC, SCHEMA_VIOLATION, TOOL, UNKNOWN_TOOL, VALID, VERDICT, VERDICTS
 
 
 @lru_cache(maxsize=100_000)
@@ -36,15 +39,28 @@ def verdict(parameters: str | None, arguments: str) -> tuple[str, str | None]:
     return (SCHEMA_VIOLATION, found) if found else (VALID, None)
 
 
-@F.pandas_udf(VERDICT)
-def _verdict(parameters: pd.Series, arguments: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([verdict(p, a) for p, a in zip(parameters, arguments, strict=True)], columns=["outcome", "detail"])
+def _outcomes(parameters: pa.Array, arguments: pa.Array) -> pa.StructArray:
+    """Verdicts of two columns; each distinct pair of a batch is worked out once."""
+    codes = []
+    for column in (parameters, arguments):
+        d = column.dictionary_encode(null_encoding="encode")
+        codes.append((d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()))
+    (p, schemas), (a, texts) = codes
+    pairs, place = np.unique(p * max(1, len(texts)) + a, return_inverse=True)
+    found = [verdict(schemas[k // len(texts)], texts[k % len(texts)]) for k in pairs.tolist()]
+    columns = [pa.array([v[i] for v in found], pa.string()).take(pa.array(place)) for i in (0, 1)]
+    return pa.StructArray.from_arrays(columns, VERDICT.names)
 
 
-@F.udf(VERDICTS, useArrow=True)
-def _verdicts(calls, tools):
-    known = {t["name"]: t["parameters"] for t in tools or ()}
-    return [dict(zip(("outcome", "detail"), verdict(known.get(c["name"]), c["arguments"]), strict=True)) for c in calls or ()]
+@F.arrow_udf(VERDICT)
+def _verdict(parameters: pa.Array, arguments: pa.Array) -> pa.Array:
+    return _outcomes(parameters, arguments)
+
+
+@F.arrow_udf(VERDICTS)
+def _verdicts(parameters: pa.Array, arguments: pa.Array) -> pa.Array:
+    ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(arguments).to_pylist())])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _outcomes(parameters.flatten(), arguments.flatten()))
 
 
 def verify_calls(calls: DataFrame, tools: DataFrame, on_malformed: str = "fail") -> DataFrame:
@@ -67,8 +83,15 @@ def checked(rows: DataFrame, on_malformed: str) -> DataFrame:
 
 
 def verdicts(calls: Column, tools: Column) -> Column:
-    """Verdicts of a row's own calls against its own registry, in order."""
-    return _verdicts.asNondeterministic()(calls, tools)
+    """Verdicts of a row's own calls against its own registry, in order; no calls, no verdicts.
+
+    Names are looked up in the JVM (of a name that repeats the last tool counts): a call takes
+    the schema of its own tool to Python, not the registry.
+    """
+    calls, tools = (F.coalesce(x, F.array().cast(kind)) for x, kind in ((calls, CALLS), (tools, ArrayType(TOOL))))
+    names, schemas = F.reverse(tools["name"]), F.reverse(tools["parameters"])  # a lambda inside a lambda can't be an argument of a Python function
+    parameters = F.transform(calls, lambda c: F.get(schemas, F.array_position(names, c["name"]) - 1))
+    return _verdicts.asNondeterministic()(parameters, F.transform(calls, lambda c: c["arguments"]))
 
 
 def all_valid(v: Column) -> Column:

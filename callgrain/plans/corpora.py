@@ -55,10 +55,11 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``i, completion``: outputs in eight shapes; variant 1 changes the value, variant 2 the tool."""
+    """``i, completion``: outputs in eight shapes; variant 1 changes the value, variant 2 the tool, variant 3 writes the same value as a decimal."""
     e = events(spark, sf_dir)
     name = F.when(F.col("variant") == 2, "nosuch").otherwise(F.col("name"))
-    arguments = F.when(F.col("variant") == 1, '{"k": -1}').otherwise(F.col("arguments"))
+    decimal = F.regexp_replace("arguments", r"\}", ".0}")
+    arguments = F.when(F.col("variant") == 1, '{"k": -1}').when(F.col("variant") == 3, decimal).otherwise(F.col("arguments"))
     call = F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": '), arguments, F.lit("}"))
     text = F.element_at(
         F.array(
@@ -98,9 +99,9 @@ SQL_EVENTS = """e AS (
 c AS (
   SELECT *, shape IN (0, 1, 2, 6) AS emits_json, shape IN (0, 4, 5, 7) AS wrapped, shape IN (0, 1, 2, 5, 6) AS has_call,
     CASE WHEN variant = 2 THEN 'nosuch' ELSE name END AS said,
-    CASE WHEN variant = 1 THEN '{"k": -1}' ELSE props END AS said_args FROM e),
+    CASE variant WHEN 1 THEN '{"k": -1}' WHEN 3 THEN replace(props, '}', '.0}') ELSE props END AS said_args FROM e),
 f AS (
-  SELECT *, has_call AND said = name AS tool_name, has_call AND said = name AND json_extract_string(said_args, '$.k') = json_extract_string(props, '$.k') AS name_and_args,
+  SELECT *, has_call AND said = name AS tool_name, has_call AND said = name AND CAST(json_extract_string(said_args, '$.k') AS DOUBLE) = CAST(json_extract_string(props, '$.k') AS DOUBLE) AS name_and_args,
     has_call AND said IN ('click', 'view') AS schema_valid, wrapped AS protocol,
     has_call AND said NOT IN ('click', 'view', 'signup', 'purchase') AS hallucinated FROM c),
 s AS (SELECT *, wrapped AND name_and_args AS strict FROM f)"""

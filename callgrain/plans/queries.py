@@ -7,25 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.operators import benchmarks, prefs, profile, registry, render
+from callgrain.operators import batches, benchmarks, prefs, profile, registry, render
 from callgrain.operators.build import build, build_report, classify
-from callgrain.operators.normalize import normalize, object_schemas, with_types
+from callgrain.operators.normalize import error_counts, normalize, object_schemas, with_types
 from callgrain.operators.parse import parse_calls
-from callgrain.operators.score import join_dump, last_of_dump, metric_means, running_means, score_rows
+from callgrain.operators.score import join_dump, last_of_dump, metric_means, running_means, score_completions, score_rows
 from callgrain.operators.split import exact_split, hash_split, leakage
 from callgrain.operators.verify import keep_valid, outcome_counts, verdicts, verify_calls
 from callgrain.plans import corpora
 from callgrain.plans.corpora import SQL_EVENTS, SQL_RAW, table
-from callgrain.sources.writers import report_lines
+from callgrain.sources.readers import read_benchmark, read_dump, read_examples
+from callgrain.sources.scratch import folder
+from callgrain.sources.writers import report_lines, summary_line, write_jsonl, write_splits
+from callgrain.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 MODELS = [("base", "lab/small-base", "lab/small-base"), ("tuned", "lab/small-tuned", "lab/small-base")]
+#: Invented score rows: section, category, part, text.
 SCORES = [
-    ("non_live", "simple", "python", "95.25%"), ("non_live", "simple", "java", "64.00%"), ("non_live", "simple", "javascript", "68.00%"), ("non_live", "multiple", "all", "94.50%"),
-    ("non_live", "parallel", "all", "93.00%"), ("non_live", "parallel_multiple", "all", "90.00%"), ("multi_turn", "base", "all", "25.50%"), ("multi_turn", "miss_func", "all", "21.50%"),
-    ("multi_turn", "miss_param", "all", "17.50%"), ("multi_turn", "long_context", "all", "5.50%"), ("agentic", "web", "all", "N/A"),
+    ("non_live", "simple", "python", "81.5%"), ("non_live", "simple", "java", "62.25%"), ("non_live", "simple", "javascript", "70%"), ("non_live", "multiple", "all", "77.75%"),
+    ("non_live", "parallel", "all", "59.5%"), ("non_live", "parallel_multiple", "all", "48%"), ("multi_turn", "base", "all", "31%"), ("multi_turn", "miss_func", "all", "12.5%"),
+    ("multi_turn", "miss_param", "all", "9.75%"), ("multi_turn", "long_context", "all", "0%"), ("agentic", "web", "all", "N/A"),
 ]
 WEIGHTS = {"non_live": 0.1, "multi_turn": 0.3, "agentic": 0.4}
 
@@ -65,7 +69,7 @@ def score_ladder(spark, sf_dir):
 
 @query(f"WITH {SQL_EVENTS} SELECT i, emits_json, tool_name, name_and_args, schema_valid, protocol, strict, hallucinated FROM s")
 def score_flags(spark, sf_dir):
-    return _scores(spark, sf_dir)
+    return _scores(spark, sf_dir).drop("n_calls")
 
 
 @query(f"WITH {SQL_EVENTS} SELECT i, emits_json, wrapped, CAST(has_call AS BIGINT) AS n_calls, CASE WHEN has_call THEN said END AS first_name FROM c")
@@ -277,8 +281,8 @@ def resolve_model(spark, sf_dir):
 @query("SELECT n_name AS arg, CASE n_nationkey WHEN 0 THEN 'lab/zero' ELSE n_name END AS weights FROM nation")
 def resolve_alias(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    first = n.filter("n_nationkey = 0").first()["n_name"]  # one row
-    return registry.resolve_aliases(n.select(F.col("n_name").alias("arg")), {first: "lab/zero"})
+    known = n.filter("n_nationkey = 0").select(F.col("n_name").alias("alias"), F.lit("lab/zero").alias("weights"))
+    return registry.resolve_aliases(n.select(F.col("n_name").alias("arg")), known)
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
@@ -354,22 +358,22 @@ def leading_run(spark, sf_dir):
 
 def _samples(spark, sf_dir):
     """Scored samples by prompt: a user's events are samples of one prompt."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), "user_id")
-    return _scores(spark, sf_dir).join(e, "i")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), "user_id")
+    rows = corpora.scored_input(spark, sf_dir).join(e, F.col("i") == F.col("_e")).drop("_e")
+    return score_rows(rows, "user_id")
 
 
 SQL_SAMPLES = f"{SQL_EVENTS}, p AS (SELECT s.*, user_id FROM s JOIN events ON event_id = i)"
 
 
 @query(f"""
-WITH {SQL_SAMPLES}, o AS (SELECT *, CASE WHEN hallucinated THEN 'UNKNOWN_TOOL' WHEN has_call AND NOT schema_valid THEN 'SCHEMA_VIOLATION' ELSE 'VALID' END AS outcome FROM p),
+WITH {SQL_SAMPLES}, o AS (SELECT *, CASE WHEN hallucinated THEN 'UNKNOWN_TOOL' WHEN NOT has_call THEN 'NO_CALL' WHEN NOT schema_valid THEN 'SCHEMA_VIOLATION' WHEN NOT tool_name THEN 'WRONG_TOOL'
+  WHEN NOT name_and_args THEN 'WRONG_ARGUMENTS' ELSE 'PROTOCOL' END AS reason FROM p),
 g AS (SELECT user_id, min(i) AS chosen FROM o WHERE strict GROUP BY user_id)
-SELECT user_id AS prompt_id, chosen, i AS rejected, outcome AS reason FROM o JOIN g USING (user_id) WHERE NOT strict AND outcome <> 'VALID'""")
+SELECT user_id AS prompt_id, chosen, i AS rejected, reason FROM o JOIN g USING (user_id) WHERE NOT strict""")
 def preference_pairs(spark, sf_dir):
-    p = corpora.completions(spark, sf_dir).select("i", F.size(parse_calls(F.col("completion"))["calls"]).alias("n_calls"))
-    s = _samples(spark, sf_dir).join(p, "i")
-    outcome = F.when(F.col("hallucinated"), "UNKNOWN_TOOL").when((F.col("n_calls") > 0) & ~F.col("schema_valid"), "SCHEMA_VIOLATION").otherwise("VALID")
-    return prefs.preference_pairs(s.select(F.col("user_id").alias("prompt_id"), F.col("i").alias("sample_id"), "strict", outcome.alias("outcome")))
+    s = _samples(spark, sf_dir)
+    return prefs.preference_pairs(s.select(F.col("user_id").alias("prompt_id"), F.col("i").alias("sample_id"), "strict", prefs.reject_reason({c: F.col(c) for c in s.columns}).alias("reason")))
 
 
 REWARD_SQL = "CASE WHEN strict THEN 1.0 WHEN NOT emits_json OR hallucinated THEN -1.0 WHEN schema_valid THEN 0.5 ELSE 0.0 END"
@@ -408,11 +412,127 @@ def console_report(spark, sf_dir):
     return report_lines(metric_means(_scores(spark, sf_dir)))
 
 
-@query("SELECT o_orderkey AS i, o_orderkey // 32 AS batch FROM orders WHERE o_orderkey < 1000")
-def first_batches(spark, sf_dir):
-    """The head of a numbered table, in consecutive batches."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
-    return o.filter("i < 1000").select("i", F.floor(F.col("i") / 32).cast("long").alias("batch"))
+@query("SELECT o_orderkey AS i, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
+def first_rows(spark, sf_dir):
+    """The head of a table in an order: the limit is the feature."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), "o_totalprice")
+    return batches.first_n(o, 1000, "i")
+
+
+@query("SELECT c_custkey FROM customer")
+def limit_zero(spark, sf_dir):
+    """A limit of 0 is none."""
+    return batches.first_n(table(spark, sf_dir, "customer").select("c_custkey"), 0, "c_custkey")
+
+
+@query("SELECT event_id // 32 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def batch_bounds(spark, sf_dir):
+    """All rows of a numbered table in consecutive batches."""
+    e = table(spark, sf_dir, "events").select("event_id", batches.batch_of(F.col("event_id"), 32).alias("batch"))
+    return e.groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT i // 32 AS batch, i % 32 AS place, i, has_call, emits_json FROM c")
+def batch_texts(spark, sf_dir):
+    """Batches beside the texts generated for them; lengths must agree."""
+    key = lambda c: (batches.batch_of(c, 32).alias("batch"), (c % 32).alias("place"))
+    e = table(spark, sf_dir, "events").select(*key(F.col("event_id")), F.col("event_id").alias("i"))
+    t = corpora.completions(spark, sf_dir).select(*key(F.col("i")), F.col("completion").alias("text"))
+    p = batches.with_texts(e, t).withColumn("p", parse_calls(F.col("text")))
+    return p.select("batch", "place", "i", (F.size("p.calls") > 0).alias("has_call"), "p.emits_json")
+
+
+def _gold_file(spark, sf_dir) -> str:
+    """Every event as an exported example, in the order of its id."""
+    path = folder(spark, "gold")
+    g = corpora.gold(spark, sf_dir)
+    write_jsonl(g.select(F.col("i").alias("id"), render.example(F.concat(F.lit("event "), F.col("i").cast("string")), F.col("tools"), F.col("gold")).alias("example")), path)
+    return path
+
+
+def _dump_file(spark, sf_dir) -> str:
+    """A completion dump of seven rows in eight; every fifth row has an older line that does not count."""
+    path = folder(spark, "dump")
+    c = corpora.completions(spark, sf_dir).filter("i % 8 <> 3").select((F.col("i") * 2 + 1).alias("id"), "i", "completion")
+    older = c.filter("i % 5 = 0").select((F.col("id") - 1).alias("id"), "i", F.lit("older").alias("completion"))
+    write_jsonl(c.union(older).select("id", F.to_json(F.struct("i", "completion")).alias("example")), path)
+    return path
+
+
+@query("SELECT event_id AS i, CAST(4 AS BIGINT) AS n_tools, event_type AS name, props AS arguments, replace(props, ' ', '') AS canon FROM events")
+def gold_rows(spark, sf_dir):
+    """Registry and gold calls of exported examples, read back from JSON lines."""
+    g = read_examples(spark, _gold_file(spark, sf_dir))
+    return g.select("i", F.size("tools").cast("long").alias("n_tools"), F.col("gold")[0]["name"].alias("name"), F.col("gold")[0]["arguments"].alias("arguments"), F.col("gold")[0]["canon"].alias("canon"))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT i, emits_json, tool_name, name_and_args, schema_valid, protocol, strict, hallucinated FROM s WHERE i % 8 <> 3")
+def score_files(spark, sf_dir):
+    """A completion dump scored against exported examples, both read from JSON lines; what the dump lacks is left out."""
+    return score_completions(read_examples(spark, _gold_file(spark, sf_dir)), read_dump(spark, _dump_file(spark, sf_dir)))[0]
+
+
+@query(f"WITH {SQL_EVENTS} SELECT {MEANS} FROM s WHERE i % 8 <> 3 HAVING count(*) > 0")
+def score_files_means(spark, sf_dir):
+    return score_completions(read_examples(spark, _gold_file(spark, sf_dir)), read_dump(spark, _dump_file(spark, sf_dir)))[1]
+
+
+@query(f"""
+WITH b AS ({ORACLE_SQL["build_counts"]}) SELECT split, n, n AS n_calls FROM (SELECT unnest(['train', 'dev', 'test']) AS split, unnest([train, dev, test]) AS n FROM b)""")
+def round_trip(spark, sf_dir):
+    """Build, export by split, load again: examples and gold calls of each split."""
+    path = folder(spark, "splits")
+    write_splits(build(corpora.raw(spark, sf_dir)), path)
+    of = lambda s: read_examples(spark, f"{path}/split={s}").agg(F.count("*").alias("n"), F.sum(F.size("gold")).cast("long").alias("n_calls")).select(F.lit(s).alias("split"), "n", "n_calls")
+    return of("train").union(of("dev")).union(of("test"))
+
+
+@query(f"""
+WITH b AS ({ORACLE_SQL["build_counts"]})
+SELECT concat_ws(' ', 'total=' || total, 'normalize_failures=' || normalize_failures, 'quarantined=' || quarantined, 'kept=' || kept, 'train=' || train, 'dev=' || dev, 'test=' || test,
+  'quarantine_rate=' || format('{{:.4f}}', quarantine_rate)) AS line FROM b""")
+def build_summary(spark, sf_dir):
+    return summary_line(build_report(build(corpora.raw(spark, sf_dir))))
+
+
+@query("SELECT CASE p_partkey % 12 WHEN 7 THEN 'NotImplementedError' ELSE 'KeyError' END AS error, count(*) AS n FROM part WHERE p_partkey % 12 IN (7, 8) GROUP BY 1")
+def error_classes(spark, sf_dir):
+    """Rows that do not normalise, by the class of their error."""
+    return error_counts(normalize(corpora.raw(spark, sf_dir)))
+
+
+@query("""
+WITH o AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'VALID' WHEN event_type IN ('signup', 'purchase') THEN 'SCHEMA_VIOLATION' ELSE 'MALFORMED_SPEC' END AS outcome FROM events)
+SELECT outcome, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS rate FROM o GROUP BY outcome""")
+def malformed_outcomes(spark, sf_dir):
+    """Calls by outcome where the specification of one called tool is no schema."""
+    bad = spark.createDataFrame([("error", "an error", '{"type": "anything"}')], corpora.schemas.TOOL)
+    tools = corpora.tools(spark).union(bad).withColumn("conv_id", F.lit(0).cast("long"))
+    return outcome_counts(verify_calls(_calls(spark, sf_dir), tools, on_malformed="count"))
+
+
+@query("SELECT item_id, CAST(text AS VARCHAR) AS question, CAST(item_id % 3 AS BIGINT) AS n_functions FROM benchmark")
+def benchmark_items(spark, sf_dir):
+    """Benchmark files of JSON lines: their questions and how many functions each offers."""
+    path = folder(spark, "benchmark")
+    b = table(spark, sf_dir, "benchmark")
+    functions = F.array_repeat(F.struct(F.lit("f").alias("name")), (F.col("item_id") % 3).cast("int"))
+    item = F.to_json(F.struct(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("id"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("question"), functions.alias("function")))
+    write_jsonl(b.select(F.col("item_id").alias("id"), item.alias("example")), path)
+    r = read_benchmark(spark, path)
+    return r.select(F.substring_index("id", "_", -1).cast("long").alias("item_id"), F.get_json_object("question", "$[0].content").alias("question"), F.json_array_length("function").cast("long").alias("n_functions"))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT count(*) AS n, {MEANS} FROM s WHERE i % 8 <> 3")
+def stream_means(spark, sf_dir):
+    """The dump's lines as a stream of files, to its end: first lines count."""
+    path = folder(spark, "stream")
+    c = corpora.completions(spark, sf_dir).filter("i % 8 <> 3")
+    c.repartition(3, "i").select(F.to_json(F.struct("i", "completion")).alias("line")).write.text(path)
+    name = "means_" + path[-8:]
+    q = live.start(live.live_means(live.live_scores(live.read_completions(spark, path, max_files=2), corpora.gold(spark, sf_dir))), name, folder(spark, "stream-state"), once=True)
+    q.awaitTermination()
+    return spark.table(name)
 
 
 def conversation_pairs(spark, sf_dir):

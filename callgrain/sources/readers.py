@@ -6,12 +6,14 @@ import json
 import subprocess
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from callgrain import schemas
 from callgrain.operators.benchmarks import percent
+from callgrain.operators.parse import gold_row
 
 
 def read_raw(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -19,25 +21,47 @@ def read_raw(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame
     return spark.read.schema(schemas.RAW).format(kind).load(path)
 
 
-@F.udf(BooleanType(), useArrow=True)
-def _is_json(line):
-    try:
-        json.loads(line)
-    except (ValueError, RecursionError):
-        return False
-    return True
+@F.arrow_udf(BooleanType())
+def _is_json(line: pa.Array) -> pa.Array:
+    def one(text):
+        try:
+            json.loads(text)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    return pa.array([one(x) for x in line.to_pylist()], pa.bool_())
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, line`` of text files, numbered from 0 in each file, which may be split between tasks.
+
+    A line lies in a block of its file and comes in order inside it; the lines of the
+    blocks before it are added (a window over one row a block).
+    """
+    block, start = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    # only line feeds end a line; a task reads the blocks of its files in order
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), block.alias("_block"), start.alias("_at"), F.col("value").alias("line"))
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    blocks = blocks.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), (before - F.col("_first")).alias("_before"))
+    rows = lines.join(blocks, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return rows.select("file", (F.col("_at") + F.col("_before")).alias("line_no"), "line")
+
+
+def indexed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``i``: their place over all files, which follow each other by name (a window over one row a file)."""
+    files = lines.groupBy("file").agg((F.max("line_no") + 1).alias("_n"))
+    files = files.select(F.col("file").alias("_f"), (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))
+    return lines.join(files, F.col("file") == F.col("_f")).select(*lines.columns, (F.col("line_no") + F.col("_before")).alias("i"))
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """``file, line_no, line`` of JSON-line files, numbered from 0 in each file.
 
-    A file is read as one value so that numbers are exact whatever the partitioning; split
-    large corpora into many files.  Strict: a blank or malformed line fails the job; else it
-    is left out (its number stays).
+    Strict: a blank or malformed line fails the job; else it is left out (its number stays).
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
-    files = files.filter(F.length("value") > 0)
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = numbered_lines(spark, path)
     ok = _is_json.asNondeterministic()("line")
     if not strict:
         return lines.withColumn("_ok", ok).filter("_ok").drop("_ok").withColumn("line_no", F.col("line_no").cast("long"))
@@ -51,11 +75,23 @@ def first_record(lines: DataFrame) -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, i, completion`` of a completion dump."""
-    lines = read_jsonl(spark, path)
+    """``line_no, i, completion`` of a completion dump; lines are numbered over all of its files."""
+    lines = indexed(read_jsonl(spark, path)).select(F.col("i").alias("line_no"), "line")
     return lines.select("line_no", F.from_json("line", schemas.DUMP).alias("d")).select("line_no", "d.*")
 
 
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """``i, tools, gold`` of exported examples; i is a row's place over all files."""
+    lines = indexed(read_jsonl(spark, path)).withColumn("g", gold_row(F.col("line")))
+    return lines.select("i", "g.tools", "g.gold")
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """``file, id, question, function`` of benchmark files: JSON lines whatever their extension; the last two stay JSON text."""
+    kind = "id string, question string, function string"
+    return read_jsonl(spark, path).select("file", F.from_json("line", kind).alias("b")).select("file", "b.*")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """``path, length`` of the files under a folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length")

@@ -63,3 +63,9 @@ def report_lines(metrics: DataFrame) -> DataFrame:
     """``line``: fixed-width percent lines of a one-row frame of means."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in metrics.columns]))
     return metrics.select(pairs.alias("p")).select(F.format_string("%13s: %6.2f%%", F.col("p.k"), F.col("p.v") * 100).alias("line"))
+
+
+def summary_line(report: DataFrame) -> DataFrame:
+    """``line``: ``key=value`` of a one-row frame, rates with four places."""
+    said = [F.concat(F.lit(f"{c}="), F.format_string("%.4f", F.col(c)) if kind == "double" else F.col(c).cast("string")) for c, kind in report.dtypes]
+    return report.select(F.concat_ws(" ", *said).alias("line"))

@@ -10,15 +10,22 @@ from callgrain.operators.score import score_rows
 from callgrain.schemas import DUMP, FLAGS
 
 
+#: How long a repeated line is looked for after the first one.
+DELAY = "1 day"
+
+
 def read_completions(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Completion files as they arrive."""
+    """Completion files as they arrive: ``i, completion``, and ``at``, the time of their file."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    return lines.select(F.from_json("value", DUMP).alias("d")).select("d.*")
+    return lines.select(F.from_json("value", DUMP).alias("d"), F.col("_metadata.file_modification_time").alias("at")).select("d.*", "at")
+
 
+def live_scores(completions: DataFrame, gold: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Flags of streamed rows, joined with the static gold rows; the first of a repeated ``i`` counts.
 
-def live_scores(completions: DataFrame, gold: DataFrame) -> DataFrame:
-    """Flags of streamed rows, joined with the static gold rows; the first of a repeated ``i`` counts."""
-    rows = completions.dropDuplicates(["i"])
+    The state holds the ids of the last ``delay`` only; a repeat that comes later counts again.
+    """
+    rows = completions.withWatermark("at", delay).dropDuplicatesWithinWatermark(["i"])
     return score_rows(rows.join(gold.withColumnRenamed("i", "_i"), F.col("i") == F.col("_i")).drop("_i"))
 
 
@@ -27,6 +34,7 @@ def live_means(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f) for f in FLAGS])
 
 
-def start(means: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Write all means anew with every batch; the checkpoint lets a restarted query go on."""
-    return means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def start(means: DataFrame, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Write all means anew with every batch; the checkpoint lets a restarted query go on; ``once`` ends with what is there."""
+    out = means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from callgrain.functions.json_schema import SchemaError, check_schema, violation
 from callgrain.functions.jsonkit import canonical, leading_objects
-from callgrain.functions.type_exprs import object_schema, split_top, to_schema, without_modifiers
+from callgrain.functions.type_exprs import object_schema, to_schema, without_modifiers
 from callgrain.operators.normalize import normalised
 from callgrain.operators.parse import read_calls, read_gold
 from callgrain.operators.verify import verdict
@@ -16,48 +16,73 @@ from callgrain.operators.verify import verdict
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=12)
 
 
-@pytest.mark.parametrize(
-    ("text", "parts"),
-    [("", [""]), ("a, b", ["a", "b"]), ("List[a, b], c", ["List[a, b]", "c"]), ("], a", ["], a"]), ("x, default='a, b'", ["x", "default='a", "b'"]), ("a,", ["a", ""])],
-)
-def test_split_top(text, parts):
-    assert split_top(text) == parts
+PLAIN_NAMES = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
+
+
+@st.composite
+def typed(draw, depth=3):
+    """A type expression with random spacing and case of heads, beside its schema."""
+    pad = lambda x: draw(st.sampled_from(["", " ", "\t"])) + x + draw(st.sampled_from(["", "  "]))
+    kind = draw(st.sampled_from(["plain", "list", "tuple", "union", "callable"] if depth else ["plain"]))
+    if kind == "plain":
+        name = draw(st.sampled_from(sorted(PLAIN_NAMES)))
+        return pad(name), {"type": PLAIN_NAMES[name]}
+    head = draw(st.sampled_from([kind.upper(), kind.title(), kind]))
+    inner = [draw(typed(depth - 1)) for _ in range(1 if kind == "list" else draw(st.integers(1, 3)))]
+    text, schemas = pad(head) + "[" + ",".join(t for t, _ in inner) + "]", [x for _, x in inner]
+    match kind:
+        case "list":
+            return text, {"type": "array", "items": schemas[0]}
+        case "tuple":
+            return text, {"type": "array", "prefixItems": schemas, "minItems": len(schemas), "maxItems": len(schemas)}
+        case "union":
+            return text, {"anyOf": schemas}
+    return text, {}
+
+
+@given(typed())
+def test_to_schema_of_any_expression(x):
+    text, schema = x
+    assert to_schema(text) == schema
+    assert json.dumps(to_schema(text)) == json.dumps(schema)  # key order too
 
 
-@pytest.mark.parametrize(
-    ("text", "schema"),
-    [
-        ("str", {"type": "string"}),
-        (" int ", {"type": "integer"}),
-        ("list \t", {"type": "array"}),
-        ("LIST[int]", {"type": "array", "items": {"type": "integer"}}),
-        ("List[List[str]]", {"type": "array", "items": {"type": "array", "items": {"type": "string"}}}),
-        ("Tuple[int, str]", {"type": "array", "prefixItems": [{"type": "integer"}, {"type": "string"}], "minItems": 2, "maxItems": 2}),
-        ("Union[int, List[str]]", {"anyOf": [{"type": "integer"}, {"type": "array", "items": {"type": "string"}}]}),
-        ("Callable[[int], str]", {}),
-        ("List[int] tail", {"type": "array", "items": {"type": "integer"}}),
-    ],
-)
-def test_to_schema(text, schema):
-    assert to_schema(text) == schema
+@given(typed(), st.lists(st.sampled_from(["optional", "default=[1, 2]", "default", "Optional", "kept", " optional"]), max_size=3))
+def test_modifiers_of_any_expression(x, modifiers):
+    text, schema = x
+    expr, optional = without_modifiers(",".join([text, *modifiers]))
+    assert expr == text.strip() and to_schema(expr) == schema
+    assert optional == any(m.strip() == "optional" or m.startswith("default") for m in modifiers)
+
 
+@given(typed(), st.sampled_from([("[", ValueError), ("]", KeyError)]))
+def test_brackets_out_of_balance(x, how):
+    bracket, error = how
+    if "[" not in x[0]:
+        with pytest.raises(error):
+            to_schema(x[0] + bracket)
 
-@pytest.mark.parametrize(("text", "error"), [("Int", KeyError), ("List[int, str]", KeyError), ("Dict[str, int]", NotImplementedError), ("Optional[str]", NotImplementedError), ("List[int", ValueError), ("", KeyError)])
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [("bytes", KeyError), ("Str", KeyError), ("   ", KeyError), ("List[float, bool]", KeyError), ("Tuple[]", KeyError), ("List[bool]]", KeyError), ("FrozenSet[int]", NotImplementedError), ("List[Deque[int]]", NotImplementedError), ("List[int, List[int]]", NotImplementedError), ("List[int][int]", NotImplementedError), ("Union[str, List[float]", ValueError)],
+)
 def test_to_schema_errors(text, error):
     with pytest.raises(error):
         to_schema(text)
 
 
+def test_odd_texts():
+    assert [without_modifiers(x)[0] for x in ("", "bool,", "], int", "Union[str, int], x, y")] == ["", "bool", "], int", "Union[str, int]"]
+    assert to_schema("Tuple[bool] of flags") == {"type": "array", "prefixItems": [{"type": "boolean"}], "minItems": 1, "maxItems": 1}
+    assert to_schema("List[List[bool], str]") == {"type": "array", "items": {"type": "array", "items": {"type": "boolean"}}}
+
+
 def test_table_is_not_shared():
     to_schema("str")["extra"] = 1
     assert to_schema("str") == {"type": "string"}
 
 
-@pytest.mark.parametrize(("text", "want"), [("int", ("int", False)), ("int, optional", ("int", True)), ("int, default=3", ("int", True)), ("int, Optional", ("int", False)), ("List[int], optional", ("List[int]", True))])
-def test_modifiers(text, want):
-    assert without_modifiers(text) == want
-
-
 def test_object_schema():
     got = object_schema({"a": {"type": "int", "description": "x"}, "b": {"type": "str", "description": "Defaults to x"}, "c": {"type": "str", "description": "", "default": None}})
     assert list(got["properties"]["a"]) == ["description", "type"]
@@ -76,10 +101,16 @@ def test_canonical_folds_numbers():
     assert canonical("1") != canonical(1)
 
 
-@pytest.mark.parametrize(
-    ("text", "n"),
-    [("", 0), ("no", 0), ('x {"a": 1}', 1), ('{"a": 1}\n {"b": 2} junk', 2), ('[{"a": 1}, {"b": 2}]', 1), ('{"a": 1} {bad', 1), ("{bad", 0), ('{"a": 1},{"b": 2}', 1)],
-)
+OBJECTS = st.dictionaries(st.text(), JSON, max_size=4)
+
+
+@given(st.text().filter(lambda t: "{" not in t), st.lists(OBJECTS, min_size=1, max_size=4), st.sampled_from(["", " ", "\n\t"]), st.sampled_from(["", "tail", ", {}", "{", '{"open', "{'a': 1}", "}", ' {"a": "}']))
+def test_leading_objects_of_any_run(before, objects, between, after):
+    text = before + between.join(json.dumps(x) for x in objects) + after
+    assert list(map(canonical, leading_objects(text))) == list(map(canonical, objects))
+
+
+@pytest.mark.parametrize(("text", "n"), [("[{}, {}]", 1), ("{} {broken} {}", 1), ("{broken} {}", 0), ('{"a": "\\"{"} {"b": {}}', 2), ("{" * 5000, 0), ('{"' + '\\"' * 20000, 0)])
 def test_leading_objects(text, n):
     assert len(leading_objects(text)) == n
 

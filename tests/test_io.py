@@ -26,6 +26,26 @@ def test_jsonl(spark, tmp_path):
     assert readers.read_jsonl(spark, str(f), strict=False).count() == 0
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers are exact where a file is read by several tasks, and over several files."""
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_text("".join(json.dumps({"k": k, "n": n, "x": "é" * (n % 50)}, ensure_ascii=False) + "\n" for n in range(400)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = readers.read_jsonl(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1
+        rows = readers.indexed(lines).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 1200 and all(r.line_no == json.loads(r.line)["n"] and r.i == 400 * json.loads(r.line)["k"] + r.line_no for r in rows)
+
+
+def test_benchmark_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "x_1", "question": [[{"role": "user"}]], "function": [{"name": "f"}]}\n{"id": "x_2", "question": []}\n')
+    got = {r.id: (r.question, r.function) for r in readers.read_benchmark(spark, str(tmp_path / "a.json")).collect()}
+    assert json.loads(got["x_1"][1]) == [{"name": "f"}] and got["x_2"] == ("[]", None)
+
+
 def test_build_to_files(spark, tmp_path):
     tools = '[{"name": "f", "description": "d", "parameters": {"x": {"type": "int", "description": "é"}}}]'
     rows = spark.createDataFrame([(i, f"q{i}", tools, '[{"name": "f", "arguments": {"x": 1}}]') for i in range(50)], schemas.RAW)

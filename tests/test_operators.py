@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callgrain import schemas
 from callgrain.functions.jsonkit import call_of, encode
-from callgrain.operators import benchmarks, prefs, profile
+from callgrain.operators import batches, benchmarks, prefs, profile
 from callgrain.operators.build import build, build_report
 from callgrain.operators.normalize import normalize
 from callgrain.operators.parse import gold_row, parse_calls
@@ -29,7 +29,7 @@ def call(name, **arguments):
 def scored(spark, completion, gold, tools=(WEATHER,)):
     kind = schemas.struct(i=schemas.LONG, completion=schemas.TEXT, tools=ArrayType(TOOL), gold=CALLS)
     df = spark.createDataFrame([(0, completion, list(tools), gold)], kind)
-    return {k: v for k, v in score_rows(df).first().asDict().items() if k != "i"}
+    return {k: v for k, v in score_rows(df).first().asDict().items() if k not in ("i", "n_calls")}
 
 
 def tagged(*texts):
@@ -171,3 +171,37 @@ def test_each_udf_runs_once(spark):
     scored_rows = score_rows(spark.createDataFrame([(0, PARIS, [WEATHER], [])], kind))
     assert python_calls(metric_means(scored_rows)) == ["_parsed", "_verdicts"]
     assert python_calls(scored_rows.filter("strict")) == ["_parsed", "_verdicts"]
+
+
+def test_first_n(spark):
+    df = spark.range(10).repartition(4)
+    assert [r.id for r in batches.first_n(df, 3, "id").collect()] == [0, 1, 2]
+    assert batches.first_n(df, 0, "id").count() == 10
+    with pytest.raises(ValueError):
+        batches.first_n(df, -1, "id")
+
+
+def test_texts_must_fit_batches(spark):
+    rows = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "batch long, place long, name string")
+    texts = spark.createDataFrame([(0, 0, "x"), (0, 1, None), (1, 0, "z")], "batch long, place long, text string")
+    assert {r.name: r.text for r in batches.with_texts(rows, texts).collect()} == {"a": "x", "b": None, "c": "z"}
+    for bad in (texts.filter("batch = 0"), texts.union(texts.limit(1)), texts.union(spark.createDataFrame([(1, 1, "w")], texts.schema))):
+        with pytest.raises(Exception, match="a row without a text|several texts|a text without a row"):
+            batches.with_texts(rows, bad).collect()
+
+
+def test_repeated_tool_names(spark):
+    """The last of a row's tools of a name counts, as in a registry; a row without tools knows none."""
+    strict = ("f", "", encode({"type": "object", "required": ["a"]}))
+    loose = ("f", "", "{}")
+    text = '{"name": "f", "arguments": {}}'
+    assert scored(spark, text, [], (strict, loose))["schema_valid"] and not scored(spark, text, [], (loose, strict))["schema_valid"]
+    assert scored(spark, text, [], ())["hallucinated"]
+
+
+def test_reject_reasons(spark):
+    names = ["hallucinated", "n_calls", "schema_valid", "tool_name", "name_and_args"]
+    rows = [(True, 1, False, False, False), (False, 0, False, False, False), (False, 1, False, True, True), (False, 1, True, False, False), (False, 1, True, True, False), (False, 1, True, True, True)]
+    df = spark.createDataFrame(rows, "hallucinated boolean, n_calls long, schema_valid boolean, tool_name boolean, name_and_args boolean")
+    got = [r[0] for r in df.coalesce(1).select(prefs.reject_reason({c: F.col(c) for c in names})).collect()]
+    assert got == ["UNKNOWN_TOOL", "NO_CALL", "SCHEMA_VIOLATION", "WRONG_TOOL", "WRONG_ARGUMENTS", "PROTOCOL"]
