@@ -34,39 +34,34 @@ def _is_json(line: pa.Array) -> pa.Array:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line`` of text files, numbered from 0 in each file, which may be split between tasks.
+    """``file, line_no, i, line`` of text files, which may be split between tasks.
 
-    A line lies in a block of its file and comes in order inside it; the lines of the
-    blocks before it are added (a window over one row a block).
+    ``line_no`` counts from 0 in each file, ``i`` over all files, which follow each other by
+    name.  A line lies in a block of its file and comes in order inside it; the lines of the
+    blocks before it are added (windows over one row a block).
     """
     block, start = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     # only line feeds end a line; a task reads the blocks of its files in order
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), block.alias("_block"), start.alias("_at"), F.col("value").alias("line"))
     blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
-    blocks = blocks.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), (before - F.col("_first")).alias("_before"))
+    before = lambda w: F.sum("_n").over(w) - F.col("_n") - F.col("_first")
+    in_file, in_all = Window.partitionBy("file").orderBy("_block"), Window.orderBy("file", "_block")
+    blocks = blocks.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), before(in_file).alias("_in_file"), before(in_all).alias("_in_all"))
     rows = lines.join(blocks, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
-    return rows.select("file", (F.col("_at") + F.col("_before")).alias("line_no"), "line")
-
-
-def indexed(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``i``: their place over all files, which follow each other by name (a window over one row a file)."""
-    files = lines.groupBy("file").agg((F.max("line_no") + 1).alias("_n"))
-    files = files.select(F.col("file").alias("_f"), (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))
-    return lines.join(files, F.col("file") == F.col("_f")).select(*lines.columns, (F.col("line_no") + F.col("_before")).alias("i"))
+    return rows.select("file", (F.col("_at") + F.col("_in_file")).alias("line_no"), (F.col("_at") + F.col("_in_all")).alias("i"), "line")
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``file, line_no, line`` of JSON-line files, numbered from 0 in each file.
+    """``file, line_no, i, line`` of JSON-line files, numbered as by :func:`numbered_lines`.
 
     Strict: a blank or malformed line fails the job; else it is left out (its number stays).
     """
     lines = numbered_lines(spark, path)
     ok = _is_json.asNondeterministic()("line")
     if not strict:
-        return lines.withColumn("_ok", ok).filter("_ok").drop("_ok").withColumn("line_no", F.col("line_no").cast("long"))
+        return lines.withColumn("_ok", ok).filter("_ok").drop("_ok")
     message = F.concat(F.lit("not JSON: "), "file", F.lit(" line "), F.col("line_no").cast("string"))
-    return lines.select("file", F.when(~ok, F.raise_error(message).cast("long")).otherwise(F.col("line_no").cast("long")).alias("line_no"), "line")
+    return lines.select("file", F.when(~ok, F.raise_error(message).cast("long")).otherwise(F.col("line_no")).alias("line_no"), "i", "line")
 
 
 def first_record(lines: DataFrame) -> DataFrame:
@@ -76,13 +71,15 @@ def first_record(lines: DataFrame) -> DataFrame:
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, i, completion`` of a completion dump; lines are numbered over all of its files."""
-    lines = indexed(read_jsonl(spark, path)).select(F.col("i").alias("line_no"), "line")
-    return lines.select("line_no", F.from_json("line", schemas.DUMP).alias("d")).select("line_no", "d.*")
+    # the check of a line is that of its number; both are kept
+    lines = read_jsonl(spark, path).filter("line_no >= 0")
+    return lines.select(F.col("i").alias("line_no"), F.from_json("line", schemas.DUMP).alias("d")).select("line_no", "d.*")
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """``i, tools, gold`` of exported examples; i is a row's place over all files."""
-    lines = indexed(read_jsonl(spark, path)).withColumn("g", gold_row(F.col("line")))
+    # a line that is no JSON fails in gold_row
+    lines = numbered_lines(spark, path).withColumn("g", gold_row(F.col("line")))
     return lines.select("i", "g.tools", "g.gold")
 
 

@@ -34,7 +34,7 @@ def test_lines_of_split_files(spark, tmp_path):
     try:
         lines = readers.read_jsonl(spark, str(tmp_path))
         assert lines.rdd.getNumPartitions() > 1
-        rows = readers.indexed(lines).collect()
+        rows = lines.collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 1200 and all(r.line_no == json.loads(r.line)["n"] and r.i == 400 * json.loads(r.line)["k"] + r.line_no for r in rows)
