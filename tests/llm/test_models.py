@@ -1,5 +1,6 @@
 """Toxicity, quality, search, licences, WARC and the pipeline."""
 
+import hashlib
 import random
 import re
 from html.parser import HTMLParser
@@ -260,6 +261,19 @@ def test_open_heads_and_custom_elements():
     assert warc.plain_text("<p>a<script src=x>no</script>b<style/>no</style>") == "ab"
 
 
+def test_markup_is_read_in_linear_time():
+    import time
+
+    bad = ["<a title=\"", "<a '", "<!--", "<!x ", "<title>", "<head>", "<script>", "<a \">\" ", "<", "</", "<title ", "<html lang", "<head><head"]
+    for piece in bad:
+        for end in ("", "'", '"'):
+            began = time.perf_counter()
+            warc.Page(piece * (1_000_000 // len(piece)) + end)
+            assert time.perf_counter() - began < 8, piece
+    assert warc.plain_text("<p>it <a title='x>one</a> two") == "it one two"
+    assert warc.plain_text('<p>it <a title="a > b">one</a> 1 < 2 <? x ?>') == "it one 1 < 2"
+
+
 class Texts(HTMLParser):
     """Plain-text reference: drops elements without text, breaks lines at blocks."""
 
@@ -302,7 +316,16 @@ def test_warc(spark):
             want = "\n".join(x for x in (" ".join(y.split()) for y in "".join(p.out).split("\n")) if x)
             assert r.text == want == block.decode() and fields["WARC-Source-Payload-Digest"] == r.source_digest
         else:
-            assert b"source-header-content-type: text/html" in block
+            own = html[i].encode()
+            assert b"source-status: HTTP/1.1 200 OK" in block and b"source-header-content-type: text/html" in block
+            assert f"source-header-content-length: {len(own)}\r\n".encode() in block and hashlib.md5(own).hexdigest().encode() in block
+    # what the derivatives refer to is there, with the headers and the payload that they name
+    found = {r.record_id: bytes(r.record) for r in warc.response_records(warc.responses(pages)).collect()}
+    for r in got:
+        head, _, block = found[r.refers_to].partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert fields["WARC-Payload-Digest"] == r.source_digest == warc.digest(block[:-4].partition(b"\r\n\r\n")[2])
+        assert f"WARC-Date: {fields['WARC-Date']}\r\n".encode() in bytes(r.record) and len(block) - 4 == int(fields["Content-Length"])
 
 
 def test_warc_edges(spark):
