@@ -497,11 +497,13 @@ def without_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILA
     spark, at = docs.sparkSession, mark()
     found = staged(_classified(docs, width, similarity).filter("doc_id IS NOT NULL"), "classified")
     row = F.struct("doc_id", "t1", "t2")
-    # a component is its least doc_id; rows without shingles that share an id are components by text
+    # a component is its least doc_id, so only rows of that id can stay; those without shingles are told apart by text
     alone = F.when(F.col("n") == 0, F.col("t1")).otherwise(F.lit(0))
     rows = found.groupBy("doc_id", "t1", "t2", "comp", alone.alias("alone")).agg(F.count("*").alias("times"))
-    least = rows.groupBy("comp", "alone").agg(F.min(row).alias("m"))
-    rows = rows.join(least, ["comp", "alone"]).select("doc_id", "t1", "t2", "times", (row == F.col("m")).alias("stays"))
+    own = rows.filter("doc_id = comp")
+    least = own.groupBy("doc_id", "alone").agg(F.min(row).alias("m"))
+    own = own.join(least, ["doc_id", "alone"]).select("doc_id", "t1", "t2", "times", (row == F.col("m")).alias("stays"))
+    rows = own.union(rows.filter("doc_id <> comp").select("doc_id", "t1", "t2", "times", F.lit(False)))
     rows = staged(rows.filter("NOT stays OR times > 1").withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"}), "gone")
     sweep(spark, at, rows)
     t1, t2 = text_key()

@@ -3,7 +3,8 @@
 The corpus' frequent chunks (runs without white space) are compiled into a
 minimal acyclic transducer: words share prefixes and suffixes, the outputs along
 a path add up to the word's number, and that number points at its token ids.
-Each worker memory-maps the automaton; a batch's distinct chunks walk it side by
+The automaton and the probe table of its edges are one file in the shared folder, which
+each executor fetches once and its workers map; a batch's distinct chunks walk it side by
 side, and chunks it does not hold are merged exactly.  The lexicon changes only
 the speed, never an id.
 
@@ -22,15 +23,17 @@ from __future__ import annotations
 import hashlib
 import mmap
 import os
-import tempfile
+import uuid
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import slices, staged, table
+from callgrain.llm.common import shared_dir, slices, staged, table
 from callgrain.llm.rank_sync import MEMO, merge_chunks, tokenizer_path
 from callgrain.llm.wordbpe import PairTable, WordBpe, load
 
@@ -77,8 +80,9 @@ def build(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndarray]:
             output.append(passed)
             passed += states[t][2]
     flat = [i for x in ids for i in x]
+    probe = PairTable(np.array(keys, np.int64), np.array(target, np.int64))
     return {
-        "keys": np.array(keys, np.int64), "target": np.array(target, np.int32), "output": np.array(output, np.int32), "end": np.array([s[0] for s in states], np.int8),
+        "slots": probe.keys, "edge": probe.rank, "target": np.array(target, np.int32), "output": np.array(output, np.int32), "end": np.array([s[0] for s in states], np.int8),
         "start": np.array([start], np.int32), "offset": np.cumsum([0, *map(len, ids)]).astype(np.int32), "ids": np.array(flat, np.int32),
     }
 
@@ -92,17 +96,11 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
 
 
 class Lexicon:
-    """A packed transducer, memory-mapped; the file is unlinked once it is mapped."""
-
-    def __init__(self, packed: bytes):
-        fd, name = tempfile.mkstemp(prefix="lexicon-")
-        try:
-            with os.fdopen(fd, "r+b") as f:
-                f.write(packed)
-                f.flush()
-                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        finally:
-            os.unlink(name)
+    """A packed transducer, memory-mapped: all of its arrays lie in the file."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         head = self.map[: self.map.find(b"\n")].decode()
         at = -(-(len(head) + 1) // 8) * 8
         for part in head.split(";"):
@@ -110,7 +108,7 @@ class Lexicon:
             array = np.frombuffer(self.map, np.dtype(kind), int(n), at)
             setattr(self, name, array)
             at += -(-array.nbytes // 8) * 8
-        self.edges = PairTable(self.keys, self.target)
+        self.edges = PairTable.over(self.slots, self.edge)
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, -1 where the lexicon does not hold it; all words step together."""
@@ -125,10 +123,10 @@ class Lexicon:
             ended = at[over]
             out[ended] = np.where(self.end[state[over]] == 1, number[over], -1)
             at, state, number = at[~over], state[~over], number[~over]
-            if not len(at) or not len(self.keys):
+            if not len(at):
                 break
             edge = self.edges.find(state << 8 | raw[first[at] + depth])
-            on = edge < len(self.keys)
+            on = edge < len(self.target)
             at, edge, number = at[on], edge[on], number[on]
             state, number = self.target[edge].astype(np.int64), number + self.output[edge]
         return out
@@ -137,6 +135,30 @@ class Lexicon:
         return self.ids[self.offset[number] : self.offset[number + 1]].tolist()
 
 
+@lru_cache(maxsize=2)
+def mapped(path: str) -> Lexicon:
+    """One mapping a worker process; the pages are the executor's."""
+    return Lexicon(path)
+
+
+def ship(spark: SparkSession, packed: bytes) -> str:
+    """Write the block to the shared folder, from where each executor fetches it once; returns its name, which follows from its content."""
+    name = f"lexicon-{hashlib.sha256(packed).hexdigest()[:32]}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        part = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/.{name}-{uuid.uuid4().hex}")
+        out = fs.create(part, True)
+        out.write(bytearray(packed))
+        out.close()
+        fs.rename(part, path)
+    known = {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}
+    if name not in known:
+        spark.sparkContext.addFile(str(path.toString()))
+    return name
+
+
 def merged_ids(bpe: WordBpe, chunks: list[str]) -> list[list[int]]:
     """Ids of each chunk by exact merging."""
     ids, ends = merge_chunks(bpe, [c for c in chunks if c not in bpe.special])
@@ -154,8 +176,8 @@ def merged_ids(bpe: WordBpe, chunks: list[str]) -> list[list[int]]:
 class Encoder:
     """Encodes and decodes texts; remembers at most ``MEMO`` chunks' results."""
 
-    def __init__(self, path: str, packed: bytes):
-        self.bpe, self.lexicon = load(path), Lexicon(packed)
+    def __init__(self, path: str, shipped: str):
+        self.bpe, self.lexicon = load(path), mapped(SparkFiles.get(shipped))
         self.memo: dict[str, tuple[str, str]] = {}
         most = max(self.bpe.tokens) + 1
         self.decimal = [str(i) for i in range(most)]
@@ -227,10 +249,10 @@ def lexicon(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
 def encode(docs: DataFrame, path: str | None = None, words: int = WORDS) -> DataFrame:
     """``doc_id, ids array<int>`` for every row."""
     path = path or tokenizer_path()
-    packed = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, words))
+    shipped = ship(docs.sparkSession, lexicon(docs, path, words))
 
     def run(batches):
-        enc = Encoder(path, packed.value)
+        enc = Encoder(path, shipped)
         for batch in slices(batches):
             rows = [list(map(int, ids.split())) for ids, _ in enc.batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -254,10 +276,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None, words: int = WORDS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``; ids never leave the worker."""
     path = path or tokenizer_path()
-    packed = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, words))
+    shipped = ship(docs.sparkSession, lexicon(docs, path, words))
 
     def run(batches):
-        enc = Encoder(path, packed.value)
+        enc = Encoder(path, shipped)
         for batch in slices(batches):
             n, a, b = [], [], []
             for ids, text in enc.batch(batch.column(1).to_pylist()):

@@ -110,8 +110,9 @@ def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, simi
     header = F.when(F.col("cosine") >= similarity, F.struct((-F.col("cosine")).alias("c"), "license"))
     whole = F.when(is_file & (F.col("_c") >= similarity), F.struct((-F.col("_c")).alias("c"), F.col("_l").alias("license")))
     best = both.select("path", is_file.alias("is_file"), F.least(header, whole).alias("b")).filter("b IS NOT NULL")
-    # files that share a path: the best of them
-    return best.groupBy("path").agg(F.min("b").alias("b"), F.max("is_file").alias("is_file")).select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), "is_file")
+    # files that share a path: the best of them, a licence file first
+    best = best.groupBy("path").agg(F.min(F.struct("b.c", "b.license", (~F.col("is_file")).alias("no_file"))).alias("b"))
+    return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (~F.col("b.no_file")).alias("is_file"))
 
 
 def directory(path: Column) -> Column:
@@ -178,8 +179,8 @@ hv AS (SELECT hw.*, (1 + ln(tf)) * coalesce(idf, ln({len(TEMPLATES) + 1}.0::DOUB
 hl AS (SELECT path, header, n_words, sqrt(sum(w * w)) AS length FROM hv GROUP BY ALL),
 hd AS (SELECT path, header, n_words, license, sum(w * weight) AS dot FROM hv JOIN tn USING (term) GROUP BY ALL),
 hc AS (SELECT path, header, n_words, license, round(dot / length, 6) AS cosine FROM hd JOIN hl USING (path, header, n_words)),
-hb AS (SELECT * FROM hc QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
-own AS (SELECT path, license, cosine, 100 * len(regexp_extract_all(header, '[^\x20\x09-\x0D]+')) >= {FILE_SHARE} * n_words AS is_file FROM hb WHERE cosine >= {SIMILARITY}),
+hf AS (SELECT path, license, cosine, 100 * len(regexp_extract_all(header, '[^\x20\x09-\x0D]+')) >= {FILE_SHARE} * n_words AS is_file FROM hc WHERE cosine >= {SIMILARITY}),
+own AS (SELECT * FROM hf QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license, is_file DESC) = 1),
 holders AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS ancestor, license FROM own WHERE is_file
   QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY cosine DESC, path) = 1),
 near AS (SELECT f.path, ancestor, holders.license FROM f JOIN holders ON starts_with(f.path, ancestor || '/')

@@ -66,7 +66,7 @@ class WordBpe:
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of a text in order; a special token is a chunk of its own."""
-        if self._cut is not None and "<|" in text and (parts := self._cut.split(text))[1:]:
+        if self._cut is not None and any(t in text for t in self.special) and (parts := self._cut.split(text))[1:]:
             return [c for p in parts for c in ([p] if p in self.special else self._split(p))]
         return self._split(text)
 
@@ -112,6 +112,13 @@ class PairTable:
             todo, at = todo[~won], (at[~won] + 1) & (size - 1)
             self.longest += 1
 
+    @classmethod
+    def over(cls, keys: np.ndarray, rank: np.ndarray) -> PairTable:
+        """A table over slots that are filled already (mapped from a file)."""
+        self = cls.__new__(cls)
+        self.bits, self.keys, self.rank = len(keys).bit_length() - 1, keys, rank
+        return self
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 

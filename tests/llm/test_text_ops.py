@@ -153,13 +153,18 @@ def test_random_unicode_tokens(tokenizer):
     assert got == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_transducer():
+def test_transducer(tmp_path):
+    def packed(words, ids):
+        path = tmp_path / f"{len(words)}.lexicon"
+        path.write_bytes(lexicon_bpe.pack(lexicon_bpe.build(words, ids)))
+        return lexicon_bpe.Lexicon(str(path))
+
     words = sorted({w.encode() for w in ("tap", "taps", "top", "tops", "stop", "stops", "é", "")})
-    lex = lexicon_bpe.Lexicon(lexicon_bpe.pack(lexicon_bpe.build(words, [[i] for i in range(len(words))])))
+    lex = packed(words, [[i] for i in range(len(words))])
     assert lex.find(words).tolist() == list(range(len(words)))
     assert lex.find([b"to", b"topsy", b"z"]).tolist() == [-1, -1, -1]
     assert len(lex.end) < sum(map(len, words))  # suffixes are shared
-    empty = lexicon_bpe.Lexicon(lexicon_bpe.pack(lexicon_bpe.build([], [])))
+    empty = packed([], [])
     assert empty.find([b"a"]).tolist() == [-1]
 
 
