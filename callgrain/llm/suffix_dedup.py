@@ -6,13 +6,17 @@ corpus.  Suffix arrays sort what can match, not the whole corpus in one place:
 1. Every 400-byte string (*window*) has an anchor, the 64-byte string in it with the
    least hash.  Equal windows have equal anchors, so consecutive windows of one anchor
    form a *segment*, and only segments of one anchor can share a window.
-2. Segments are counted by content.  Equal segments repeat in full.  An anchor that has
-   one segment only, without a repeat of the anchor in it, is done: nothing of it repeats.
-3. The other segments are cut from the texts and dealt by anchor; blocks of whole anchors
-   are suffix-sorted in two stages (:mod:`callgrain.llm.two_stage`), and windows whose
-   common prefix with a neighbour in the array is 400 bytes repeat.
-4. An anchor whose segments exceed ``HOT`` bytes (a passage shorter than 400 bytes in very
-   many documents) is not gathered: its windows are counted by their 128-bit digests.
+2. Segments are counted by content.  Each content is one entry with a multiplicity; above
+   one, all of its windows repeat.  An anchor that has one entry only, without a repeat of
+   the anchor in it, is done: an array of it has no neighbours.
+3. The entries of the other anchors are cut from the texts and dealt by anchor; blocks of
+   whole anchors are suffix-sorted in two stages (:mod:`callgrain.llm.two_stage`), and windows
+   whose common prefix with a neighbour in the array is 400 bytes repeat.
+4. An anchor whose entries exceed ``HOT`` bytes (a passage shorter than 400 bytes in very
+   many documents) is not gathered in one array: its entries are divided anew by a longer
+   anchor (300 bytes), with steps 2 and 3 for the parts.  What is still above ``HOT`` - a
+   passage of 300 to 399 bytes, with other bytes around it each time - has its windows
+   counted by their 128-bit digests, which is exact as well and spreads over all tasks.
 
 Texts are known by a digest of their bytes, so copies of a text are handled once, and the
 texts are shuffled only where the list of wanted segments is too long to broadcast.
@@ -38,6 +42,8 @@ from callgrain.llm.two_stage import common_prefixes, suffix_array
 
 LENGTH = 400
 ANCHOR = 64
+#: The longer anchor of hot anchors, as a share of the length.
+SECOND = 0.75
 #: Bytes of one anchor's segments that a task sorts at most, and bytes of a block of anchors.
 HOT = 2_000_000
 BLOCK = 1_000_000
@@ -210,31 +216,87 @@ def _window_digests(length: int):
     return run
 
 
+PART = "anchor long, digest long, h1 long, h2 long, lo int, n int, again boolean, bytes binary"
+
+
+def _divided(length: int, anchor: int):
+    """Segments ``anchor, h1, h2, lo, bytes`` into parts by a longer anchor; the anchor of a part stands for both."""
+
+    def run(batches):
+        find = Anchors(length, anchor)
+        for batch in slices(batches):
+            rows = []
+            for first, h1, h2, lo, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for value, at, n, again in find.segments(raw):
+                    part = raw[at : at + n + length - 1]
+                    key = xxhash.xxh3_64_intdigest(value.to_bytes(8, "little", signed=True), seed=first & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                    rows.append((key, xxhash.xxh3_64_intdigest(part) - (1 << 63), h1, h2, lo + at, n, again, part))
+                if len(rows) > 2000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
+
+    def _batch(rows):
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PART.split(", ")])
+
+    return run
+
+
+def _several(contents: DataFrame) -> DataFrame:
+    """``anchor, _bytes`` of anchors of several entries, or with a repeat of their own; contents: ``anchor, n, length, again`` a row."""
+    found = contents.groupBy("anchor").agg(F.count("*").alias("_k"), F.sum(F.col("n").cast("long") + F.col("length")).alias("_bytes"), F.max("again").alias("_again"))
+    return found.filter("_k > 1 OR _again").select(F.col("anchor").alias("_a"), "_bytes")
+
+
+def _in_blocks(cut: DataFrame, length: int) -> DataFrame:
+    """Spans of the entries ``anchor, h1, h2, lo, n, bytes`` by suffix arrays over blocks of whole anchors."""
+    dealt = cut.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "h1", "h2", "lo", "n", "bytes")
+    return dealt.mapInArrow(_sort_blocks(length), SPAN)
+
+
+def _of_hot(cut: DataFrame, length: int) -> DataFrame:
+    """Spans of the entries of hot anchors: in blocks by a longer anchor, by window digests beyond that."""
+    parts = staged(cut.select("anchor", "h1", "h2", "lo", "bytes").mapInArrow(_divided(length, int(length * SECOND)), PART), "parts")
+    contents = staged(parts.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.max("again").alias("again")).withColumn("length", F.lit(length)), "part-contents")
+    equal = _whole(parts, contents, length)
+    entries = parts.dropDuplicates(["anchor", "digest"]).join(_several(contents), F.col("anchor") == F.col("_a"))
+    entries = staged(entries.select("anchor", "h1", "h2", "lo", "n", "bytes", (F.col("_bytes") > HOT).alias("hot")), "part-entries")
+    windows = entries.filter("hot").select("h1", "h2", "lo", "n", "bytes").mapInArrow(_window_digests(length), "d1 long, d2 long, h1 long, h2 long, at int")
+    many = windows.groupBy("d1", "d2").agg(F.count("*").alias("_c")).filter("_c > 1").select("d1", "d2")
+    rest = windows.join(many, ["d1", "d2"], "left_semi").select("h1", "h2", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
+    return equal.union(_in_blocks(entries.filter("NOT hot"), length)).union(rest)
+
+
+def _whole(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
+    """Spans of the occurrences whose content repeats."""
+    twice = sized_broadcast(contents.filter("copies > 1").select("anchor", "digest"), 32)
+    return rows.join(twice, ["anchor", "digest"], "left_semi").select("h1", "h2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``h1, h2, spans``: for each text with repeats (by its key) the byte spans that repeats cover; spans may touch or overlap."""
     texts = docs.select(*text_key(F.col("text")), F.xxhash64("doc_id").alias("row"), "text").filter(F.octet_length("text") >= length)
     found = staged(texts.mapInArrow(_occurrences(length, anchor), OCCURRENCE), "segments")
     # by content; a hot anchor spreads over its contents, and equal contents are combined before the shuffle
     contents = found.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("h1", "h2", "row", "lo", "n")).alias("one"), F.max("again").alias("again"))
-    contents = staged(contents.select("anchor", "digest", "copies", "one.*", "again"), "contents")
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("_k"), F.sum(F.col("n").cast("long") + length).alias("_bytes"), F.max("again").alias("_again")).filter("_k > 1 OR _again")
-    # a. equal segments repeat in full
-    equal = found.join(contents.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("h1", "h2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e"))
-    # b. different segments of one anchor
-    wanted = contents.join(anchors.withColumnRenamed("anchor", "_a"), F.col("anchor") == F.col("_a"))
+    contents = staged(contents.select("anchor", "digest", "copies", "one.*", "again", F.lit(length).alias("length")), "contents")
+    equal = _whole(found, contents, length)
+    # different entries of one anchor, cut from one row of each text
+    wanted = contents.join(_several(contents), F.col("anchor") == F.col("_a"))
     wanted = wanted.groupBy("h1", "h2").agg(F.min("row").alias("_row"), F.collect_list(F.struct("anchor", (F.col("_bytes") > HOT).alias("hot"), "lo", "n")).alias("jobs"))
+    # the jobs of one text: bounded by its length
     wanted = sized_broadcast(staged(wanted, "wanted"), 64 + 24 * F.size("jobs"))
     # of the copies of a text one row is cut; rows that repeat its doc_id as well are dropped after
     cut = texts.join(wanted, ["h1", "h2"]).filter("row = _row").select("h1", "h2", "text", "jobs").mapInArrow(_cut(length), SEGMENT)
     cut = staged(cut.dropDuplicates(["h1", "h2", "lo"]), "cut")
-    dealt = cut.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "h1", "h2", "lo", "n", "bytes")
-    sorted_ = dealt.mapInArrow(_sort_blocks(length), SPAN)
-    # c. hot anchors: windows by digest, combined before the shuffle
-    windows = cut.filter("hot").select("h1", "h2", "lo", "n", "bytes").mapInArrow(_window_digests(length), "d1 long, d2 long, h1 long, h2 long, at int")
-    many = windows.groupBy("d1", "d2").agg(F.count("*").alias("_c")).filter("_c > 1").select("d1", "d2")
-    hot = windows.join(many, ["d1", "d2"], "left_semi").select("h1", "h2", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
+    spans = equal.union(_in_blocks(cut.filter("NOT hot"), length))
+    if cut.filter("hot").limit(1).count():
+        spans = spans.union(_of_hot(cut.filter("hot"), length))
     # the spans of one text: bounded by its length
-    return equal.union(sorted_).union(hot).groupBy("h1", "h2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

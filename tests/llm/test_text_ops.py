@@ -121,6 +121,27 @@ def test_short_passages(spark):
             assert r.text == dict(rows)[r.doc_id]
 
 
+def test_anchors_over_chunks(monkeypatch):
+    """Segments tile the windows whatever the chunk, and equal windows have equal anchors."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = " ".join(word() for _ in range(900)).encode()
+    text += text[1000:2500]
+    seen = []
+    for chunk in (1 << 18, 700, 64):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        for length, anchor in ((400, 64), (200, 40)):
+            found = list(suffix_dedup.Anchors(length, anchor).segments(text))
+            at = {}
+            for value, lo, n, _ in found:
+                at.update(dict.fromkeys(range(lo, lo + n), value))
+            assert sorted(at) == list(range(len(text) - length + 1)) and len(at) == sum(x[2] for x in found)
+            by = {}
+            assert all(by.setdefault(text[k : k + length], v) == v for k, v in at.items())
+            seen.append((length, at))
+    assert all(a == b for k, a in seen for j, b in seen if k == j)
+
+
 def test_token_counts(docs, tokenizer):
     rows = docs.collect()
     n = [len(e.ids) for e in tokenizer.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
