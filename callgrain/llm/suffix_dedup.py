@@ -285,7 +285,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     contents = staged(contents.select("anchor", "digest", "copies", "one.*", "again", F.lit(length).alias("length")), "contents")
     equal = _whole(found, contents, length)
     # different entries of one anchor, cut from one row of each text
-    wanted = contents.join(_several(contents), F.col("anchor") == F.col("_a"))
+    several = sized_broadcast(staged(_several(contents), "several"), 24)
+    wanted = contents.join(several, F.col("anchor") == F.col("_a"))
     wanted = wanted.groupBy("h1", "h2").agg(F.min("row").alias("_row"), F.collect_list(F.struct("anchor", (F.col("_bytes") > HOT).alias("hot"), "lo", "n")).alias("jobs"))
     # the jobs of one text: bounded by its length
     wanted = sized_broadcast(staged(wanted, "wanted"), 64 + 24 * F.size("jobs"))
