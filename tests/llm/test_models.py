@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -56,6 +57,73 @@ def test_kneser_ney_sums_to_one():
     assert r[1] > 0 >= r[2]
 
 
+def brute_evidence(rows):
+    """The model of the module's text in plain dictionaries: evidence by word, and by pair beyond its word."""
+    d, n = toxicity.DISCOUNT, (Counter(), Counter())
+    for text, y in rows:
+        words = [(c.strip(toxicity._STRIP) or c).lower() for c in text.split()]
+        n[y].update(set(zip(["<s>", *words], [*words, "</s>"], strict=True)) if words else ())
+    k = tuple(Counter(w for _, w in n[c]) for c in (0, 1))
+    total, types = [sum(x.values()) for x in k], [len(x) for x in k]
+
+    def shared(w):
+        return sum(w in k[c] for c in (0, 1)) / sum(types)
+
+    def lower(c, w):
+        return (max(k[c][w] - d, 0) + d * types[c] * shared(w)) / total[c]
+
+    def drawn(ratio, errors, a, b):
+        return np.sign(ratio) * max(0.0, abs(ratio) - errors * np.sqrt(1 / (a + 1) + 1 / (b + 1)))
+
+    seen = set(n[0]) | set(n[1])
+    after = defaultdict(list)
+    for v, w in seen:
+        after[v].append(w)
+    out = {}
+    for w in set(k[0]) | set(k[1]):
+        if w != "</s>":
+            out[w] = drawn(np.log(lower(1, w) / lower(0, w)), toxicity.WORD_ERRORS, k[0][w], k[1][w])
+    for v, w in seen:
+        both = {x: n[0][v, x] + n[1][v, x] for x in after[v]}
+        back = sum(min(x, d) for x in both.values()) / sum(both.values())
+        mean = sum(lower(c, w) * total[c] for c in (0, 1)) / sum(total)
+        whole = max(both[w] - d, 0) / sum(both.values()) + back * mean
+        p = []
+        for c in (0, 1):
+            kept = sum(max(n[c][v, x] - d, 0) for x in after[v])
+            below = whole * lower(c, w) / mean
+            p.append((1 - back) * max(n[c][v, w] - d, 0) / kept + back * below if kept else below)
+        ratio = np.log(p[1] / p[0]) - np.log(lower(1, w) / lower(0, w))
+        out[v, w] = drawn(ratio, toxicity.PAIR_ERRORS, n[0][v, w], n[1][v, w])
+    return {x: v for x, v in out.items() if v}
+
+
+def test_toxicity_model_is_the_brute_force_one(spark):
+    """Evidence of every word and pair, and the scores that follow, as plain dictionaries have them."""
+    from callgrain.llm.common import mark, staged
+
+    rng = random.Random(11)
+    words = [f"W{i}." for i in range(60)] + ["!", "é", "x"]
+    texts = [("", 0), ("  ", 1), ("x x x", 1)]
+    for i in range(400):
+        y = int(i % 4 == 0)
+        texts.append((" ".join(rng.choice(words[: 25 if y else 63]) if rng.random() < 0.8 else ("bad omen" if y else "good omen") for _ in range(rng.randint(1, 30))), y))
+    want = brute_evidence(texts)
+    assert sum(isinstance(x, tuple) for x in want) > 3 and sum(isinstance(x, str) for x in want) > 10
+    since = mark()
+    rows = spark.createDataFrame(texts, "text string, toxic int").repartition(5)
+    found = {r.key: (r.value, r.n) for r in toxicity.evidence(staged(toxicity.pair_counts(rows), "pairs"), since).collect()}
+    hashed = toxicity.Words()
+    at = {"<s>": toxicity._START, "</s>": toxicity._END}
+
+    def word(w):
+        return np.uint64(at[w]) if w in at else hashed(w)[0]
+
+    keys = {x: int((word(x) if isinstance(x, str) else toxicity.pair_keys(np.array([word(x[0])]), np.array([word(x[1])]))[0]).astype(np.int64)) for x in want}
+    assert set(keys.values()) == set(found)
+    assert all(found[keys[x]][0] == pytest.approx(v, abs=1e-9) for x, v in want.items())
+
+
 def labelled_texts(spark, toxic, clean, n=300):
     """Texts of random words: ``toxic(i)`` in each third one, ``clean(i)`` in the others; and their labels."""
     rng = random.Random(3)
@@ -110,7 +178,8 @@ def base_counts(t):
     t = t or ""
     w = WORD.findall(t)
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    marked = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(5)}
+    times = Counter(windows)
+    marked = {i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(5)}
     seen, dup = set(), 0
     for line in t.split("\n"):
         if WORD.search(line):
@@ -120,7 +189,7 @@ def base_counts(t):
 
 
 def test_quality_counts(spark):
-    docs = table(spark).filter("doc_id IS NULL OR doc_id NOT IN (11, 60)")
+    docs = table(spark)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     want = sorted(((r.doc_id, *base_counts(r.text)) for r in docs.collect()), key=repr)
     got = quality_gbt.quality(clashing(docs), labels)
