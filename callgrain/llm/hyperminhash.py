@@ -315,12 +315,18 @@ class _Linker:
         # a component of one class has no row in labels
         named = noted.select(F.col("a").alias("_g")).union(noted.select("b")).distinct()
         own = own.union(named.join(labels, F.col("_g") == F.col("node"), "left_anti").select(F.col("_g").alias("doc"), F.col("_g").alias("label")))
-        goal = noted.select(F.col("b").alias("_l")).distinct()
-        blocks = own.join(goal, F.col("label") == F.col("_l")).groupBy("_l").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-        hosts = own.join(blocks, F.col("label") == F.col("_l"))
-        hosts = hosts.select("doc", F.col("label").alias("left"), F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int").alias("salt"), F.lit(0).alias("role"))
-        guests = noted.join(blocks, F.col("b") == F.col("_l")).join(own, F.col("a") == F.col("label"))
-        guests = guests.select("doc", F.col("b").alias("left"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"), F.lit(1).alias("role"))
+        # the classes of the larger component in nb blocks, those that come to it in nc chunks: a task has one of either
+        per = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+        sizes = own.groupBy(F.col("label").alias("_s")).agg(F.count("*").alias("_k"))
+        come = noted.join(sizes, F.col("a") == F.col("_s")).groupBy(F.col("b").alias("_l")).agg(per(F.sum("_k")).alias("nc"))
+        parts = come.join(sizes, F.col("_l") == F.col("_s")).select("_l", "nc", per(F.col("_k")).alias("nb"))
+        block, chunk = (F.pmod(F.xxhash64("doc"), F.col(n)).cast("int") for n in ("nb", "nc"))
+        salt = F.col("block") * F.col("nc") + F.col("chunk")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        hosts = own.join(parts, F.col("label") == F.col("_l")).withColumns({"block": block, "chunk": each("nc")})
+        hosts = hosts.select("doc", F.col("label").alias("left"), salt.alias("salt"), F.lit(0).alias("role"))
+        guests = noted.join(parts, F.col("b") == F.col("_l")).join(own, F.col("a") == F.col("label"))
+        guests = guests.withColumns({"chunk": chunk, "block": each("nb")}).select("doc", F.col("b").alias("left"), salt.alias("salt"), F.lit(1).alias("role"))
         return self._compared(hosts.union(guests), _verify_blocks(self.similarity))
 
     def _compared(self, jobs: DataFrame, verify) -> DataFrame:
