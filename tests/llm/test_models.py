@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from callgrain.llm import cover_search, license_scan, mixing, quality_gbt, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
-TOXIC = {"idiot", "moron", "trash", "scum", "stupid", "pathetic", "worthless", "disgusting", "clown", "loser"}
 
 
 @pytest.mark.parametrize("m", [mixing, cover_search, license_scan])
@@ -24,18 +23,26 @@ def test_matches_sql(spark, m):
         check(spark, q, m.ORACLE_SQL[name], SF)
 
 
-def test_toxicity_finds_held_out_rows(spark):
+def area(score, y):
+    """Chance that a row of class 1 has the higher score, ties by half."""
+    values, at, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    ones = y.sum()
+    return (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+def test_toxicity_agrees_with_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    true = {r.doc_id: any(w.strip(".,!*#$%&|<>").lower() in TOXIC for w in r.text.split()) for r in docs.collect()}
-    got = toxicity.toxicity(clashing(docs), labels).collect()
-    assert len(got) == len(true) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    held = [r for r in got if r.held_out]
-    assert 0.15 < len(held) / len(got) < 0.25
-    hit = sum(r.predicted for r in held if true[r.doc_id]) / sum(true[r.doc_id] for r in held)
-    false = sum(r.predicted for r in held if not true[r.doc_id]) / sum(not true[r.doc_id] for r in held)
-    assert hit > 0.97 and false < 0.01
-    assert toxicity.without_toxic(docs, labels).count() == sum(1 - r.predicted for r in got)
+    got = toxicity.toxicity(clashing(docs), labels).join(labels.select("doc_id", "toxic"), "doc_id", "left").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    assert 0.15 < got.held_out.mean() < 0.25
+    held = got[got.held_out & got.toxic.notna()]
+    y = held.toxic.to_numpy().astype(int)
+    assert len(held) > 800 and area(held.score.to_numpy(), y) > 0.97 and (held.predicted != y).sum() <= 15
+    for _, part in held.groupby("lang"):  # one cut serves all languages
+        assert (part.predicted != part.toxic).mean() < 0.05
+    assert toxicity.without_toxic(docs, labels).count() == (got.predicted == 0).sum()
 
 
 def test_toxicity_edges(spark):
@@ -168,10 +175,26 @@ def test_toxicity_model_of_any_size(spark):
 
 
 def test_calibrate():
-    s, y = np.array([0.0, 0.1, 0.2, 0.9, 1.0]), np.array([0, 0, 0, 1, 1])
-    cut, slope = toxicity.calibrate(s, y)
-    assert 0.2 < cut < 0.9 and slope > 0
-    assert toxicity.calibrate(np.zeros(4), np.array([0, 1, 0, 0]))[0] > 0
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 2)) * [1, 5] + [3, -2]
+    p = 1 / (1 + np.exp(-(x @ [1.0, 0.2] - 2.6)))
+    y = (rng.random(4000) < p).astype(int)
+    w = toxicity.calibrate(x, y, 1e-9)
+    assert np.allclose(w, [-2.6, 1.0, 0.2], atol=0.3)
+    score = 1 / (1 + np.exp(-(x @ w[1:] + w[0])))
+    assert abs(score.sum() - y.sum()) < 1e-3  # the likelihood's slope is 0
+    apart = toxicity.calibrate(np.array([[0.0], [0.1], [0.9], [1.0]]), np.array([0, 0, 1, 1]))
+    assert apart[1] > 0 and np.isfinite(apart).all()
+    same = toxicity.calibrate(np.zeros((4, 1)), np.array([0, 1, 0, 0]))
+    assert 1 / (1 + np.exp(-same[0])) == pytest.approx(0.25, abs=1e-3)
+
+
+def test_statistics_on_columns_and_arrays(spark):
+    rows = [(1.5, 4.0, 16.0, 3, 2), (-2.0, 0.0, 0.0, 10, 9), (0.0, 0.0, 0.0, 0, 0)]
+    weights = [0.3, -1.0, 2.0, 0.5, 0.7]
+    df = spark.createDataFrame(rows, "total double, second double, fourth double, words long, types long")
+    got = [r[0] for r in df.select(toxicity.linear(weights)).collect()]
+    assert got == pytest.approx(list(toxicity.statistics(np.array(rows)) @ weights[1:] + weights[0]))
 
 
 def base_counts(t):
