@@ -6,9 +6,9 @@ operators; each operator lives in a module of its own.
 
 from __future__ import annotations
 
-from callgrain.llm import cover_search, hyperminhash, lexicon_bpe, license_scan, mixing, quality_gbt, rank_sync, suffix_dedup, toxicity, warc
+from callgrain.llm import cover_search, hyperminhash, lexicon_bpe, license_scan, mixing, quality_gbt, rank_sync, secret_scan, spelling, suffix_dedup, toxicity, warc
 
-MODULES = [suffix_dedup, rank_sync, cover_search, toxicity, quality_gbt, license_scan, lexicon_bpe, mixing, hyperminhash, warc]
+MODULES = [suffix_dedup, rank_sync, cover_search, toxicity, quality_gbt, license_scan, lexicon_bpe, mixing, hyperminhash, warc, spelling, secret_scan]
 
 
 def queries() -> dict:
