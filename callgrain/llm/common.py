@@ -61,13 +61,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage: later jobs reread the table, also after an executor
-    was lost, and no stage below it is computed twice.  :func:`cleanup` removes
-    the tables; it runs when the interpreter ends.
+    was lost, and no stage below it is computed twice.  The driver's garbage of the
+    stage (plans, metrics, generated code) is collected at once, or its heap would grow
+    to its limit over a long chain of stages.  :func:`cleanup` removes the tables; it
+    runs when the interpreter ends.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/callgrain-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     if not _written:
         atexit.register(cleanup, spark)
     _written.append(path)

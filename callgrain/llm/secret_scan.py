@@ -38,7 +38,6 @@ from itertools import accumulate
 
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +67,10 @@ _CAMEL = re.compile(r"[a-z]{3,}(?:[A-Z][a-z]{2,})+[0-9]{0,2}\Z|(?:[A-Z][a-z]{2,}
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+def encoding(path: str, pattern: str):
     """A tiktoken vocabulary file as an encoding without special tokens, once a worker process."""
+    import tiktoken  # only workers need it
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
