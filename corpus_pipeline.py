@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrain.llm.common import staged, table
+from callgrain.llm.common import mark, staged, sweep, table
 from callgrain.llm.hyperminhash import without_copies
 from callgrain.llm.lexicon_bpe import digests
 from callgrain.llm.mixing import materialise
@@ -74,5 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        since = mark()
         docs = staged(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, docs)  # what the stage wrote on its way
     return docs
