@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 _made: list[str] = []
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, removed when the interpreter ends.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
     Only a local session without that setting (tests) gets a temporary folder of its own; on a
     cluster a machine-local folder would lose rows, so there the setting is asked for.
@@ -24,7 +24,12 @@ def folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="callgrain-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/callgrain-{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A fresh path below :func:`shared_root`, removed when the interpreter ends."""
+    path = f"{shared_root(spark)}/callgrain-{label}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove, spark)
     _made.append(path)
