@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callgrain.operators.quantiles import quantiles
+
 
 def percent(text: Column) -> Column:
     """A percent or number text as a double; null where it is none (``N/A``)."""
@@ -28,10 +33,12 @@ def roll_up(scores: DataFrame, weights: dict[str, float] | None = None) -> DataF
 
 
 def latency(df: DataFrame, column: str, *by: str, sample: bool = False) -> DataFrame:
-    """``mean, stddev, p50, p95`` of a column; population deviation unless ``sample``."""
+    """``mean, stddev, p50, p95`` of a column, percentiles exact by selection; population deviation unless ``sample``."""
     dev = F.stddev_samp if sample else F.stddev_pop
-    p = lambda x: F.percentile(column, F.lit(x))
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), dev(column).alias("stddev"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    moments = df.groupBy(*by).agg(F.avg(column).alias("mean"), dev(column).alias("stddev"))
+    found = quantiles(df, column, [0.5, 0.95], *by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("q0").alias("p50"), F.col("q1").alias("p95"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]  # without groups one row each
+    return moments.join(found, reduce(and_, same), "left").select(*by, "mean", "stddev", "p50", "p95")
 
 
 def throughput(df: DataFrame, units: str, seconds: str, *by: str) -> DataFrame:

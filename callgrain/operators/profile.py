@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callgrain.operators.quantiles import quantiles
+
 
 def parameters_of(tools: Column) -> Column:
     """Raw parameter specifications of a tools text: array of ``name -> spec text`` maps, one a tool."""
@@ -34,9 +36,12 @@ def words(text: Column) -> Column:
 
 
 def length_profile(df: DataFrame, column: str, shares=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """One row: ``n, p50, ... , longest``; percentiles interpolate, then drop their fraction."""
-    ps = [F.floor(F.percentile(column, F.lit(s))).cast("long").alias(f"p{round(s * 100)}") for s in shares]
-    return df.agg(F.count(column).alias("n"), *ps, F.max(column).cast("long").alias("longest"))
+    """One row: ``n, p50, ... , longest``; exact percentiles interpolate, then drop their fraction; nulls without rows."""
+    found = quantiles(df, column, list(shares))
+    names = [f"p{round(s * 100)}" for s in shares]
+    row = found.select("n", *(F.floor(f"q{k}").cast("long").alias(p) for k, p in enumerate(names)), F.col("most").cast("long").alias("longest"))
+    # a global aggregate has a row for no rows, too
+    return row.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *(F.max(c).alias(c) for c in (*names, "longest")))
 
 
 def over_cuts(df: DataFrame, column: str, cuts) -> DataFrame:
