@@ -98,8 +98,8 @@ def violation(value: object, schema: dict | bool, at: str = "$") -> str | None:
             if name not in value:
                 return f"{at}: {name} is required"
         known, extra = schema.get("properties", {}), schema.get("additionalProperties", True)
-        for name, x in value.items():
-            if found := violation(x, known.get(name, extra), f"{at}.{name}"):
+        for name in sorted(value):  # the same first one however the object is written
+            if found := violation(value[name], known.get(name, extra), f"{at}.{name}"):
                 return found
     if isinstance(value, list):
         if len(value) < schema.get("minItems", 0):

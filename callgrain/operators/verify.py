@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from callgrain.functions.json_schema import SchemaError, check_schema, violation
+from callgrain.functions.schema_columns import NotCompiled, compiled
 from callgrain.schemas import CALLS, MALFORMED_SPEC, SCHEMA_VIOLATION, TOOL, UNKNOWN_TOOL, VALID, VERDICT, VERDICTS
 
 
+#: Most different schemas that are compiled to one expression.
+COMPILED = 64
+
+
 @lru_cache(maxsize=100_000)
 def _schema(text: str):
     """A decoded schema, checked once a worker; or its error."""
@@ -63,15 +68,43 @@ def _verdicts(parameters: pa.Array, arguments: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _outcomes(parameters.flatten(), arguments.flatten()))
 
 
-def verify_calls(calls: DataFrame, tools: DataFrame, on_malformed: str = "fail") -> DataFrame:
+def _native(tools: DataFrame, parameters: Column, arguments: Column) -> Column:
+    """Verdicts by schemas compiled to expressions; calls of tools whose schema is not compiled go to Python.
+
+    No Python evaluation is in the plan if all schemas compile.  More than ``COMPILED`` different
+    schemas are not compiled: an expression of all of them would be evaluated for every row.
+    """
+    texts = [r.parameters for r in tools.select("parameters").filter("parameters IS NOT NULL").distinct().limit(COMPILED + 1).collect()]
+    verdict_of = lambda outcome, detail: F.struct(outcome.alias("outcome"), detail.cast("string").alias("detail"))
+    out = F.when(parameters.isNull(), verdict_of(F.lit(UNKNOWN_TOOL), F.lit("no such tool")))
+    value = F.coalesce(F.try_parse_json(arguments), F.raise_error(F.concat(F.lit("arguments that are no plain JSON: "), arguments)).cast("variant"))
+    rest = len(texts) > COMPILED
+    for text in sorted(texts) if not rest else ():
+        try:
+            check = compiled(json.loads(text))
+        except NotCompiled:
+            rest = True
+            continue
+        except ValueError as e:
+            out = out.when(parameters == text, verdict_of(F.lit(MALFORMED_SPEC), F.lit(str(e))))
+            continue
+        found = F.get(F.transform(F.array(check(value)), lambda v: verdict_of(F.when(v.isNull(), VALID).otherwise(SCHEMA_VIOLATION), v)), F.lit(0))
+        out = out.when(parameters == text, found)
+    return out.otherwise(_verdict.asNondeterministic()(parameters, arguments)) if rest else out
+
+
+def verify_calls(calls: DataFrame, tools: DataFrame, on_malformed: str = "fail", native: bool = False) -> DataFrame:
     """``calls`` (conv_id, name, arguments, ...) with ``outcome, detail``, by a left join with ``tools`` (conv_id, name, parameters).
 
     Only the schemas of called tools are looked at.  A malformed one ends the job, or
-    with ``on_malformed="count"`` is an outcome of its own.
+    with ``on_malformed="count"`` is an outcome of its own.  ``native`` verifies in the JVM where
+    the tools have few different schemas; there an argument text with NaN, or with a key
+    twice in an object, ends the job as one that is no JSON does.
     """
     t = tools.select(F.col("conv_id").alias("_c"), F.col("name").alias("_n"), "parameters")
     rows = calls.join(t, (F.col("conv_id") == F.col("_c")) & (F.col("name") == F.col("_n")), "left")
-    rows = rows.withColumn("_v", _verdict.asNondeterministic()("parameters", "arguments"))
+    one = _native(tools, F.col("parameters"), F.col("arguments")) if native else _verdict.asNondeterministic()("parameters", "arguments")
+    rows = rows.withColumn("_v", one)
     return checked(rows.select(*calls.columns, "_v.outcome", "_v.detail"), on_malformed)
 
 

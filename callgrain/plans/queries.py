@@ -25,12 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 MODELS = [("base", "lab/small-base", "lab/small-base"), ("tuned", "lab/small-tuned", "lab/small-base")]
-#: Invented score rows: section, category, part, text.
-SCORES = [
-    ("non_live", "simple", "python", "81.5%"), ("non_live", "simple", "java", "62.25%"), ("non_live", "simple", "javascript", "70%"), ("non_live", "multiple", "all", "77.75%"),
-    ("non_live", "parallel", "all", "59.5%"), ("non_live", "parallel_multiple", "all", "48%"), ("multi_turn", "base", "all", "31%"), ("multi_turn", "miss_func", "all", "12.5%"),
-    ("multi_turn", "miss_param", "all", "9.75%"), ("multi_turn", "long_context", "all", "0%"), ("agentic", "web", "all", "N/A"),
-]
 WEIGHTS = {"non_live": 0.1, "multi_turn": 0.3, "agentic": 0.4}
 
 
@@ -92,6 +86,13 @@ def verify_details(spark, sf_dir):
     return _verified(spark, sf_dir).select("event_id", "outcome", "detail")
 
 
+@query(ORACLE_SQL["verify_details"])
+def verify_native(spark, sf_dir):
+    """The same verdicts by schemas compiled to expressions: no Python in the plan."""
+    v = verify_calls(_calls(spark, sf_dir), corpora.tools(spark).withColumn("conv_id", F.lit(0).cast("long")), native=True)
+    return v.select("event_id", "outcome", "detail")
+
+
 def _user_turns(spark, sf_dir):
     """Conversations of one user's events within ten consecutive ids, with their calls in order."""
     e = table(spark, sf_dir, "events")
@@ -312,18 +313,43 @@ def best_checkpoint(spark, sf_dir):
     return profile.best_checkpoint(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("checkpoint"), F.col("o_totalprice").alias("eval_loss")))
 
 
-SCORE_VALUES = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in SCORES)
+#: Benchmark samples of the scored events: a section by the shape of the output, a category by its variant; nothing of the agentic section was measured.
+SQL_SAMPLE_RESULTS = f"""{SQL_EVENTS}, x AS (
+  SELECT CASE WHEN shape IN (3, 4) THEN 'agentic' WHEN shape IN (5, 7) THEN 'multi_turn' ELSE 'non_live' END AS section, 'variant_' || variant AS category, name AS part,
+    CASE WHEN shape IN (3, 4) THEN NULL ELSE name_and_args END AS correct FROM s)"""
+
+
+def _sample_results(spark, sf_dir):
+    e = corpora.events(spark, sf_dir).select(F.col("i").alias("_i"), "name", "shape", "variant")
+    rows = _scores(spark, sf_dir).join(e, F.col("i") == F.col("_i"))
+    section = F.when(F.col("shape").isin(3, 4), "agentic").when(F.col("shape").isin(5, 7), "multi_turn").otherwise("non_live")
+    return rows.select(section.alias("section"), F.concat(F.lit("variant_"), F.col("variant").cast("string")).alias("category"), F.col("name").alias("part"), F.when(section != "agentic", F.col("name_and_args")).alias("correct"))
 
 
 @query(f"""
-WITH v(section, category, part, t) AS (VALUES {SCORE_VALUES}), p AS (SELECT section, category, try_cast(replace(t, '%', '') AS DOUBLE) AS score FROM v),
-c AS (SELECT section, category, avg(score) AS score FROM p GROUP BY ALL), s AS (SELECT section, avg(score) AS score, count(score) AS measured FROM c GROUP BY section)
-SELECT section, round(score, 9) AS score, measured FROM s UNION ALL
-SELECT 'overall', round(sum(coalesce(score, 0) * CASE section WHEN 'non_live' THEN 0.1::DOUBLE WHEN 'multi_turn' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END), 9), count(score) FROM s""")
+WITH {SQL_SAMPLE_RESULTS}, p AS (SELECT section, category, part, avg(CAST(correct AS DOUBLE)) AS score FROM x GROUP BY ALL),
+cat AS (SELECT section, category, avg(score) AS score FROM p GROUP BY ALL), s2 AS (SELECT section, avg(score) AS score, count(score) AS measured FROM cat GROUP BY section)
+SELECT section, round(score, 9) AS score, measured FROM s2 UNION ALL
+SELECT 'overall', round(sum(coalesce(score, 0) * CASE section WHEN 'non_live' THEN 0.1::DOUBLE WHEN 'multi_turn' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END), 9), count(score) FROM s2""")
 def bfcl_rollup(spark, sf_dir):
-    rows = spark.createDataFrame(SCORES, "section string, category string, part string, text string")
-    rows = rows.withColumn("score", benchmarks.percent(F.col("text")))
-    return benchmarks.roll_up(rows, WEIGHTS).withColumn("score", F.round("score", 9))
+    """Part scores of the events' samples, rolled up to sections and the weighted whole."""
+    scores = _sample_results(spark, sf_dir).groupBy("section", "category", "part").agg(F.avg(F.col("correct").cast("double")).alias("score"))
+    return benchmarks.roll_up(scores, WEIGHTS).withColumn("score", F.round("score", 9))
+
+
+@query(f"""
+WITH {SQL_SAMPLE_RESULTS}, p AS (SELECT section, category, part, count(*) AS n, count(correct) AS measured, count(*) FILTER (correct) AS n_right, avg(CAST(correct AS DOUBLE)) AS score FROM x GROUP BY ALL),
+cat AS (SELECT section, category, avg(score) AS score, sum(n) AS n, sum(measured) AS measured, sum(n_right) AS n_right FROM p GROUP BY ALL),
+sec AS (SELECT section, avg(score) AS score, sum(n) AS n, sum(measured) AS measured, sum(n_right) AS n_right FROM cat GROUP BY ALL),
+whole AS (SELECT sum(coalesce(score, 0) * CASE section WHEN 'non_live' THEN 0.1::DOUBLE WHEN 'multi_turn' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END) AS score, sum(n) AS n, sum(measured) AS measured, sum(n_right) AS n_right FROM sec),
+u AS (
+  SELECT 'part' AS level, section, category, part, n, measured, n_right, score FROM p UNION ALL SELECT 'category', section, category, NULL, n, measured, n_right, score FROM cat
+  UNION ALL SELECT 'section', section, NULL, NULL, n, measured, n_right, score FROM sec UNION ALL SELECT 'overall', NULL, NULL, NULL, n, measured, n_right, score FROM whole)
+SELECT level, section, category, part, CAST(n AS BIGINT) AS n, CAST(measured AS BIGINT) AS measured, CAST(n_right AS BIGINT) AS n_right, round(n_right::DOUBLE / nullif(measured, 0), 9) AS share, round(score, 9) AS score FROM u""")
+def sample_rollup(spark, sf_dir):
+    """The same samples at all four levels: counts, shares of the measured ones and plain means, what was not measured apart from 0."""
+    r = benchmarks.roll_up_samples(_sample_results(spark, sf_dir), WEIGHTS)
+    return r.withColumns({c: F.round(c, 9) for c in ("share", "score")})
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")

@@ -205,3 +205,16 @@ def test_reject_reasons(spark):
     df = spark.createDataFrame(rows, "hallucinated boolean, n_calls long, schema_valid boolean, tool_name boolean, name_and_args boolean")
     got = [r[0] for r in df.coalesce(1).select(prefs.reject_reason({c: F.col(c) for c in names})).collect()]
     assert got == ["UNKNOWN_TOOL", "NO_CALL", "SCHEMA_VIOLATION", "WRONG_TOOL", "WRONG_ARGUMENTS", "PROTOCOL"]
+
+
+def test_sample_roll_up_tells_unmeasured_from_wrong(spark):
+    rows = [("s", "a", "x", True), ("s", "a", "x", False), ("s", "a", "y", None), ("s", "b", "z", False), ("overall", "c", "w", None), (None, "d", "v", True), ("s", "a", "x", None)]
+    df = spark.createDataFrame(rows, "section string, category string, part string, correct boolean")
+    got = {(r.level, r.section, r.category, r.part): (r.n, r.measured, r.n_right, r.share, r.score) for r in benchmarks.roll_up_samples(df, {"s": 0.5, "overall": 0.3}).collect()}
+    assert got["part", "s", "a", "x"] == (3, 2, 1, 0.5, 0.5)
+    assert got["part", "s", "a", "y"] == (1, 0, 0, None, None)  # not measured is not 0
+    assert got["category", "s", "a", None] == (4, 2, 1, 0.5, 0.5) and got["category", "s", "b", None] == (1, 1, 0, 0.0, 0.0)
+    assert got["section", "s", None, None][3:] == (1 / 3, 0.25)  # the mean of categories, not of samples
+    assert got["section", "overall", None, None] == (1, 0, 0, None, None) and got["section", None, None, None][4] == 1.0
+    assert got["overall", None, None, None] == (7, 4, 2, 0.5, 0.125)
+    assert len(got) == 5 + 4 + 3 + 1
