@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callgrain.operators import batches, benchmarks, prefs, profile, registry, render
 from callgrain.operators.build import build, build_report, classify
 from callgrain.operators.normalize import error_counts, normalize, object_schemas, with_types
-from callgrain.operators.parse import parse_calls
+from callgrain.operators.parse import gold_row, parse_calls
 from callgrain.operators.score import join_dump, last_of_dump, metric_means, running_means, score_completions, score_rows
 from callgrain.operators.split import exact_split, hash_split, leakage
 from callgrain.operators.verify import keep_valid, outcome_counts, verdicts, verify_calls
@@ -146,12 +146,17 @@ def object_schema(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey AS id, 'b,a' AS names, 'second' AS first_description, CAST(2 AS BIGINT) AS n_calls FROM part""")
+SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_brand || ',' || p_type WHEN p_size % 3 = 1 THEN p_brand || ',' || p_type || ',' || p_name ELSE p_brand || ',' || p_type || ',' || p_name || ',' || p_size END AS names,
+  CASE WHEN p_size % 3 = 0 THEN 'last of ' || p_name ELSE 'first of ' || p_name END AS first_description, CAST(p_partkey % 4 AS BIGINT) AS n_calls FROM part""")
 def normalize_registry(spark, sf_dir):
-    """A repeated tool name keeps its first place and its last specification."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("query"))
-    tool = lambda n, d: f'{{"name": "{n}", "description": "{d}", "parameters": {{}}}}'
-    rows = p.withColumn("tools", F.lit(f"[{tool('b', 'first')}, {tool('a', 'other')}, {tool('b', 'second')}]")).withColumn("answers", F.lit('[{"name": "a", "arguments": {}}, {"name": "b", "arguments": {}}]'))
+    """A repeated tool name keeps its first place and its last specification; names, repeats and calls come from the row's columns."""
+    p = table(spark, sf_dir, "part")
+    tool = lambda n, d: F.concat(F.lit('{"name": '), render.quoted(n), F.lit(', "description": '), render.quoted(d), F.lit(', "parameters": {}}'))
+    third = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_name"))
+    tools = [tool(F.col("p_brand"), F.concat(F.lit("first of "), "p_name")), tool(F.col("p_type"), F.lit("other")), tool(third, F.concat(F.lit("last of "), "p_name"))]
+    fourth = F.when(F.col("p_size") % 3 == 2, F.array(tool(F.col("p_size").cast("string"), F.lit("size")))).otherwise(F.array().cast("array<string>"))
+    call = F.concat(F.lit('{"name": '), render.quoted(F.col("p_brand")), F.lit(', "arguments": {}}'))
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("query"), render.listed(F.concat(F.array(*tools), fourth)).alias("tools"), render.listed(F.array_repeat(call, (F.col("p_partkey") % 4).cast("int"))).alias("answers"))
     n = normalize(rows)
     return n.select("id", F.array_join(F.transform("tools", lambda t: t["name"]), ",").alias("names"), F.col("tools")[0]["description"].alias("first_description"), F.size("gold").cast("long").alias("n_calls"))
 
@@ -185,9 +190,29 @@ def split_exact(spark, sf_dir):
     return exact_split(_ids(spark, sf_dir), "id", 7)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_leaked, CAST(0 AS BIGINT) AS n_lost, count(*) AS n_rows FROM customer")
+LEAK_SQL = """
+WITH k AS (SELECT o_custkey, o_orderkey % 7 = 0 AS out, CAST('0x' || substr(md5('7:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % 1000 AS b FROM orders),
+s AS (SELECT o_custkey, CASE WHEN out THEN NULL WHEN b < 100 THEN 'test' WHEN b < 200 THEN 'dev' ELSE 'train' END AS split FROM k),
+g AS (SELECT o_custkey, count(DISTINCT split) AS k, count(*) AS n, count(*) FILTER (split IS NULL) AS lost FROM s GROUP BY o_custkey)
+SELECT count(*) FILTER (k > 1) AS n_leaked, CAST(sum(lost) AS BIGINT) AS n_lost, CAST(sum(n) AS BIGINT) AS n_rows FROM g"""
+
+
+def _leakage(spark, sf_dir, key):
+    """Customers whose orders stand in several splits; each seventh order gets none."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return leakage(hash_split(orders, key, 7, F.col("o_orderkey") % 7 != 0), "o_custkey")
+
+
+@query(LEAK_SQL.format(key="o_custkey"))
 def split_leakage(spark, sf_dir):
-    return leakage(exact_split(_ids(spark, sf_dir), "id", 7))
+    """Split by the customer: none leaks."""
+    return _leakage(spark, sf_dir, "o_custkey")
+
+
+@query(LEAK_SQL.format(key="o_orderkey"))
+def split_leaks(spark, sf_dir):
+    """Split by the order: customers leak, and are counted."""
+    return _leakage(spark, sf_dir, "o_orderkey")
 
 
 @query(f"""
@@ -492,6 +517,34 @@ def gold_rows(spark, sf_dir):
     return g.select("i", F.size("tools").cast("long").alias("n_tools"), F.col("gold")[0]["name"].alias("name"), F.col("gold")[0]["arguments"].alias("arguments"), F.col("gold")[0]["canon"].alias("canon"))
 
 
+#: Gold arguments, nested and with decimals, and ways to write them; ``{k}`` is the event's number.
+NESTED = '{"z": {"list": [1, {k}, {"q": "a b", "p": null}], "flag": true}, "a": {k}.5}'
+WRITTEN = [
+    ('{"a": {k}.5, "z": {"flag": true, "list": [1, {k}, {"p": null, "q": "a b"}]}}', True),  # keys in another order
+    ('{"a":{k}.50,"z":{"flag":1,"list":[1.0,{k}.0,{"p":null,"q":"a b"}]}}', True),  # other numbers for the same values
+    ('{"a": {k}.5, "z": {"flag": true, "list": [{k}, 1, {"p": null, "q": "a b"}]}}', False),  # lists keep their order
+    ('{"a": {k}.5, "z": {"flag": true, "list": [1, {k}, {"p": null, "q": "ab"}]}}', False),  # white space in a string counts
+    ('{"a": {k}.5, "z": {"flag": true, "list": [1, {k}, {"q": "a b"}]}}', False),  # null is not missing
+    ('{"a": "{k}.5", "z": {"flag": true, "list": [1, {k}, {"p": null, "q": "a b"}]}}', False),  # a string is no number
+]
+
+
+@query("""
+WITH e AS (SELECT event_id AS i, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 6 AS way FROM events)
+SELECT i, way < 2 OR (way = 2 AND k = 1) AS name_and_args FROM e""")
+def canonical_calls(spark, sf_dir):
+    """Nested arguments of exported examples against calls that write them in other ways."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    way = F.element_at(F.array(*[F.lit(t) for t, _ in WRITTEN]), (F.col("event_id") % len(WRITTEN) + 1).cast("int"))
+    call = F.array(F.struct(F.lit("f").alias("name"), F.replace(F.lit(NESTED), F.lit("{k}"), k).alias("arguments")))
+    tools = F.from_json(F.lit('[{"name": "f", "description": "", "parameters": "{}"}]'), "array<struct<name: string, description: string, parameters: string>>")
+    gold = gold_row(render.example(F.lit("q"), tools, call))
+    said = F.concat(F.lit('<tool_call>{"name": "f", "arguments": '), F.replace(way, F.lit("{k}"), k), F.lit("}</tool_call>"))
+    rows = e.select(F.col("event_id").alias("i"), said.alias("completion"), gold.alias("g")).select("i", "completion", "g.tools", "g.gold")
+    return score_rows(rows).select("i", "name_and_args")
+
+
 @query(f"WITH {SQL_EVENTS} SELECT i, emits_json, tool_name, name_and_args, schema_valid, protocol, strict, hallucinated FROM s WHERE i % 8 <> 3")
 def score_files(spark, sf_dir):
     """A completion dump scored against exported examples, both read from JSON lines; what the dump lacks is left out."""
