@@ -614,6 +614,21 @@ def stream_means(spark, sf_dir):
     return spark.table(name)
 
 
+@query(f"WITH {SQL_EVENTS} SELECT count(*) AS n, {MEANS} FROM s WHERE i % 8 <> 3")
+def stream_last_wins(spark, sf_dir):
+    """A dump's lines as files that arrive one after the other, every fifth row first with an older line: the last line counts, over two runs."""
+    path, out, mark = (folder(spark, label) for label in ("arriving", "scores", "scores-state"))
+    c = corpora.completions(spark, sf_dir).filter("i % 8 <> 3")
+    line = F.to_json(F.struct("i", "completion")).alias("line")
+    gold = corpora.gold(spark, sf_dir)
+    c.filter("i % 5 = 0").withColumn("completion", F.lit("older")).select(line).write.text(f"{path}/part=1")
+    c.filter("i % 2 = 0").select(line).write.text(f"{path}/part=2")
+    live.score_new_files(spark, f"{path}/part=*", gold, out, mark, max_files=3)
+    c.filter("i % 2 = 1").select(line).write.text(f"{path}/part=3")
+    live.score_new_files(spark, f"{path}/part=*", gold, out, mark, max_files=3)
+    return live.live_means(live.current_scores(spark, out))
+
+
 def conversation_pairs(spark, sf_dir):
     """``conv_id, turn, prompt, completion``: each user turn with the assistant turn that follows it."""
     c = table(spark, sf_dir, "conversations")

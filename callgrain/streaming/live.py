@@ -1,4 +1,4 @@
-"""Scoring a stream of completions: flags a row, then means that are updated with every batch."""
+"""Scoring a stream of completions: flags a row, means that are updated with every batch, or scores that later lines correct."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callgrain.operators.score import score_rows
+from callgrain.operators.score import join_dump, score_rows
 from callgrain.schemas import DUMP, FLAGS
 
 
@@ -38,3 +38,42 @@ def start(means: DataFrame, name: str, checkpoint: str, once: bool = False) -> S
     """Write all means anew with every batch; the checkpoint lets a restarted query go on; ``once`` ends with what is there."""
     out = means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
+
+
+# Scores that later lines correct: the last line of an ``i`` counts, as in a batch.
+
+
+def read_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """Lines of completion files as they arrive, with what orders them: time, name and block of their file."""
+    m = F.col("_metadata")
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", "\n").text(path)
+    return lines.select("value", m["file_modification_time"].alias("at"), m["file_path"].alias("file"), m["file_block_start"].alias("block"))
+
+
+def take_lines(lines: DataFrame, number: int, gold: DataFrame, out: str) -> None:
+    """Score one batch of :func:`read_lines` into its own folder; doing it again changes nothing.
+
+    Of the lines of an ``i`` the last one counts: by file time, file name, place in the file.
+    """
+    dump = lines.select(F.struct("at", "file", "block", F.monotonically_increasing_id()).alias("line_no"), F.from_json("value", DUMP).alias("d")).select("line_no", "d.*")
+    scores = score_rows(join_dump(dump.filter("i IS NOT NULL"), gold, strict=False))
+    scores.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+
+def score_new_files(spark: SparkSession, path: str, gold: DataFrame, out: str, checkpoint: str, max_files: int = 100) -> None:
+    """Score the files that came since the checkpoint, and end.
+
+    A run that was killed goes on with the batch it was in: the checkpoint says which files
+    that has, and its folder is written anew.  So ``out`` always holds the rows of one run.
+    """
+    stream = read_lines(spark, path, max_files).writeStream.foreachBatch(lambda lines, number: take_lines(lines, number, gold, out))
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def current_scores(spark: SparkSession, out: str) -> DataFrame:
+    """``i`` and flags by the last batch that had a line of ``i``: a maximum, combined before its shuffle."""
+    columns = [*FLAGS, "n_calls"]
+    kind = f"i long, {', '.join(f'{c} boolean' for c in FLAGS)}, n_calls long, batch long"
+    rows = spark.read.schema(kind).parquet(out)
+    last = rows.groupBy("i").agg(F.max(F.struct("batch", *columns)).alias("s"))
+    return last.select("i", *(f"s.{c}" for c in columns))
