@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.llm.common import mark, sized_broadcast, slices, staged, sweep, table
@@ -518,9 +518,10 @@ def without_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILA
     kept = docs.join(gone, same, "left_anti")
     again = rows.filter("stays")
     if again.limit(1).count():
-        order = Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.xxhash64(*docs.columns))
-        first = docs.join(sized_broadcast(again), same).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
-        kept = kept.unionByName(first.select(*docs.columns))
+        # the least row of each, combined before the shuffle
+        row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+        first = docs.join(sized_broadcast(again), same).groupBy("_id", "_t1", "_t2").agg(row)
+        kept = kept.unionByName(first.select("_row.*"))
     return kept
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import WORD, staged, table
+from callgrain.llm.common import WORD, sized_broadcast, staged, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -35,6 +35,8 @@ MOST_EPOCHS = 2
 SEED = "mix-1"
 #: Hex digits of the key that name its slice.
 SLICE_DIGITS = 3
+#: Copies of one row beyond which its key is broadcast.
+HOT = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -86,21 +88,52 @@ def sliced(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return one.select(F.col("_key").alias("_k"), F.col("size").alias("_size"), "copies", "source_size", "target", "epochs", "open")
 
 
+def numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with ``_nth``: 0, 1, ... inside each ``_key``, by the hash of ``columns``.
+
+    The rows of a key may be any share of the table, and all alike.  So a number is added up
+    from counts: of the slices of the hash before the row's, of the hashes before its own in
+    the slice, of the blocks before its own that hold its hash (a block is a task's part of the
+    rows as they are written here, so that a rerun of a later task finds the same), and of the
+    rows before it in its block.  Which of two rows alike in all columns comes first is no
+    matter.
+    """
+    rows = rows.withColumns({"_hash": F.xxhash64(*columns), "_block": F.spark_partition_id(), "_line": F.monotonically_increasing_id()})
+    rows = staged(rows.withColumn("_part", F.shiftright("_hash", 64 - 12)), "mix-cut")
+    per = rows.groupBy("_key", "_part", "_hash", "_block").agg(F.count("*").alias("_c"))
+
+    def before(counts: DataFrame, within: list[str], by: str) -> Column:
+        return F.sum("_c").over(Window.partitionBy(*within).orderBy(by)) - F.col("_c")
+
+    parts = per.groupBy("_key", "_part").agg(F.sum("_c").alias("_c"))  # at most 4,096 a key
+    parts = parts.select("_key", "_part", before(parts, ["_key"], "_part").alias("_a"))
+    hashes = per.groupBy("_key", "_part", "_hash").agg(F.sum("_c").alias("_c"))
+    hashes = hashes.select("_key", "_part", "_hash", before(hashes, ["_key", "_part"], "_hash").alias("_b"))
+    blocks = per.select("_key", "_part", "_hash", "_block", before(per, ["_key", "_hash"], "_block").alias("_d"))
+    start = blocks.join(hashes, ["_key", "_part", "_hash"]).join(parts, ["_key", "_part"]).select("_key", "_hash", "_block", (F.col("_a") + F.col("_b") + F.col("_d")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_key", "_hash", "_block").orderBy("_line")) - 1
+    return rows.withColumn("_own", own).join(start, ["_key", "_hash", "_block"]).withColumn("_nth", F.col("_own") + F.col("_start")).drop("_hash", "_block", "_line", "_part", "_own", "_start")
+
+
 def with_taken(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` (with ``_key``, of any columns) with ``_size, source_size, target, taken`` by the staged table of :func:`sliced`.
 
     The keys at a cut among copies are one a source at most; their rows are numbered apart
-    from the others, which all take alike.
+    from the others, which all take alike.  Those keys, and keys of more than ``HOT`` copies,
+    come to the rows by a broadcast, so that no task gathers a key's copies.
     """
     among = (F.col("copies") > 1) & (F.col("_size") > 0) & (F.col("open") > 0) & (F.col("open") < F.col("copies") * F.col("_size"))
-    both = rows.join(keys, F.col("_key") == F.col("_k"))
-    nth, ready = F.lit(0), both
-    if keys.filter(among).limit(1).count():
-        numbered = both.filter(among).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*rows.columns))) - 1)
-        ready = both.filter(~among).withColumn("_nth", F.lit(0)).unionByName(numbered)
-        nth = F.col("_nth")
+    apart = among | (F.col("copies") > HOT)
+    nth = F.lit(0).cast("long")
+    if keys.filter(apart).isEmpty():
+        ready = rows.join(keys, F.col("_key") == F.col("_k")).withColumn("_nth", nth)
+    else:
+        few = keys.filter(apart)
+        few_rows = rows.join(sized_broadcast(few, 64), F.col("_key") == F.col("_k"))
+        others = rows.join(sized_broadcast(few.select("_k"), 48), F.col("_key") == F.col("_k"), "left_anti").join(keys.filter(~apart), F.col("_key") == F.col("_k"))
+        ready = others.unionByName(few_rows.filter(~among)).withColumn("_nth", nth).unionByName(numbered(few_rows.filter(among), rows.columns))
     # copies that do not meet the cut lie before it (all of their words) or after it (none)
-    rest = F.when(among, F.col("open") - nth * F.col("_size")).when(F.col("copies") > 1, F.when(F.col("open") > 0, F.col("_size")).otherwise(F.lit(0))).otherwise(F.col("open"))
+    rest = F.when(among, F.col("open") - F.col("_nth") * F.col("_size")).when(F.col("copies") > 1, F.when(F.col("open") > 0, F.col("_size")).otherwise(F.lit(0))).otherwise(F.col("open"))
     taken = F.col("epochs") * F.col("_size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), rest))
     return ready.withColumn("taken", taken.cast("long")).drop("_k", "copies", "epochs", "open", "_nth")
 

@@ -7,6 +7,7 @@ import re
 
 import pytest
 from llm.small import WORD, clashing, rows_of, table
+from pyspark.sql import functions as F
 
 from callgrain.llm import hyperminhash, lexicon_bpe, mixing, rank_sync, suffix_dedup
 from callgrain.llm.two_stage import common_prefixes, suffix_array
@@ -397,3 +398,36 @@ def test_empty_tables(docs):
     none = docs.filter("doc_id < 0")
     for df in (suffix_dedup.removals(none), rank_sync.token_counts(none), lexicon_bpe.digests(none), hyperminhash.near_duplicates(none), mixing.mix(none), mixing.materialise(none), hyperminhash.without_copies(none), suffix_dedup.deduplicated(none)):
         assert df.count() == 0
+
+
+def test_numbers_of_copies(spark):
+    """Each key's rows get 0, 1, ... by their hash, however many are alike and however they lie; no window holds a key's copies."""
+    rows = [("hot", 0)] * 4000 + [("hot", k) for k in range(1, 300) for _ in range(k % 4)] + [("few", k) for k in range(20)] + [("one", 7)]
+    for parts in (1, 16):
+        df = spark.createDataFrame(rows, "_key string, n long").repartition(parts)
+        got = mixing.numbered(df, ["_key", "n"]).withColumn("hash", F.xxhash64("_key", "n")).collect()
+        assert len(got) == len(rows)
+        for key in ("hot", "few", "one"):
+            mine = sorted((r._nth, r.hash) for r in got if r._key == key)
+            assert [n for n, _ in mine] == list(range(len(mine))) and [h for _, h in mine] == sorted(h for _, h in mine)
+
+
+def test_a_hundred_thousand_copies(spark, monkeypatch):
+    """One row a hundred thousand times: counts are right, and the tasks that number them are alike."""
+    copies = spark.range(0, 100_000, 1, 16).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one two three four five six").alias("text"), F.lit("a").alias("source"))
+    others = spark.range(100, 300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.col("id").cast("string"), 7)).alias("text"), F.lit("b").alias("source"))
+    docs = copies.union(others)
+    per = mixing.mix(docs).groupBy("source", "taken").count().collect()
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for s in ("a", "b"):
+        assert abs(sum(r.taken * r["count"] for r in per if r.source == s) - target[s]) <= 1
+    kept = hyperminhash.without_copies(docs)
+    assert kept.filter("doc_id = 5").count() == 1 and kept.filter("source = 'b'").count() == 200
+    seen = []
+    real = mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, label: seen.append((label, real(df, label))) or seen[-1][1])
+    mixing.mix(docs).count()
+    cut = [df for label, df in seen if label == "mix-cut"]
+    blocks = sorted(r["count"] for r in cut[0].groupBy("_key", "_hash", "_block").count().collect())
+    # a window holds what one task read, not the copies of a key
+    assert len(blocks) > 1 and sum(blocks) == 100_000 and blocks[-1] <= 2 * blocks[len(blocks) // 2]
