@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from callgrain.operators.normalize import normalize, strict_only
@@ -10,6 +11,7 @@ from callgrain.operators.render import example
 from callgrain.operators.split import exact_split, hash_split
 from callgrain.operators.verify import all_valid, no_malformed, verdicts
 from callgrain.sources.scratch import folder
+from callgrain.sources.writers import write_splits
 
 COUNTS = ("total", "normalize_failures", "quarantined", "kept", "train", "dev", "test")
 
@@ -38,8 +40,22 @@ def build(raw: DataFrame, seed: int = 0, mode: str = "exact", staging: str | Non
     return rows.withColumn("example", F.when(kept, example(F.col("query"), F.col("tools"), F.col("gold"))))
 
 
+def _counts() -> list[Column]:
+    of = lambda c, v: F.count_if(F.col(c) == v).alias(v)
+    return [F.count("*").alias("total"), F.count_if(F.col("status") == "normalize_failure").alias("normalize_failures"), of("status", "quarantined"), of("status", "kept"), of("split", "train"), of("split", "dev"), of("split", "test")]
+
+
 def build_report(built: DataFrame) -> DataFrame:
     """One row of counts and the quarantine rate (0 where nothing was verified), in one pass."""
-    of = lambda c, v: F.count_if(F.col(c) == v).alias(v)
-    r = built.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "normalize_failure").alias("normalize_failures"), of("status", "quarantined"), of("status", "kept"), of("split", "train"), of("split", "dev"), of("split", "test"))
+    r = built.agg(*_counts())
     return r.withColumn("quarantine_rate", F.coalesce(F.try_divide("quarantined", F.col("quarantined") + F.col("kept")), F.lit(0.0)))
+
+
+def export_build(built: DataFrame, path: str) -> dict[str, int]:
+    """Write the examples of all splits below ``path``; the counts of :data:`COUNTS` come from the rows as they pass to the files."""
+    seen = Observation()
+    write_splits(built.observe(seen, *_counts()), path)
+    try:
+        return {c: seen.get[c] for c in COUNTS}
+    except Py4JJavaError:  # Spark found while it ran that no rows come, and dropped the counting
+        return dict.fromkeys(COUNTS, 0)

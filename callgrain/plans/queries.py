@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.operators import batches, benchmarks, prefs, profile, registry, render
-from callgrain.operators.build import build, build_report, classify
+from callgrain.operators.build import build, build_report, classify, export_build
 from callgrain.operators.normalize import error_counts, normalize, object_schemas, with_types
 from callgrain.operators.parse import gold_row, parse_calls
 from callgrain.operators.score import join_dump, last_of_dump, metric_means, running_means, score_completions, score_rows
@@ -16,9 +16,9 @@ from callgrain.operators.split import exact_split, hash_split, leakage
 from callgrain.operators.verify import keep_valid, outcome_counts, verdicts, verify_calls
 from callgrain.plans import corpora
 from callgrain.plans.corpora import SQL_EVENTS, SQL_RAW, table
-from callgrain.sources.readers import read_benchmark, read_dump, read_examples
+from callgrain.sources.readers import first_record, read_benchmark, read_dump, read_examples, read_jsonl, read_raw, read_scores, read_sidecar
 from callgrain.sources.scratch import folder
-from callgrain.sources.writers import report_lines, summary_line, write_jsonl, write_splits
+from callgrain.sources.writers import report_lines, summary_line, write_dump, write_jsonl, write_object, write_splits, write_version
 from callgrain.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,6 +556,76 @@ def score_files_means(spark, sf_dir):
     return score_completions(read_examples(spark, _gold_file(spark, sf_dir)), read_dump(spark, _dump_file(spark, sf_dir)))[1]
 
 
+@query(f"""
+WITH b AS ({ORACLE_SQL["build_counts"]}) SELECT unnest(['total', 'normalize_failures', 'quarantined', 'kept', 'train', 'dev', 'test']) AS name,
+  unnest([total, normalize_failures, quarantined, kept, train, dev, test]) AS counted, unnest([NULL, NULL, NULL, NULL, train, dev, test]) AS written FROM b""")
+def build_export(spark, sf_dir):
+    """Counts taken while the examples are written, beside the lines that stand in the files, read back from a sidecar."""
+    path, side = folder(spark, "export"), folder(spark, "sidecar")
+    counts = export_build(build(corpora.raw(spark, sf_dir)), path)
+    write_object(spark, f"{side}/counts.json", counts)
+    lines = spark.read.text(path).groupBy("split").agg(F.count("*").alias("written"))
+    one = read_sidecar(spark, f"{side}/counts.json")
+    named = one.select(F.explode(F.create_map(*[x for c in counts for x in (F.lit(c), F.col(c))])).alias("name", "counted"))
+    return named.join(lines, F.col("name") == F.col("split"), "left").select("name", "counted", "written")
+
+
+@query(f"WITH {SQL_RAW} SELECT id, query, status <> 'normalize_failure' AS fine FROM st")
+def raw_rows(spark, sf_dir):
+    """Raw rows as JSON files, read by their schema and normalised."""
+    path = folder(spark, "raw")
+    corpora.raw(spark, sf_dir).write.json(path)
+    return normalize(read_raw(spark, path, "json")).select("id", "query", F.col("error").isNull().alias("fine"))
+
+
+@query("SELECT event_id AS i, CAST(event_id AS VARCHAR) || ' ' || event_type AS completion, event_id AS line_no FROM events")
+def dump_lines(spark, sf_dir):
+    """A completion dump as the writer orders it, read back with its line numbers."""
+    path = folder(spark, "written-dump")
+    e = table(spark, sf_dir, "events")
+    write_dump(e.select(F.col("event_id").alias("i"), F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("completion")), path)
+    return read_dump(spark, path)
+
+
+@query("SELECT min(event_id) AS line_no, min_by(event_type, event_id) AS first FROM events")
+def first_line(spark, sf_dir):
+    """The first record of a dump: its line number (ids are places) and what it says."""
+    path = folder(spark, "first")
+    write_dump(table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("event_type").alias("completion")), path)
+    return first_record(read_jsonl(spark, path)).select(F.col("i").alias("line_no"), F.get_json_object("line", "$.completion").alias("first"))
+
+
+@query("""
+SELECT l_returnflag AS Model, round(100 * avg(l_discount), 2) AS Discount, CASE l_returnflag WHEN 'N' THEN NULL ELSE round(100 * avg(l_tax), 2) END AS Tax, CAST(count(*) AS DOUBLE) AS Rows FROM lineitem GROUP BY l_returnflag""")
+def score_table(spark, sf_dir):
+    """A score table as CSV: percent texts and plain numbers become doubles, ``N/A`` null, the key stays text."""
+    path = folder(spark, "scores-csv")
+    shown = lambda c: F.format_string("%.2f%%", 100 * F.avg(c))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("Model")).agg(shown("l_discount").alias("Discount"), shown("l_tax").alias("Tax"), F.count("*").cast("string").alias("Rows"))
+    rows.withColumn("Tax", F.when(F.col("Model") == "N", "N/A").otherwise(F.col("Tax"))).write.option("header", True).csv(path)
+    return read_scores(spark, path)
+
+
+@query("""
+SELECT CAST(v AS BIGINT) AS version, o_orderpriority AS priority, CAST(count(*) AS BIGINT) AS n, CAST(v AS BIGINT) AS said FROM orders, (VALUES (0), (1)) t(v) WHERE v = 0 OR o_orderstatus = 'O' GROUP BY ALL""")
+def versions(spark, sf_dir):
+    """Two versions of an artifact, each with its metadata, read back together."""
+    path = folder(spark, "artifact")
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")
+    for rows in (o, o.filter("o_orderstatus = 'O'")):
+        write_version({"orders": rows}, path, {"table": "orders"})
+    meta = spark.read.option("multiLine", True).option("basePath", path).json(f"{path}/version=*/meta.json").select("version", F.col("table"))
+    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*/orders")
+    return rows.groupBy("version", F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n")).join(meta.select(F.col("version").cast("long").alias("said")), F.col("version") == F.col("said")).select(F.col("version").cast("long").alias("version"), "priority", "n", "said")
+
+
+@query("""
+SELECT column_name AS field, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS type FROM information_schema.columns WHERE table_name = 'part'""")
+def field_types(spark, sf_dir):
+    """Fields of a table and their types."""
+    return profile.field_types(table(spark, sf_dir, "part"))
+
+
 @query(f"""
 WITH b AS ({ORACLE_SQL["build_counts"]}) SELECT split, n, n AS n_calls FROM (SELECT unnest(['train', 'dev', 'test']) AS split, unnest([train, dev, test]) AS n FROM b)""")
 def round_trip(spark, sf_dir):
