@@ -253,6 +253,60 @@ def prompt_completion(spark, sf_dir):
     return render.prompt_completion(_conversations(spark, sf_dir)).select("id", "prompt", "completion")
 
 
+#: Two chat templates as a user would bring them: one with marks around turns, one with headings.
+TEXT_TEMPLATES = {
+    "marks": ("""<|im_start|>system
+{{ tools | tojson }}<|im_end|>
+{% for m in messages %}
+<|im_start|>{{ m.role }}
+{% for c in m.tool_calls %}
+<tool_call>
+{"name": {{ c.function.name | tojson }}, "arguments": {{ c.function.arguments }}}
+</tool_call>
+{%- if not loop.last %}
+
+{% endif %}
+{% endfor %}
+{{- m.content }}<|im_end|>
+{% endfor %}
+{% if add_generation_prompt %}
+<|im_start|>assistant
+{% endif %}""", "<|im_end|>"),
+    "headings": ("""{% if tools %}
+# Tools
+{% for t in tools %}
+{{ loop.index0 }}. {{ t.function.name }}: {{ t.function.description }}
+{% endfor %}
+{% endif %}
+{% for m in messages %}
+{% if m.role == 'user' %}
+# Question
+{{ m.content | trim }}
+{% else %}
+# Calls
+{% for c in m.tool_calls %}
+- {{ c.function | tojson }}
+{% endfor %}
+{% endif %}
+{% endfor %}
+{% if add_generation_prompt %}
+# Calls
+{% endif %}""", ""),
+}
+
+
+@query(f"""
+WITH m AS ({ORACLE_SQL["prompt_completion"]})
+SELECT 'marks' AS template, id, prompt, completion FROM m
+UNION ALL SELECT 'headings', event_id, '# Tools' || chr(10) || '0. click: a click' || chr(10) || '# Question' || chr(10) || CAST(event_id AS VARCHAR) || ' "now"' || chr(10) || '# Calls' || chr(10),
+  '- {{"name": "' || event_type || '", "arguments": ' || props || '}}' FROM events""")
+def text_templates(spark, sf_dir):
+    """Prompt and completion by two templates given as text."""
+    c = _conversations(spark, sf_dir)
+    parts = [render.prompt_completion(c, render.TextTemplate(text, end)).select(F.lit(name).alias("template"), "id", "prompt", "completion") for name, (text, end) in TEXT_TEMPLATES.items()]
+    return parts[0].union(parts[1])
+
+
 @query(f"WITH {SQL_TYPES} SELECT type AS value, count(*) AS n FROM part JOIN t ON p_partkey % 12 = k GROUP BY type")
 def type_histogram(spark, sf_dir):
     return profile.type_histogram(corpora.raw(spark, sf_dir))
