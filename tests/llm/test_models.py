@@ -428,8 +428,8 @@ def test_warc_edges(spark):
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
-    """Each stage against brute force on what the one before it kept."""
+def check_stages(spark, docs):
+    """Each stage against brute force on what the one before it kept: rows with null and repeated ids, nulls and all."""
     import corpus_pipeline as P
     from llm.test_text_ops import dropped, linked, words_in
     from tokenizers import Tokenizer
@@ -437,40 +437,45 @@ def test_pipeline(spark, tmp_path):
     from callgrain.llm.common import staged
     from callgrain.llm.rank_sync import tokenizer_path
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, out = docs.columns, {}
     for name, stage in P.STAGES:
         before = docs
         docs = staged(stage(spark, docs, SF), name)
-        out[name] = (before, docs)
+        out[name] = ([(r.doc_id, r.text) for r in before.collect()], docs, before)
         assert name == "tokens" or docs.columns == names
-    a, b = out["toxicity"]
-    bad = {r.doc_id for r in toxicity.toxicity(a, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
-    assert {r.doc_id for r in a.collect()} - {r.doc_id for r in b.collect()} == bad
-    a, b = out["near_copies"]
-    assert {r.doc_id for r in b.collect()} == {r[0] for r in linked([(r.doc_id, r.text) for r in a.collect()]) if r[3]}
-    a, b = out["repeated_passages"]
-    rows = [(r.doc_id, r.text) for r in a.collect()]
-    assert sorted((r.doc_id, r.text) for r in b.collect()) == sorted((i, dropped(t, rows, 50)) for i, t in rows)
-    a, b = out["mixture"]
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    rows, after, before = out["toxicity"]
+    predicted = toxicity.toxicity(before, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    bad = {r.doc_id for r in predicted if r.predicted}
+    assert after.count() == len(rows) - sum(r.predicted for r in predicted) and texts(after) <= Counter(rows)
+    assert {r.doc_id for r in after.collect()} >= {i for i, _ in rows} - bad
+    rows, after, _ = out["near_copies"]
+    own = {r for r in rows if r[0] is not None}
+    stay = {r[0] for r in linked(sorted(own, key=repr)) if r[3]}
+    assert texts(after) == Counter(r for r in own if r[0] in stay) + Counter(r for r in rows if r[0] is None)
+    rows, after, _ = out["repeated_passages"]
+    assert texts(after) == Counter((i, dropped(t, rows, 50)) for i, t in rows)
+    rows, after, before = out["mixture"]
     taken = {}
-    for r in mixing.mix(a).collect():
+    for r in mixing.mix(before).collect():
         taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
-    assert words_in(b.collect()) == {k: n for k, n in taken.items() if n}
-    a, b = out["tokens"]
+    assert words_in(after.collect()) == {k: n for k, n in taken.items() if n}
     t = Tokenizer.from_file(tokenizer_path())
-    want = sorted((r.doc_id, len(t.encode(r.text, add_special_tokens=False).ids)) for r in a.collect())
-    assert sorted((r.doc_id, r.n_tokens) for r in b.collect()) == want
+    rows, after, _ = out["tokens"]
+    want = Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in after.collect()) == want
+    return out
 
 
-def test_pipeline_edges(spark):
-    """Nulls, empty and very long texts, copies, repeated rows, clashing columns and an empty table go through all stages."""
-    import corpus_pipeline as P
+def test_pipeline(spark):
+    check_stages(spark, spark.read.parquet(f"{SF}/documents.parquet"))
 
-    for docs in (clashing(table(spark)), table(spark).limit(0)):
-        columns = docs.columns
-        for name, stage in P.STAGES:
-            docs = stage(spark, docs, SF).cache()
-            assert name == "tokens" or docs.columns == columns
-            docs.count()
-    assert docs.count() == 0
+
+def test_pipeline_edges(spark):
+    """Nulls, empty and very long texts, copies, repeated rows and clashing columns, value by value; and an empty table."""
+    out = check_stages(spark, clashing(table(spark)))
+    rows = out["mixture"][1].collect()
+    assert rows and all(r["size"] == r["key"] == r["score"] == "clash" and r.n_chars == len(r.text) for r in rows)
+    assert {None, ""}.isdisjoint(r.text for r in rows)  # without words there is nothing to take
+    empty = check_stages(spark, table(spark).limit(0))
+    assert empty["tokens"][1].count() == 0

@@ -86,6 +86,8 @@ def test_deduplicated_texts(docs, words):
 
 
 def dropped(text, rows, words, length=200, seen={}):  # noqa: B006  windows are found once
+    if text is None:
+        return None
     key = hash(tuple(rows))
     if key not in seen:
         count = {}
