@@ -160,6 +160,35 @@ def test_call_log_in_small_batches(spark, tmp_path):
     assert sum(state(spark, out)[1].values()) == len(wanted(FIRST)[0])
 
 
+def test_call_log_over_a_growing_copy_of_the_table(spark, tmp_path):
+    """The events of the test tables in two halves, the second with corrections of the first, against one batch of SQL."""
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "event_type", "props")
+    path, out, mark = (str(tmp_path / x) for x in ("log", "out", "mark"))
+    first = e.filter("event_id % 2 = 0").selectExpr("event_id", "ts", "IF(event_id % 10 = 0, 'nosuch', event_type) AS event_type", "props")
+    first.repartition(3).write.parquet(f"{path}/load=1")
+    call_log.run(spark, LOG, f"{path}/load=*", out, mark)
+    once = call_log.read_daily(spark, out).agg({"n": "sum"}).first()[0]
+    e.filter("event_id % 2 = 1 OR event_id % 10 = 0").repartition(2).write.parquet(f"{path}/load=2")
+    call_log.run(spark, LOG, f"{path}/load=*", out, mark)
+    assert once == first.count() and call_log.read_calls(spark, out).count() == once + e.filter("event_id % 2 = 1 OR event_id % 10 = 0").count()
+    want = call_log.verified(e, LOG["tools"]).groupBy("day", "name", "outcome").count().collect()
+    assert {(r.day, r.name, r.outcome): r.n for r in call_log.read_daily(spark, out).collect()} == {(r.day, r.name, r.outcome): r["count"] for r in want}
+
+
+def test_chat_set_over_a_growing_copy_of_the_table(spark, tmp_path):
+    """A rerun over more conversations keeps the split of every prompt that was there."""
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    path, out = str(tmp_path / "c"), str(tmp_path / "out")
+    config = json.loads((ROOT / "jobs" / "chat_set.json").read_text())
+    c.filter("conv_id % 3 <> 0").write.parquet(path)
+    first = {(r.conv_id, r.turn): (r.status, r.split) for r in chat_set.run(spark, config, path, out).collect()}
+    c.filter("conv_id % 3 = 0").write.mode("append").parquet(path)
+    both = {(r.conv_id, r.turn): (r.status, r.split) for r in chat_set.run(spark, config, path, out).collect()}
+    rows = [tuple(r) for r in c.select("conv_id", "turn", "role", "text").collect()]
+    assert both == by_hand(rows, config) and len(both) > len(first) > 0
+    assert all(both[k] == v for k, v in first.items() if "copy" not in (both[k][0], v[0]))
+
+
 def test_command_lines(spark, tmp_path):
     path = str(tmp_path / "c")
     chats(spark, path, [(1, 0, "user", "a b"), (1, 1, "assistant", "c")])
