@@ -26,11 +26,14 @@ def _fresh(spark: SparkSession, label: str) -> str:
 
 
 def job1_chat_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the conversations with their status, split and rendered text, after two runs."""
+    """Pairs of the conversations with their status, split and rendered text, and each split's lengths (``conv_id`` null), after two runs."""
     out = _fresh(spark, "job1")
     for _ in range(2):
         rows = chat_set.run(spark, _config("chat_set.json"), f"{sf_dir}/conversations.parquet", out)
-    return rows
+    none = lambda kind: F.lit(None).cast(kind)
+    pairs = rows.select("conv_id", "turn", "prompt", "completion", "text", "n_words", "status", "split", none("double").alias("share"), none("double").alias("length"))
+    lengths = chat_set.read_lengths(spark, out).select(*(none(k).alias(c) for c, k in (("conv_id", "long"), ("turn", "long"), ("prompt", "string"), ("completion", "string"), ("text", "string"))), F.col("pairs").alias("n_words"), F.lit("lengths").alias("status"), "split", "share", F.round("n_words", 6).alias("length"))
+    return pairs.unionByName(lengths)
 
 
 def job2_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +56,15 @@ w AS (
   SELECT *, CAST(coalesce(len(list_filter(string_split_regex(prompt, '\s+'), lambda x: x <> '')), 0) AS BIGINT) AS a, CAST(coalesce(len(list_filter(string_split_regex(completion, '\s+'), lambda x: x <> '')), 0) AS BIGINT) AS b,
     row_number() OVER (PARTITION BY prompt, completion ORDER BY conv_id, turn) AS place FROM p),
 s AS (
-  SELECT *, a + b AS n_words, CASE WHEN a = 0 OR b = 0 THEN 'empty' WHEN a + b > 250 THEN 'long' WHEN place > 1 THEN 'copy' ELSE 'kept' END AS status, CAST('0x' || substr(md5('7:' || prompt), 1, 8) AS BIGINT) % 1000 AS h FROM w)
-SELECT conv_id, turn, prompt, completion, n_words, status, CASE WHEN status <> 'kept' THEN 'none' WHEN h < 100 THEN 'test' WHEN h < 200 THEN 'dev' ELSE 'train' END AS split,
-  CASE WHEN status = 'kept' THEN '<|im_start|>system' || chr(10) || '[]<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || completion || '<|im_end|>' || chr(10) END AS text
-FROM s
+  SELECT *, a + b AS n_words, CASE WHEN a = 0 OR b = 0 THEN 'empty' WHEN a + b > 250 THEN 'long' WHEN place > 1 THEN 'copy' ELSE 'kept' END AS status, CAST('0x' || substr(md5('7:' || prompt), 1, 8) AS BIGINT) % 1000 AS h FROM w),
+r AS (
+  SELECT conv_id, turn, prompt, completion, n_words, status, CASE WHEN status <> 'kept' THEN 'none' WHEN h < 100 THEN 'test' WHEN h < 200 THEN 'dev' ELSE 'train' END AS split,
+    CASE WHEN status = 'kept' THEN '<|im_start|>system' || chr(10) || '[]<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || completion || '<|im_end|>' || chr(10) END AS text
+  FROM s),
+l AS (
+  SELECT split, share, quantile_cont(n_words, [0.5, 0.9, 0.95, 0.99])[k] AS length, count(*) AS n FROM r, (VALUES (1, 0.5::DOUBLE), (2, 0.9::DOUBLE), (3, 0.95::DOUBLE), (4, 0.99::DOUBLE)) v(k, share) WHERE status = 'kept' GROUP BY split, share, k)
+SELECT conv_id, turn, prompt, completion, text, n_words, status, split, CAST(NULL AS DOUBLE) AS share, CAST(NULL AS DOUBLE) AS length FROM r
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, n, 'lengths', split, share, round(CAST(length AS DOUBLE), 6) FROM l
 """
 _LOG_SQL = """
 WITH v AS (

@@ -12,14 +12,19 @@ A pair has a status:
 * ``kept``: all others.  They get a split by a hash of the prompt, so that a prompt that
   comes again in another conversation never stands in two splits, and their rendered text.
 
-Writes JSON lines ``conv_id, turn, prompt, completion, text, n_words`` in folders
-``status=.../split=...`` (``split=none`` but for kept ones); rows that a pair cannot hold
-(other roles, null keys, turns without their other half) are only counted in the log.
+Writes
+
+* ``pairs/status=.../split=...``: JSON lines ``conv_id, turn, prompt, completion, text, n_words``
+  (``split=none`` but for kept ones); rows that a pair cannot hold (other roles, null keys,
+  turns without their other half) are only counted in the log;
+* ``lengths/split=...``: for each split its pairs and the exact percentiles ``shares`` of their
+  words, from which a user takes the length to cut at.
 
 Scale: one scan and one shuffle make the pairs, keyed by conversation and turn, so a
 conversation of any length is dealt evenly.  Copies are found by the least place of each
 text pair, combined before its shuffle, and marked by a join on that place.  Files are
-sized by a rebalance of the written folders.  A rerun overwrites the output with the same rows.
+sized by a rebalance of the written folders.  Percentiles are selected by counts of value
+ranges, not gathered.  A rerun overwrites the output with the same rows.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.operators.profile import words
+from callgrain.operators.quantiles import quantiles
 from callgrain.operators.render import Template
 from callgrain.operators.split import hash_split
 from callgrain.schemas import TOOL
@@ -40,6 +46,8 @@ log = logging.getLogger("jobs.chat_set")
 ROWS = "conv_id long, turn long, role string, text string"
 WRITTEN = "conv_id long, turn long, prompt string, completion string, text string, n_words long, status string, split string"
 
+LENGTHS = "share double, n_words double, pairs long, split string"
+
 
 def pairs(rows: DataFrame) -> DataFrame:
     """``conv_id, turn, prompt, completion`` of each user's turn and the assistant's turn that follows."""
@@ -79,15 +87,29 @@ def run(spark: SparkSession, config: dict, conversations: str, out: str) -> Data
     done = classified(pairs(rows), config)
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("kept", "empty", "long", "copy")] + [F.count_if(F.col("split") == s).alias(s) for s in ("train", "dev", "test")]
     files = done.hint("rebalance", "status", "split").observe(wrote, F.count(F.lit(1)).alias("pairs"), *counts)
-    files.write.mode("overwrite").option("maxRecordsPerFile", config["rows_per_file"]).option("ignoreNullFields", "false").partitionBy("status", "split").json(out)
+    files.write.mode("overwrite").option("maxRecordsPerFile", config["rows_per_file"]).option("ignoreNullFields", "false").partitionBy("status", "split").json(f"{out}/pairs")
     log.info("read %s: %s", conversations, observed(read))
-    log.info("wrote %s: %s", out, observed(wrote))
+    log.info("wrote %s/pairs: %s", out, observed(wrote))
+    found = lengths(written(spark, out), config["shares"])
+    found.coalesce(1).write.mode("overwrite").partitionBy("split").json(f"{out}/lengths")  # a row a split and share
+    log.info("wrote %s/lengths", out)
     return written(spark, out)
 
 
+def lengths(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """``split, share, n_words, pairs`` of kept pairs."""
+    found = quantiles(rows.filter("status = 'kept'").select("split", "n_words"), "n_words", shares, "split")
+    each = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("share"), F.col(f"q{k}").alias("n_words")) for k, x in enumerate(shares)]))
+    return found.select("split", F.col("n").alias("pairs"), each.alias("e")).select("split", "e.share", "e.n_words", "pairs")
+
+
 def written(spark: SparkSession, out: str) -> DataFrame:
-    """The rows of an output folder."""
-    return spark.read.schema(WRITTEN).json(out)
+    """The pairs of an output folder."""
+    return spark.read.schema(WRITTEN).json(f"{out}/pairs")
+
+
+def read_lengths(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(LENGTHS).json(f"{out}/lengths")
 
 
 if __name__ == "__main__":

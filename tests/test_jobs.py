@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import json
 import os
+import statistics
 import subprocess
 import sys
 from pathlib import Path
@@ -17,7 +18,7 @@ from jobs import call_log, chat_set
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
-CHAT = {"seed": 7, "most_words": 6, "rows_per_file": 1000, "tools": [{"name": "f", "parameters": {"type": "object"}}]}
+CHAT = {"seed": 7, "most_words": 6, "rows_per_file": 1000, "shares": [0.0, 0.5, 1.0], "tools": [{"name": "f", "parameters": {"type": "object"}}]}
 LOG = json.loads((ROOT / "jobs" / "call_log.json").read_text())
 
 
@@ -72,6 +73,11 @@ def test_chat_set_accounts_for_every_pair(spark, tmp_path):
         else:
             assert r.text is None
     assert all(len(s) == 1 for s in splits.values())
+    # the lengths of each split, exactly
+    lengths = {(r.split, r.share): (r.n_words, r.pairs) for r in chat_set.read_lengths(spark, out).collect()}
+    for split in ("train", "dev", "test"):
+        n = sorted(r.n_words for r in got if r.split == split)
+        assert [lengths[split, x] for x in CHAT["shares"]] == [(v, len(n)) for v in (n[0], statistics.median(n), n[-1])]
     # again, over other input, back to the first: always the rows of the input
     assert sorted(chat_set.run(spark, CHAT, path, out).collect()) == sorted(got)
     other = str(tmp_path / "d")
