@@ -524,10 +524,12 @@ def first_rows(spark, sf_dir):
     return batches.first_n(o, 1000, "i")
 
 
-@query("SELECT c_custkey FROM customer")
+@query("""
+SELECT n AS "limit", c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer), (VALUES (0), (25)) l(n) WHERE n = 0 OR place <= n""")
 def limit_zero(spark, sf_dir):
-    """A limit of 0 is none."""
-    return batches.first_n(table(spark, sf_dir, "customer").select("c_custkey"), 0, "c_custkey")
+    """A limit of 0 is none; any other is one."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return batches.first_n(c, 0, "c_custkey").select(F.lit(0).alias("limit"), "c_custkey").union(batches.first_n(c, 25, "c_custkey").select(F.lit(25), "c_custkey"))
 
 
 @query("SELECT event_id // 32 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")

@@ -1,12 +1,13 @@
 """Sources, sinks and the stream."""
 
 import json
+import subprocess
 
 import pytest
 
 from callgrain import schemas
 from callgrain.functions.jsonkit import call_of
-from callgrain.operators.build import build, build_report
+from callgrain.operators.build import build, build_report, export_build
 from callgrain.operators.score import score_completions
 from callgrain.sources import readers, writers
 from callgrain.streaming import live
@@ -93,3 +94,31 @@ def test_stream(spark, tmp_path):
         q.stop()
     dump = spark.createDataFrame([(0, 0, text), (1, 1, "none")], "line_no long, i long, completion string")
     assert score_completions(gold, dump)[1].first().name_and_args == 0.5
+
+
+def test_raw_rows_by_their_schema(spark, tmp_path):
+    rows = [(1, "q", "[]", "[]"), (2, None, "[{}]", None)]
+    df = spark.createDataFrame(rows, "id long, query string, tools string, answers string")
+    for kind in ("parquet", "json", "orc"):
+        df.withColumn("more", df.id).write.format(kind).save(str(tmp_path / kind))
+        got = readers.read_raw(spark, str(tmp_path / kind), kind)
+        assert got.columns == df.columns and sorted(got.collect()) == sorted(df.collect())
+
+
+def test_lineage_is_the_commit(tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@example.com", *a], cwd=tmp_path, check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q")
+    with pytest.raises(subprocess.CalledProcessError):
+        readers.lineage(str(tmp_path))
+    run("commit", "-q", "--allow-empty", "-m", "one")
+    assert readers.lineage(str(tmp_path)) == run("rev-parse", "HEAD") and len(readers.lineage(str(tmp_path))) == 40
+
+
+def test_counts_on_the_way(spark, tmp_path):
+    rows = [(i, "q", '[{"name": "f", "description": "d", "parameters": {"x": {"type": "int", "description": "d"}}}]', f'[{{"name": "{"f" if i % 3 else "g"}", "arguments": {{"x": {i}}}}}]') for i in range(40)]
+    built = build(spark.createDataFrame(rows, "id long, query string, tools string, answers string"))
+    counts = export_build(built, str(tmp_path / "out"))
+    assert counts == {c: build_report(built).first()[c] for c in counts} and counts["kept"] == 26
+    assert {r.split: r["count"] for r in spark.read.text(str(tmp_path / "out")).groupBy("split").count().collect()} == {s: counts[s] for s in ("train", "dev", "test") if counts[s]}
+    none = build(spark.createDataFrame([], "id long, query string, tools string, answers string"))
+    assert set(export_build(none, str(tmp_path / "none")).values()) == {0}
