@@ -58,22 +58,22 @@ def _same(names: list[str]) -> Column:
     return on
 
 
-def order_statistics(rows: DataFrame, by: list[str], state: DataFrame, few: int = FEW, slices: int = SLICES) -> DataFrame:
+def order_statistics(rows: DataFrame, by: list[str], state: DataFrame, groups: int, size: int, few: int = FEW, slices: int = SLICES) -> DataFrame:
     """``state`` with ``value`` instead of its range: the value of ``rank`` (from 0) in the group of ``rows`` (``by``, ``_x``).
 
     ``state`` has ``by``, ``rank``, ``low``, ``high``, ``below`` and further columns: ``below`` values of
-    the group are less than ``low``, the one of the rank is between ``low`` and ``high``.
+    the group are less than ``low``, the one of the rank is between ``low`` and ``high``.  It comes
+    with one range a group; ``groups`` and ``size`` are the numbers of groups and of rows.
     """
     kept = [c for c in state.columns if c not in ("low", "high", "below")]
     keys = [*by, "low"]
     found = None
     for number in range(ROUNDS):
-        state = _written(state)
         settled = state.filter("low = high").select(*kept, F.col("low").alias("value"))
         found = settled if found is None else found.unionByName(settled)
         state = state.filter("low < high")
         ranges = state.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
-        many = ranges.count()
+        many = ranges.count() if number else groups
         if not many:
             return found
         ranges = F.broadcast(ranges) if many <= BROADCAST_ROWS else ranges
@@ -82,14 +82,20 @@ def order_statistics(rows: DataFrame, by: list[str], state: DataFrame, few: int
         ends = (F.col("_x"), F.col("low"), F.col("high"))
         place = _slice(*ends, slices) if number else _slice(*map(_magnitude, ends), slices)
         rank = [F.count("*").alias("rows"), F.min("_x").alias("least"), F.max("_x").alias("most")]
-        counts = _written(inside.groupBy(*keys, place.alias("slice")).agg(*rank))
-        if counts.agg(F.sum("rows")).first()[0] <= few:
+        counts = None
+        if number or size > few:
+            counts = _written(inside.groupBy(*keys, place.alias("slice")).agg(*rank))
+            size = counts.agg(F.sum("rows")).first()[0]
+        last = size <= few
+        if last:  # value by value
             counts = inside.groupBy(*keys, F.col("_x").alias("slice")).agg(*rank)
         before = F.sum("rows").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("rows")  # a row a slice
         counts = counts.select(*(F.col(c).alias(f"_{c}") for c in keys), "rows", "least", "most", before.alias("before"))
         start = F.col("below") + F.col("before")
         held = state.join(counts, _same(keys) & (F.col("rank") >= start) & (F.col("rank") < start + F.col("rows")))
-        state = held.select(*kept, F.col("least").alias("low"), F.col("most").alias("high"), start.alias("below"))
+        if last:
+            return found.unionByName(held.select(*kept, F.col("least").alias("value")))
+        state = _written(held.select(*kept, F.col("least").alias("low"), F.col("most").alias("high"), start.alias("below")))
     raise AssertionError("after these rounds each range of doubles is one value")
 
 
@@ -107,7 +113,8 @@ def quantiles(df: DataFrame, column: str, shares: list[float], *by: str, few: in
     at = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
     ends = F.array(*[F.struct(F.lit(2 * k + side).alias("end"), f(p).cast("long").alias("rank")) for k, p in enumerate(at) for side, f in enumerate((F.floor, F.ceil))])
     state = groups.select(*by, F.explode(ends).alias("e"), F.col("least").alias("low"), F.col("most").alias("high"), F.lit(0).cast("long").alias("below"))
-    found = order_statistics(rows, list(by), state.select(*by, "e.end", "e.rank", "low", "high", "below"), few, slices)
+    many, size = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = order_statistics(rows, list(by), state.select(*by, "e.end", "e.rank", "low", "high", "below"), many, size, few, slices)
     values = found.groupBy(*by).agg(*[F.max(F.when(F.col("end") == k, F.col("value"))).alias(f"v{k}") for k in range(2 * len(shares))])
     values = values.select(*(F.col(c).alias(f"_{c}") for c in by), *(f"v{k}" for k in range(2 * len(shares))))
     both = groups.join(values, _same(list(by))) if by else groups.crossJoin(values)  # one row each
