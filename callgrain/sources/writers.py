@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,20 +46,55 @@ def write_dump(df: DataFrame, path: str) -> None:
     df.orderBy("i").select(F.to_json(F.struct("i", "completion")).alias("line")).write.mode("overwrite").text(path)
 
 
+def _claimed(fs, jvm, path: str, version: int) -> bool:
+    """Take a version number; false if another writer has it.  The file system creates the file for one of them only."""
+    try:
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}/_claim"), False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()):
+            return False
+        raise
+    return True
+
+
 def write_version(frames: dict[str, DataFrame], path: str, meta: dict) -> int:
-    """Frames as the next version of an artifact, with its metadata; returns the version."""
+    """Frames as the next version of an artifact, with its metadata; returns the version.
+
+    Writers at the same time get different numbers, where the file system creates a file
+    exclusively (HDFS and local ones do).  ``meta.json`` comes last: a version without it is not
+    whole, and :func:`read_version` does not take it.
+    """
     spark = next(iter(frames.values())).sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    version = max([-1, *(int(n[8:]) for n in names if re.fullmatch(r"version=\d+", n))]) + 1
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    version = max([-1, *_versions(fs, root)]) + 1
+    while not _claimed(fs, jvm, path, version):
+        version += 1
     for name, df in frames.items():
         df.write.parquet(f"{path}/version={version}/{name}")
     write_object(spark, f"{path}/version={version}/meta.json", {"version": version, **meta})
     return version
 
 
+def _versions(fs, root) -> list[int]:
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return [int(n[8:]) for n in names if re.fullmatch(r"version=\d+", n)]
+
+
+def read_version(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A frame of a version, by default of the last one that is whole."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [v for v in _versions(fs, root) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/meta.json"))]
+    if version is None and whole:
+        version = max(whole)
+    if version not in whole:
+        raise ValueError(f"{path} has no whole version{'' if version is None else f' {version}'}")
+    return spark.read.parquet(f"{path}/version={version}/{name}")
+
+
 def report_lines(metrics: DataFrame) -> DataFrame:
     """``line``: fixed-width percent lines of a one-row frame of means."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in metrics.columns]))

@@ -35,7 +35,10 @@ def live_means(scores: DataFrame) -> DataFrame:
 
 
 def start(means: DataFrame, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write all means anew with every batch; the checkpoint lets a restarted query go on; ``once`` ends with what is there."""
+    """Write all means anew with every batch; the checkpoint lets a restarted query go on; ``once`` ends with what is there.
+
+    The table ``name`` lives in the driver: it is for results of one row, as :func:`live_means` gives.
+    """
     out = means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
 

@@ -2,6 +2,7 @@
 
 import json
 import subprocess
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -122,3 +123,26 @@ def test_counts_on_the_way(spark, tmp_path):
     assert {r.split: r["count"] for r in spark.read.text(str(tmp_path / "out")).groupBy("split").count().collect()} == {s: counts[s] for s in ("train", "dev", "test") if counts[s]}
     none = build(spark.createDataFrame([], "id long, query string, tools string, answers string"))
     assert set(export_build(none, str(tmp_path / "none")).values()) == {0}
+
+
+def test_writers_at_the_same_time_get_their_own_versions(spark, tmp_path):
+    path = str(tmp_path / "artifact")
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda k: (k, writers.write_version({"rows": spark.range(k, k + 3)}, path, {"k": k})), range(12)))
+    assert sorted(v for _, v in got) == list(range(12))
+    for k, v in got:
+        assert sorted(r.id for r in writers.read_version(spark, path, "rows", v).collect()) == [k, k + 1, k + 2]
+        assert readers.read_sidecar(spark, f"{path}/version={v}/meta.json").first().asDict() == {"version": v, "k": k}
+
+
+def test_a_version_that_is_not_whole_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "artifact")
+    with pytest.raises(ValueError, match="no whole version"):
+        writers.read_version(spark, path, "rows")
+    assert writers.write_version({"rows": spark.range(2)}, path, {}) == 0
+    with pytest.raises(Exception, match="broken"):
+        writers.write_version({"rows": spark.range(5), "more": spark.range(1).selectExpr("raise_error('broken') AS x")}, path, {})
+    assert writers.read_version(spark, path, "rows").count() == 2  # the last whole one
+    with pytest.raises(ValueError, match="no whole version 1"):
+        writers.read_version(spark, path, "rows", 1)
+    assert writers.write_version({"rows": spark.range(7)}, path, {}) == 2 and writers.read_version(spark, path, "rows").count() == 7
