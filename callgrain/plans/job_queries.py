@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.sources.scratch import shared_root
 from jobs import call_log, chat_set
-
-_FOLDER = Path(call_log.__file__).parent
-
-
-def _config(name: str) -> dict:
-    """The settings that the job ships."""
-    return json.loads((_FOLDER / name).read_text())
+from jobs.common import shipped_config
 
 
 def _fresh(spark: SparkSession, label: str) -> str:
@@ -29,7 +21,7 @@ def job1_chat_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the conversations with their status, split and rendered text, and each split's lengths (``conv_id`` null), after two runs."""
     out = _fresh(spark, "job1")
     for _ in range(2):
-        rows = chat_set.run(spark, _config("chat_set.json"), f"{sf_dir}/conversations.parquet", out)
+        rows = chat_set.run(spark, shipped_config("chat_set.json"), f"{sf_dir}/conversations.parquet", out)
     none = lambda kind: F.lit(None).cast(kind)
     pairs = rows.select("conv_id", "turn", "prompt", "completion", "text", "n_words", "status", "split", none("double").alias("share"), none("double").alias("length"))
     lengths = chat_set.read_lengths(spark, out).select(*(none(k).alias(c) for c, k in (("conv_id", "long"), ("turn", "long"), ("prompt", "string"), ("completion", "string"), ("text", "string"))), F.col("pairs").alias("n_words"), F.lit("lengths").alias("status"), "split", "share", F.round("n_words", 6).alias("length"))
@@ -41,7 +33,7 @@ def job2_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _fresh(spark, "job2")
     for _ in range(2):
         # a pattern, as a stream takes no single file by its plain path and the table may be one
-        call_log.run(spark, _config("call_log.json"), f"{sf_dir}/events.parque[t]", out, f"{out}-checkpoint")
+        call_log.run(spark, shipped_config("call_log.json"), f"{sf_dir}/events.parque[t]", out, f"{out}-checkpoint")
     day, none = F.col("day").cast("string").alias("day"), lambda kind: F.lit(None).cast(kind)
     calls = call_log.current(call_log.read_calls(spark, out)).select(day, "event_id", "name", "outcome", "detail", F.lit(1).cast("long").alias("n"))
     return calls.unionByName(call_log.read_daily(spark, out).select(day, none("long").alias("event_id"), "name", "outcome", none("string").alias("detail"), "n"))

@@ -20,6 +20,12 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def shipped_config(name: str) -> dict:
+    """The settings that lie beside the jobs, a part of the code: executors need not see that folder."""
+    with open(os.path.join(ROOT, "jobs", name), encoding="utf-8") as f:
+        return json.load(f)
+
+
 def observed(counts: Observation) -> dict:
     """What was counted; nothing where Spark found while it ran that no rows come and dropped the counting."""
     try:
@@ -33,12 +39,13 @@ def main(name: str, run: Callable, arguments: dict[str, str], config: str) -> No
     parser = argparse.ArgumentParser(prog=f"python -m jobs.{name}", description=run.__doc__)
     for argument, text in arguments.items():
         parser.add_argument("--" + argument, required=True, help=text)
-    parser.add_argument("--config", default="file://" + os.path.join(ROOT, "jobs", config), help="JSON file of settings")
+    parser.add_argument("--config", help=f"JSON file of settings (default: the shipped {config})")
     given = vars(parser.parse_args())
+    path = given.pop("config")
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s", stream=sys.stderr)
     os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH", "")]))
     spark = SparkSession.builder.appName(name).getOrCreate()
     try:
-        run(spark, read_config(spark, given.pop("config")), **given)
+        run(spark, read_config(spark, path) if path else shipped_config(config), **given)
     finally:
         spark.stop()

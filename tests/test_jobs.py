@@ -203,6 +203,7 @@ def test_command_lines(spark, tmp_path):
     assert done.returncode == 0 and "'rows': 2" in done.stderr and "'kept': 1" in done.stderr, done.stderr[-2000:]
     assert chat_set.written(spark, str(tmp_path / "out")).count() == 1
     events(spark, str(tmp_path / "log"), FIRST, "a")
-    done = run("jobs.call_log", "--calls", str(tmp_path / "log"), "--out", str(tmp_path / "o2"), "--checkpoint", str(tmp_path / "m2"))
+    (tmp_path / "own.json").write_text(json.dumps(LOG | {"files_per_batch": 5}))
+    done = run("jobs.call_log", "--calls", str(tmp_path / "log"), "--out", str(tmp_path / "o2"), "--checkpoint", str(tmp_path / "m2"), "--config", f"file://{tmp_path}/own.json")
     assert done.returncode == 0 and "1 new batches" in done.stderr, done.stderr[-2000:]
     assert state(spark, str(tmp_path / "o2")) == wanted(FIRST)
