@@ -37,13 +37,14 @@ def flags(parsed: Column, gold: Column, v: Column) -> list[Column]:
     ]
 
 
-def score_rows(rows: DataFrame, *keep: str) -> DataFrame:
+def score_rows(rows: DataFrame, *keep: str, schemas: list[str] | None = None) -> DataFrame:
     """``i`` and the flags for rows of ``i, completion, tools, gold``, the columns to keep and ``n_calls``, the calls read.
 
-    Parsing and verification run once a row each; everything else stays in the JVM.
+    Parsing and verification run once a row each; everything else stays in the JVM, and
+    verification, too, if ``schemas`` names all schemas of the registries and they compile.
     """
     parsed = rows.withColumn("p", parse_calls(F.col("completion")))
-    verified = parsed.withColumn("v", verdicts(F.col("p.calls"), F.col("tools")))
+    verified = parsed.withColumn("v", verdicts(F.col("p.calls"), F.col("tools"), schemas))
     checked = verified.withColumn("v", no_malformed(F.col("v"), F.col("i")))
     return checked.select("i", *keep, *flags(F.col("p"), F.col("gold"), F.col("v")), F.size("p.calls").cast("long").alias("n_calls"))
 

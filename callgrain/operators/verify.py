@@ -67,29 +67,39 @@ def _verdicts(parameters: pa.Array, arguments: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _outcomes(parameters.flatten(), arguments.flatten()))
 
 
-def _native(tools: DataFrame, parameters: Column, arguments: Column) -> Column:
-    """Verdicts by schemas compiled to expressions; calls of tools whose schema is not compiled go to Python.
+#: NaN and infinite numbers as Python writes them, where a value may stand.
+_ODD_NUMBERS = r"(?<=[:,\[]\s?)-?(?:NaN|Infinity)(?=\s?[,\]}])"
 
-    No Python evaluation is in the plan if all schemas compile.  More than ``COMPILED`` different
-    schemas are not compiled: an expression of all of them would be evaluated for every row.
+
+def _native(texts: list[str], parameters: Column, arguments: Column) -> tuple[Column, bool]:
+    """Verdict by the schemas ``texts``, compiled to expressions, null for other schemas; and whether all of them compiled.
+
+    NaN counts as an infinite number, which fits the same types.  An argument text with a key
+    twice in an object ends the job, as one that is no JSON does.
     """
-    texts = [r.parameters for r in tools.select("parameters").filter("parameters IS NOT NULL").distinct().limit(COMPILED + 1).collect()]
     verdict_of = lambda outcome, detail: F.struct(outcome.alias("outcome"), detail.cast("string").alias("detail"))
     out = F.when(parameters.isNull(), verdict_of(F.lit(UNKNOWN_TOOL), F.lit("no such tool")))
-    value = F.coalesce(F.try_parse_json(arguments), F.raise_error(F.concat(F.lit("arguments that are no plain JSON: "), arguments)).cast("variant"))
-    rest = len(texts) > COMPILED
-    for text in sorted(texts) if not rest else ():
+    plain = F.coalesce(F.try_parse_json(arguments), F.try_parse_json(F.regexp_replace(arguments, _ODD_NUMBERS, "1e400")))
+    value = F.coalesce(plain, F.raise_error(F.concat(F.lit("arguments that are no plain JSON: "), arguments)).cast("variant"))
+    whole = True
+    for text in sorted(set(texts)):
         try:
             check = compiled(json.loads(text))
         except NotCompiled:
-            rest = True
+            whole = False
             continue
         except ValueError as e:
             out = out.when(parameters == text, verdict_of(F.lit(MALFORMED_SPEC), F.lit(str(e))))
             continue
         found = F.get(F.transform(F.array(check(value)), lambda v: verdict_of(F.when(v.isNull(), VALID).otherwise(SCHEMA_VIOLATION), v)), F.lit(0))
         out = out.when(parameters == text, found)
-    return out.otherwise(_verdict.asNondeterministic()(parameters, arguments)) if rest else out
+    return out, whole
+
+
+def few_schemas(tools: DataFrame) -> list[str]:
+    """The different schemas of a table of tools; none where there are more than ``COMPILED``: an expression of all would be evaluated for every row."""
+    texts = [r.parameters for r in tools.select("parameters").filter("parameters IS NOT NULL").distinct().limit(COMPILED + 1).collect()]
+    return texts if len(texts) <= COMPILED else []
 
 
 def verify_calls(calls: DataFrame, tools: DataFrame, on_malformed: str = "fail", native: bool = False) -> DataFrame:
@@ -97,12 +107,15 @@ def verify_calls(calls: DataFrame, tools: DataFrame, on_malformed: str = "fail",
 
     Only the schemas of called tools are looked at.  A malformed one ends the job, or
     with ``on_malformed="count"`` is an outcome of its own.  ``native`` verifies in the JVM where
-    the tools have few different schemas; there an argument text with NaN, or with a key
-    twice in an object, ends the job as one that is no JSON does.
+    the tools have few different schemas (no Python evaluation is in the plan if all compile); there
+    an argument text with a key twice in an object ends the job as one that is no JSON does.
     """
     t = tools.select(F.col("conv_id").alias("_c"), F.col("name").alias("_n"), "parameters")
     rows = calls.join(t, (F.col("conv_id") == F.col("_c")) & (F.col("name") == F.col("_n")), "left")
-    one = _native(tools, F.col("parameters"), F.col("arguments")) if native else _verdict.asNondeterministic()("parameters", "arguments")
+    one = _verdict.asNondeterministic()("parameters", "arguments")
+    if native and (texts := few_schemas(tools)):
+        by_schema, whole = _native(texts, F.col("parameters"), F.col("arguments"))
+        one = by_schema if whole else F.coalesce(by_schema, one)
     rows = rows.withColumn("_v", one)
     return checked(rows.select(*calls.columns, "_v.outcome", "_v.detail"), on_malformed)
 
@@ -114,16 +127,20 @@ def checked(rows: DataFrame, on_malformed: str) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.col("outcome") == MALFORMED_SPEC, fail).otherwise(F.col("outcome")))
 
 
-def verdicts(calls: Column, tools: Column) -> Column:
+def verdicts(calls: Column, tools: Column, schemas: list[str] | None = None) -> Column:
     """Verdicts of a row's own calls against its own registry, in order; no calls, no verdicts.
 
     Names are looked up in the JVM (of a name that repeats the last tool counts): a call takes
-    the schema of its own tool to Python, not the registry.
+    the schema of its own tool to Python, not the registry.  With ``schemas``, all texts that the
+    registries have, calls are verified in the JVM if each of them compiles.
     """
     calls, tools = (F.coalesce(x, F.array().cast(kind)) for x, kind in ((calls, CALLS), (tools, ArrayType(TOOL))))
-    names, schemas = F.reverse(tools["name"]), F.reverse(tools["parameters"])  # a lambda inside a lambda can't be an argument of a Python function
-    parameters = F.transform(calls, lambda c: F.get(schemas, F.array_position(names, c["name"]) - 1))
-    return _verdicts.asNondeterministic()(parameters, F.transform(calls, lambda c: c["arguments"]))
+    names, texts = F.reverse(tools["name"]), F.reverse(tools["parameters"])  # a lambda inside a lambda can't be an argument of a Python function
+    of = lambda c: F.get(texts, F.array_position(names, c["name"]) - 1)
+    if schemas is not None and _native(schemas, F.lit(None).cast("string"), F.lit("{}"))[1]:
+        other = F.raise_error(F.lit("a schema that was not named")).cast(VERDICT)
+        return F.transform(calls, lambda c: F.coalesce(_native(schemas, of(c), c["arguments"])[0], other))
+    return _verdicts.asNondeterministic()(F.transform(calls, of), F.transform(calls, lambda c: c["arguments"]))
 
 
 def all_valid(v: Column) -> Column:

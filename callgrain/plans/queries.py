@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callgrain.functions.jsonkit import encode
 from callgrain.operators import batches, benchmarks, prefs, profile, registry, render
 from callgrain.operators.build import build, build_report, classify, export_build
 from callgrain.operators.normalize import error_counts, normalize, object_schemas, with_types
@@ -66,6 +67,13 @@ def score_flags(spark, sf_dir):
     return _scores(spark, sf_dir).drop("n_calls")
 
 
+@query(ORACLE_SQL["score_flags"])
+def score_native(spark, sf_dir):
+    """The same flags with calls verified in the JVM: parsing is the only Python evaluation."""
+    schemas = [encode(p) for _, p in corpora.REGISTRY.values()]
+    return score_rows(corpora.scored_input(spark, sf_dir), schemas=schemas).drop("n_calls")
+
+
 @query(f"WITH {SQL_EVENTS} SELECT i, emits_json, wrapped, CAST(has_call AS BIGINT) AS n_calls, CASE WHEN has_call THEN said END AS first_name FROM c")
 def parse_outputs(spark, sf_dir):
     p = corpora.completions(spark, sf_dir).withColumn("p", parse_calls(F.col("completion")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from callgrain.functions.json_schema import SchemaError, violation
 from callgrain.functions.schema_columns import NotCompiled, compiled
-from callgrain.operators.verify import outcome_counts, verify_calls
+from callgrain.operators.verify import outcome_counts, verdicts, verify_calls
+from callgrain.schemas import CALLS, TOOL
 
 SCALARS = [None, True, False, 0, 1, -7, 1.0, 2.5, 1e3, 1e400, 9007199254740993, 12345678901234567890123, "", "a", "1", "é\n", "null"]
 KEYS = ["a", "b", "é x", "a.b"]
@@ -92,6 +93,26 @@ def test_both_routes_agree(spark):
         outcome_counts(verify_calls(calls, tools, native=True)).collect()
     plan = verify_calls(calls, tools.filter("name <> 'unique'"), "count", native=True)._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and "PythonUDF" not in plan
-    odd = spark.createDataFrame([(0, 1, "t1", '{"a": NaN}')], calls.schema)
+    odd = spark.createDataFrame([(0, 1, "t1", '{"a": 1, "a": 2}')], calls.schema)
     with pytest.raises(Exception, match="no plain JSON"):
         verify_calls(odd, tools.filter("name = 't1'"), native=True).collect()
+
+
+def test_rows_of_calls(spark):
+    """Verdicts of whole rows, NaN and infinite numbers among the arguments, by both routes."""
+    rng = random.Random(6)
+    schemas = [{"properties": {"x": {"type": t}}, "required": ["x"]} for t in ("number", "integer", "string")] + [{"properties": {"x": {"enum": [1, "NaN", None]}}}]
+    texts = [json.dumps(s) for s in schemas]
+    tools = [(f"t{k}", "", t) for k, t in enumerate(texts)]
+    values = ["NaN", "-Infinity", "Infinity", "1", "2.5", '"NaN"', '"a: NaN, b"', "null", "[NaN]", "true"]
+    calls = lambda: [(rng.choice(["t0", "t1", "t2", "t3", "no"]), '{"x": %s, "y": %s}' % (rng.choice(values), rng.choice(values)), "") for _ in range(rng.randint(0, 4))]
+    rows = [(i, tools + tools[:1], calls()) for i in range(300)] + [(300, None, [("t0", "{}", "")]), (301, tools, None)]
+    df = spark.createDataFrame(rows, f"i long, tools array<{TOOL.simpleString()}>, calls {CALLS.simpleString()}")
+    a, b = (df.select("i", verdicts(F.col("calls"), F.col("tools"), s).alias("v")) for s in (None, texts))
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert "PythonUDF" not in b._jdf.queryExecution().toString() and "ArrowEvalPython" not in b._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="not named"):
+        df.select(verdicts(F.col("calls"), F.col("tools"), texts[:1])).collect()
+    # one that does not compile sends all to the general validator
+    general = df.select("i", verdicts(F.col("calls"), F.col("tools"), [*texts, '{"uniqueItems": true}']).alias("v"))
+    assert sorted(general.collect()) == sorted(a.collect())
