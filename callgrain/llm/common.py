@@ -61,8 +61,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage: later jobs reread the table, also after an executor
-    was lost, and no stage below it is computed twice.  Once the driver's heap is half
-    full, its garbage (plans, metrics, generated code) is collected here, or a long chain
+    was lost, and no stage below it is computed twice.  Once a quarter of the driver's heap is
+    used, its garbage (plans, metrics, generated code) is collected here, or a long chain
     of stages would fill it.  :func:`cleanup` removes the tables; it runs when the
     interpreter ends.
     """
@@ -71,7 +71,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/callgrain-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    if 2 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+    if 4 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
         release(spark)
     if not _written:
         atexit.register(cleanup, spark)

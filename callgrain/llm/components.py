@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from callgrain.llm.common import mark, staged, sweep
 
 
+def _state(edges: DataFrame):
+    """Equal for equal sets of links."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``a, b`` long links."""
-    spark, seen = links.sparkSession, None
-    edges = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
+    spark = links.sparkSession
+    edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    seen = _state(edges)  # links that are stars already need one step
     while True:
         # large star: what lies above a node is tied to the least of its neighbourhood
         both = edges.union(edges.select("b", "a"))
@@ -30,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         at = mark() - 1  # the step before this one is not read again
         edges = staged(small.filter("a <> b").distinct(), "links")
         sweep(spark, at, edges)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = _state(edges)
         if state == seen:
             break
         seen = state

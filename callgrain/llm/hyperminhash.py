@@ -476,9 +476,12 @@ def _classified(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     labels = staged(components(links), "labels")
     sweep(spark, at, buckets, labels)
     noted = staged(k.across(buckets, labels), "across")
-    more = staged(k.joined(noted, labels), "joined")
-    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    labels = staged(components(links), "labels")
+    # without a pair of components to compare, or a link between two, the labels stand
+    if noted.limit(1).count():
+        more = staged(k.joined(noted, labels), "joined")
+        if more.limit(1).count():
+            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+            labels = staged(components(links), "labels")
     sweep(spark, at, labels)
     own = k.classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
     # sets without shingles are one value for many rows: they keep out of the join

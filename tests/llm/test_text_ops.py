@@ -9,7 +9,8 @@ import pytest
 from llm.small import WORD, clashing, rows_of, table
 from pyspark.sql import functions as F
 
-from callgrain.llm import hyperminhash, lexicon_bpe, mixing, rank_sync, suffix_dedup
+from callgrain.llm import components, hyperminhash, lexicon_bpe, mixing, rank_sync, suffix_dedup
+from callgrain.llm.common import staged
 from callgrain.llm.two_stage import common_prefixes, suffix_array
 
 
@@ -240,6 +241,27 @@ def test_small_blocks(spark, monkeypatch):
     assert rows_of(hyperminhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == linked([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_links_in_few_steps(spark, monkeypatch):
+    """Links that are stars already take one step, others as many as they need."""
+    written = []
+    monkeypatch.setattr(components, "staged", lambda df, label: written.append(label) or staged(df, label))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (5, 4), (6, 6)], "a long, b long")
+    assert rows_of(components.components(stars), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert len(written) == 2
+    path = spark.createDataFrame([(k, k + 1) for k in random.Random(3).sample(range(40), 40)], "a long, b long")
+    assert {(r.node, r.component) for r in components.components(path).collect()} == {(k, 0) for k in range(41)}
+
+
+def test_labels_stand_without_further_links(spark, monkeypatch):
+    """Components are worked out once where none may be linked with another."""
+    calls = []
+    monkeypatch.setattr(hyperminhash, "components", lambda links: calls.append(1) or components.components(links))
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(3, text), (2, text + " end"), (7, "quite another text of some words"), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs).collect()}
+    assert got == {2: 2, 3: 2, 7: 7, 9: 9} and len(calls) == 1
+
+
 def test_estimate_is_close():
     import numpy as np
 
