@@ -560,8 +560,7 @@ def batch_texts(spark, sf_dir):
 def _gold_file(spark, sf_dir) -> str:
     """Every event as an exported example, in the order of its id."""
     path = folder(spark, "gold")
-    g = corpora.gold(spark, sf_dir)
-    write_jsonl(g.select(F.col("i").alias("id"), render.example(F.concat(F.lit("event "), F.col("i").cast("string")), F.col("tools"), F.col("gold")).alias("example")), path)
+    write_jsonl(corpora.gold(spark, sf_dir), path, render.example(F.concat(F.lit("event "), F.col("i").cast("string")), F.col("tools"), F.col("gold")), "i")
     return path
 
 
@@ -570,7 +569,7 @@ def _dump_file(spark, sf_dir) -> str:
     path = folder(spark, "dump")
     c = corpora.completions(spark, sf_dir).filter("i % 8 <> 3").select((F.col("i") * 2 + 1).alias("id"), "i", "completion")
     older = c.filter("i % 5 = 0").select((F.col("id") - 1).alias("id"), "i", F.lit("older").alias("completion"))
-    write_jsonl(c.union(older).select("id", F.to_json(F.struct("i", "completion")).alias("example")), path)
+    write_jsonl(c.union(older), path, F.to_json(F.struct("i", "completion")), "id")
     return path
 
 

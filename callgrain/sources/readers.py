@@ -38,7 +38,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     ``line_no`` counts from 0 in each file, ``i`` over all files, which follow each other by
     name.  A line lies in a block of its file and comes in order inside it; the lines of the
-    blocks before it are added (windows over one row a block).
+    blocks before it are added (windows over one row a block; the sums, one a block of some MB,
+    are broadcast, so that no line is shuffled).
     """
     block, start = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     # only line feeds end a line; a task reads the blocks of its files in order
@@ -47,7 +48,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = lambda w: F.sum("_n").over(w) - F.col("_n") - F.col("_first")
     in_file, in_all = Window.partitionBy("file").orderBy("_block"), Window.orderBy("file", "_block")
     blocks = blocks.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), before(in_file).alias("_in_file"), before(in_all).alias("_in_all"))
-    rows = lines.join(blocks, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    rows = lines.join(F.broadcast(blocks), (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     return rows.select("file", (F.col("_at") + F.col("_in_file")).alias("line_no"), (F.col("_at") + F.col("_in_all")).alias("i"), "line")
 
 

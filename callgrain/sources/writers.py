@@ -6,12 +6,15 @@ import json
 import re
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_jsonl(df: DataFrame, path: str, text: str = "example", order: str = "id", single_file: bool = False) -> None:
-    """One JSON text a line, in order inside each file; ``single_file`` gathers a small result in one."""
+def write_jsonl(df: DataFrame, path: str, text: str | Column = "example", order: str = "id", single_file: bool = False) -> None:
+    """One JSON text a line, in order inside each file; ``single_file`` gathers a small result in one.
+
+    A ``text`` that is an expression is worked out after the sort, which then moves only what it is made of.
+    """
     rows = df.orderBy(order) if not single_file else df.coalesce(1).sortWithinPartitions(order)
     rows.select(text).write.mode("overwrite").text(path)
 

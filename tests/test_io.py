@@ -42,6 +42,29 @@ def test_lines_of_split_files(spark, tmp_path):
     assert len(rows) == 1200 and all(r.line_no == json.loads(r.line)["n"] and r.i == 400 * json.loads(r.line)["k"] + r.line_no for r in rows)
 
 
+def test_lines_are_not_shuffled(spark, tmp_path):
+    """Numbers come to the lines; no shuffle holds the texts of a file, whatever the optimiser broadcasts on its own."""
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n' * 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = readers.numbered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_text_is_written_after_the_sort(spark, tmp_path):
+    """An expression for the text gives the lines that a column gives."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(50).select((F.lit(49) - F.col("id")).alias("id"))
+    text = F.to_json(F.struct("id"))
+    writers.write_jsonl(rows, str(tmp_path / "x"), text)
+    writers.write_jsonl(rows.withColumn("example", text), str(tmp_path / "y"))
+    got = [[r.value for r in readers.numbered_lines(spark, str(tmp_path / k)).orderBy("i").selectExpr("line AS value").collect()] for k in "xy"]
+    assert got[0] == got[1] == [json.dumps({"id": k}, separators=(",", ":")) for k in range(50)]
+
+
 def test_benchmark_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "x_1", "question": [[{"role": "user"}]], "function": [{"name": "f"}]}\n{"id": "x_2", "question": []}\n')
     got = {r.id: (r.question, r.function) for r in readers.read_benchmark(spark, str(tmp_path / "a.json")).collect()}
