@@ -18,6 +18,11 @@ corpus.  Suffix arrays sort what can match, not the whole corpus in one place:
    passage of 300 to 399 bytes, with other bytes around it each time - has its windows
    counted by their 128-bit digests, which is exact as well and spreads over all tasks.
 
+Passages (``removals`` with ``passages``) are runs of 50 words or more that repeated strings of
+200 bytes cover; they are reported, not removed.  A 400-byte string that repeats lies in a
+run of 200-byte strings that repeat, in each place it stands, so only texts with a run of
+400 bytes or more are searched for it.
+
 Texts are known by a digest of their bytes, so copies of a text are handled once, and the
 texts are shuffled only where the list of wanted segments is too long to broadcast.
 
@@ -42,6 +47,11 @@ from callgrain.llm.two_stage import common_prefixes, suffix_array
 
 LENGTH = 400
 ANCHOR = 64
+#: A passage is a repeated run of this many words or more.  Strings of four bytes a word
+#: find its runs, and an anchor is a fifth of a string.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 4 * PASSAGE_WORDS
+PASSAGE_ANCHOR = PASSAGE_BYTES // 5
 #: The longer anchor of hot anchors, as a share of the length.
 SECOND = 0.75
 #: Bytes of one anchor's segments that a task sorts at most, and bytes of a block of anchors.
@@ -320,35 +330,98 @@ def split_at(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*left, raw[at:]])
 
 
+def long_enough(raw: bytes, spans, least_words: int = 0) -> list[tuple[int, int]]:
+    """Merged spans of so many words (split at white space, cut words at the ends counted)."""
+    return [(s, e) for s, e in merged([(x["s"], x["e"]) for x in spans]) if not least_words or len(raw[s:e].split()) >= least_words]
+
+
+def _longest(spans):
+    """Bytes of the longest run of spans that overlap or touch."""
+
+    def step(a, x):
+        joins = x["s"] <= a["e"]
+        s, e = F.when(joins, a["s"]).otherwise(x["s"]), F.when(joins, F.greatest(a["e"], x["e"])).otherwise(x["e"])
+        return F.struct(s.alias("s"), e.alias("e"), F.greatest(a["n"], e - s).alias("n"))
+
+    return F.aggregate(F.array_sort(spans), F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(0).alias("n")), step, lambda a: a["n"])
+
+
+def _by_text(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``found`` by the key of the text; the other columns of ``found`` begin with ``_sa_``."""
+    h1, h2 = text_key(F.col("text"))
+    keyed = docs.withColumns({"_sa_h1": h1, "_sa_h2": h2})
+    found = found.withColumnsRenamed({"h1": "_sa_k1", "h2": "_sa_k2", "spans": "_sa_spans", "short": "_sa_short"})
+    return keyed.join(found, (F.col("_sa_h1") == F.col("_sa_k1")) & (F.col("_sa_h2") == F.col("_sa_k2")), how)
+
+
 def _with_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     at = mark()
     spans = staged(repeated_spans(docs, length, anchor), "spans")
     sweep(docs.sparkSession, at, spans)
-    spans = sized_broadcast(spans, 64 + 16 * F.size("spans"))
-    h1, h2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"_sa_h1": h1, "_sa_h2": h2})
-    spans = spans.withColumnsRenamed({"h1": "_sa_k1", "h2": "_sa_k2", "spans": "_sa_spans"})
-    return keyed.join(spans, (F.col("_sa_h1") == F.col("_sa_k1")) & (F.col("_sa_h2") == F.col("_sa_k2")), "left")
+    return _by_text(docs, sized_broadcast(spans, 64 + 16 * F.size("spans")), "left")
 
 
-def _digest(batches):
-    for batch in slices(batches):
-        n, gone, runs, sha = [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            cut = merged([(x["s"], x["e"]) for x in spans or ()])
-            left = split_at(raw, cut)
-            n.append(len(raw))
-            gone.append(len(raw) - len(left))
-            runs.append(len(cut))
-            sha.append(hashlib.sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _with_both(docs: DataFrame, length: int, anchor: int, short_length: int, short_anchor: int) -> DataFrame:
+    """``docs`` with ``_sa_spans`` of strings of ``length`` bytes and ``_sa_short`` of shorter ones."""
+    at = mark()
+    short = staged(repeated_spans(docs, short_length, short_anchor).withColumnRenamed("spans", "short"), "short-spans")
+    sweep(docs.sparkSession, at, short)
+    # a string of the full length that repeats lies in a run of shorter ones wherever it stands
+    some = sized_broadcast(short.filter(_longest(F.col("short")) >= length).select("h1", "h2"), 16)
+    texts = staged(_by_text(docs, some, "left_semi").select(*docs.columns), "long-runs")
+    both = staged(short.join(repeated_spans(texts, length, anchor), ["h1", "h2"], "left"), "spans")
+    sweep(docs.sparkSession, at, both)
+    both = sized_broadcast(both, 64 + 16 * (F.size("short") + F.coalesce(F.size("spans"), F.lit(0))))
+    return _by_text(docs, both, "left")
+
 
+CONTENTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PASSAGES = "n_passages long, n_passage_bytes long"
 
-def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
-    rows = _with_spans(docs.select("doc_id", "text"), length, anchor)
-    return rows.select("doc_id", "text", "_sa_spans").mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+def _digest(least_words: int | None):
+    """Rows ``doc_id, text, spans`` to digests; with ``least_words`` a column of shorter spans follows, and its passages are counted."""
+
+    def run(batches):
+        for batch in slices(batches):
+            n, gone, runs, sha, passages, covered = [], [], [], [], [], []
+            spans, short = batch.column(2).to_pylist(), batch.column(2 if least_words is None else 3).to_pylist()
+            for text, cut, few in zip(batch.column(1).to_pylist(), spans, short, strict=True):
+                raw = (text or "").encode()
+                cut = long_enough(raw, cut or ())
+                left = split_at(raw, cut)
+                n.append(len(raw))
+                gone.append(len(raw) - len(left))
+                runs.append(len(cut))
+                sha.append(hashlib.sha256(left).hexdigest())
+                if least_words is not None:
+                    found = long_enough(raw, few or (), least_words)
+                    passages.append(len(found))
+                    covered.append(sum(e - s for s, e in found))
+            out = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            if least_words is not None:
+                out |= {"n_passages": pa.array(passages, pa.int64()), "n_passage_bytes": pa.array(covered, pa.int64())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["doc_id", *out])
+
+    return run
+
+
+def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, passages: tuple[int, int, int] | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
+
+    With ``passages`` (bytes of a string, at most ``length``, its anchor, least words) the
+    columns ``n_passages, n_passage_bytes`` follow: runs of so many words or more that
+    repeated strings of so many bytes cover.  They are counted only; nothing more is removed.
+    """
+    docs = docs.select("doc_id", "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {CONTENTS}"
+    if passages is None:
+        return _with_spans(docs, length, anchor).select("doc_id", "text", "_sa_spans").mapInArrow(_digest(None), schema)
+    short_length, short_anchor, least_words = passages
+    if short_length > length:
+        raise ValueError("strings of passages are at most as long as those that are removed")
+    rows = _with_both(docs, length, anchor, short_length, short_anchor)
+    return rows.select("doc_id", "text", "_sa_spans", "_sa_short").mapInArrow(_digest(least_words), f"{schema}, {PASSAGES}")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, least_words: int = 0) -> DataFrame:
@@ -359,15 +432,12 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, le
     """
     rows = _with_spans(docs, length, anchor)
 
-    def long_enough(raw, spans):
-        return [(s, e) for s, e in merged([(x["s"], x["e"]) for x in spans]) if not least_words or len(raw[s:e].split()) >= least_words]
-
     @F.pandas_udf("string")
     def left(text, spans):
         import pandas as pd
 
         def cut(t, raw, s):
-            gone = long_enough(raw, s)
+            gone = long_enough(raw, s, least_words)
             return split_at(raw, gone).decode("utf-8", "ignore") if gone else t
 
         return pd.Series([t if s is None or t is None else cut(t, t.encode(), s) for t, s in zip(text, spans, strict=True)])
@@ -380,7 +450,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, le
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents"))
+    return removals(table(spark, sf_dir, "documents"), passages=(PASSAGE_BYTES, PASSAGE_ANCHOR, PASSAGE_WORDS))
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}

@@ -23,15 +23,9 @@ from callgrain.llm.common import mark, staged, sweep, table
 from callgrain.llm.hyperminhash import without_copies
 from callgrain.llm.lexicon_bpe import digests
 from callgrain.llm.mixing import materialise
-from callgrain.llm.suffix_dedup import deduplicated
+from callgrain.llm.suffix_dedup import PASSAGE_ANCHOR, PASSAGE_BYTES, PASSAGE_WORDS, deduplicated
 from callgrain.llm.toxicity import without_toxic
 
-#: A passage is a repeated run of this many words or more.  Strings of four bytes a word
-#: find its runs, and an anchor is a fifth of a string.
-PASSAGE_WORDS = 50
-PASSAGE_BYTES = 4 * PASSAGE_WORDS
-PASSAGE_ANCHOR = PASSAGE_BYTES // 5
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the model, fitted on ``docs`` and the labels table, does not predict toxic."""

@@ -76,6 +76,40 @@ def test_suffix_dedup(docs, monkeypatch, hot):
     assert rows_of(suffix_dedup.removals(clashing(docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("hot", [2_000_000, 1])
+def test_suffix_dedup_passages(docs, monkeypatch, hot):
+    """The contract's columns do not change beside passages, and passages are the brute force's."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, passages = removed(rows), removed(rows, 200, 50)
+    assert sum(r[2] for r in passages) > 5000 and [r[2] for r in passages] != [r[2] for r in want]
+    got = suffix_dedup.removals(clashing(docs), passages=(200, 40, 50)).cache()
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert rows_of(got, "doc_id", "n_bytes", "n_passage_bytes", "n_passages") == sorted((r[:4] for r in passages), key=repr)
+    assert suffix_dedup.removals(docs.filter("doc_id < 0"), passages=(200, 40, 50)).count() == 0
+
+
+def test_query_reports_short_passages(spark, tmp_path):
+    """Passages of 51 words under 400 bytes are reported in every text that holds them, and nothing of them is removed."""
+    rng = random.Random(6)
+    text = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(k))
+    passage, few, long = text(51), text(40), text(120)
+    assert len(few) > 200 and len(passage) < 400 < len(long)
+    kinds = {0: "", 1: passage, 2: few, 3: long}
+    rows = [(100 * kind + k, text(80) + "\n" + p + "\n" + text(80)) for kind, p in kinds.items() for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect():
+        kind = r.doc_id // 100
+        assert (r.n_passages, r.n_passage_bytes >= len(kinds[kind])) == ((1, True) if kind in (1, 3) else (0, kind == 0))
+        assert (r.n_spans, r.n_removed >= len(long)) == ((1, True) if kind == 3 else (0, False))
+
+
+def test_longest_run(spark):
+    cases = [([(0, 200), (1, 201)], 201), ([(5, 10), (0, 5), (20, 26)], 10), ([(3, 9), (4, 6), (8, 12), (30, 31)], 9)]
+    rows = spark.createDataFrame(cases, "spans array<struct<s int, e int>>, want int")
+    assert all(r.got == r.want for r in rows.select("want", suffix_dedup._longest(F.col("spans")).alias("got")).collect())
+
+
 @pytest.mark.parametrize("words", [0, 50])
 def test_deduplicated_texts(docs, words):
     """Every row, null and repeated ids too: what is left is the brute force's, without the stray bytes of a cut character."""
